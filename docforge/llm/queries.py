@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docforge.llm import contamination, packing, quality, records, secrets
+from docforge.llm import contamination, fingerprints, jaccard, lines, packing, quality, records, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_table(spark, sf_dir, "documents"))
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
@@ -34,9 +42,13 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.report(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op5_best_fit_packing, op6_quality_classifier, op8_token_records, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_secret_scan, op5_best_fit_packing, op6_quality_classifier, op8_token_records, op9_fingerprints, op10_decontamination)}
 ORACLES: dict[str, str] = {}
