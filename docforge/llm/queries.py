@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docforge.llm import contamination, fingerprints, jaccard, lines, packing, quality, records, relative_lz, secrets
+from docforge.llm import contamination, fingerprints, jaccard, lines, packing, quality, records, relative_lz, secrets, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.report(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -54,5 +58,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_secret_scan, op4_substring_dedup, op5_best_fit_packing, op6_quality_classifier, op8_token_records, op9_fingerprints, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_secret_scan, op4_substring_dedup, op5_best_fit_packing, op6_quality_classifier, op7_suffix_dedup, op8_token_records, op9_fingerprints, op10_decontamination)}
 ORACLES: dict[str, str] = {}

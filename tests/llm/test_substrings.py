@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from docforge.llm import relative_lz
+import numpy as np
+
+from docforge.llm import induced, relative_lz, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,3 +67,43 @@ def test_factors_are_greedy_and_checked_at_boundaries():
         block.add(ref, h(ref))
     text = [9, 1, 2, 3, 4, 5, 6, 7, 8]
     assert relative_lz.factors(text, h(text), [block], 3) == [(1, 5), (4, 4)]
+
+
+def brute_bytes(texts, size=50):
+    seen, out = {}, []
+    for d, t in enumerate(texts):
+        raw = (t or "").encode()
+        gone = [False] * len(raw)
+        for i in range(len(raw) - size + 1):
+            x = raw[i : i + size]
+            if seen.setdefault(x, d) < d:
+                gone[i : i + size] = [True] * size
+        runs = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out.append((len(raw), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(raw, gone) if not g)).hexdigest()))
+    return out
+
+
+def test_suffix_dedup_against_brute_force(spark, make, sample):
+    texts = [t and t[:3000] for t in [*sample, *passages(), "ab" * 60, "ab" * 40, "c" * 200, "d" + "c" * 49, "c" * 51]]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(make(texts).repartition(4)).collect()}
+    want = brute_bytes(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert suffix_dedup.report(make([])).count() == 0
+
+
+def test_induced_order_and_common_prefixes():
+    rng = random.Random(0)
+    for turn in range(300):
+        text = [rng.randrange(rng.choice([1, 2, 3, 5])) for _ in range(rng.randint(1, 40))]
+        text = (text * 5)[:60] if turn % 3 == 0 else text
+        order = sorted(range(len(text)), key=lambda i: text[i:], reverse=True)
+        shared = [0]
+        for a, b in zip(order, order[1:]):
+            k = 0
+            while k < 8 and max(a, b) + k < len(text) and text[a + k] == text[b + k]:
+                k += 1
+            shared.append(k)
+        for memory in (1000, 3):  # the second spills to disk
+            got = list(induced.suffix_order(np.array(text), 8, memory))
+            assert np.concatenate([x[0] for x in got]).tolist() == order
+            assert np.concatenate([x[1] for x in got]).tolist() == shared
