@@ -174,6 +174,29 @@ def line_links(docs: DataFrame, work: Workspace, tau: int = TAU, least: int = LE
     return table.select("h", "place"), both
 
 
+def removed_lines(docs: DataFrame, work: Workspace, tau: int = TAU, least: int = LEAST) -> DataFrame:
+    """(_id, _gone, _links, _firsts) of documents with lines long enough: positions to remove, links, where those lines stand first."""
+    classes, links = line_links(docs.where("doc_id is not null"), work, tau, least)
+    near = links.join(classes.select(F.col("h").alias("other"), F.col("place").alias("o_place")), "other").groupBy("h").agg(F.min("o_place").alias("o_place"), F.count("*").alias("n_links"))
+    known = work.save(classes.join(near, "h", "left").select("h", F.least("place", "o_place").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    work.drop("lines")
+    work.release_shuffles()
+    own = _lines(docs, least).select("doc_id", "pos", F.col("place").alias("here"), F.xxhash64("line").alias("h"))
+    gone = F.col("here") != F.col("first")
+    told = own.join(known, "h").groupBy(F.col("doc_id").alias("_id")).agg(
+        F.array_distinct(F.collect_list(F.when(gone, F.col("pos")))).alias("_gone"), F.sum("n_links").alias("_links"),
+        F.array_sort(F.collect_set(F.when(gone, F.floor(F.col("first") / F.lit(1 << 31)).cast("long")))).alias("_firsts"),
+    )
+    told = work.save(told, "told")
+    work.release_shuffles()
+    return told
+
+
+def _kept() -> Column:
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    return F.when(F.size(F.coalesce("_gone", F.expr("cast(array() as array<int>)"))) > 0, kept).otherwise(F.col("text"))
+
+
 def line_dedup(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, n_links, first_docs, kept_text.
 
@@ -183,28 +206,23 @@ def line_dedup(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame
     Null texts stay null; empty ones and lines too short stay as they are. A null id's lines are not compared. Rows of a
     repeated id are taken as repeats of each other's lines, the row with the line first in its place keeps it in all.
     """
-    work = Workspace(docs.sparkSession, "lines")
-    classes, links = line_links(docs.where("doc_id is not null"), work, tau, least)
-    near = links.join(classes.select(F.col("h").alias("other"), F.col("place").alias("o_place")), "other").groupBy("h").agg(F.min("o_place").alias("o_place"), F.count("*").alias("n_links"))
-    known = work.save(classes.join(near, "h", "left").select("h", "place", F.least("place", "o_place").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    work.release_shuffles()
-    own = _lines(docs, least).select("doc_id", "pos", "place", F.xxhash64("line").alias("h")).withColumnRenamed("place", "here")
-    gone = F.col("here") != F.col("first")
-    told = own.join(known, "h").groupBy("doc_id").agg(
-        F.array_distinct(F.collect_list(F.when(gone, F.col("pos")))).alias("gone"), F.sum("n_links").alias("n_links"),
-        F.array_sort(F.collect_set(F.when(gone, F.floor(F.col("first") / F.lit(1 << 31)).cast("long")))).alias("first_docs"),
-    )
-    told = work.save(told, "told")
-    work.drop("lines")
-    work.release_shuffles()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(told, "doc_id", "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    some = F.size(F.coalesce("gone", F.expr("cast(array() as array<int>)"))) > 0
-    return rows.select(
-        "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.when(some, F.size("gone")).otherwise(0).cast("long").alias("n_removed"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first_docs", F.expr("cast(array() as array<bigint>)")).alias("first_docs"), F.when(some, kept).otherwise(F.col("text")).alias("kept_text"),
-    )
+    told = removed_lines(docs, Workspace(docs.sparkSession, "lines"), tau, least)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(told, F.col("doc_id") == F.col("_id"), "left")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    n_removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
+    return rows.select("doc_id", n_lines.alias("n_lines"), n_removed.alias("n_removed"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_firsts", F.expr("cast(array() as array<bigint>)")).alias("first_docs"), _kept().alias("kept_text"))
+
+
+def without_repeats(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
+    """The documents, with all their columns, less removed lines; n_chars, where there is one, follows the text.
+
+    Documents that had text and lose all of it go: each of their lines stands in an earlier document.
+    """
+    told = removed_lines(docs, Workspace(docs.sparkSession, "lines"), tau, least)
+    rows = docs.join(told, docs["doc_id"].cast("long") == told["_id"], "left").withColumn("_kept", _kept())
+    rows = rows.where(F.col("text").isNull() | (F.trim("text") == "") | (F.trim("_kept") != ""))
+    columns = {"text": F.col("_kept"), "n_chars": F.char_length("_kept").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return rows.select(*[columns[c].alias(c) if c in columns else docs[c] for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
