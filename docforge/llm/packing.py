@@ -124,7 +124,7 @@ def _cutter(vocabulary: str, kind: str, end_id: int, capacity: int, keep_ids: bo
         for batch in batches:
             data, offsets = K.flat(batch.column(1))
             at = 0
-            for a, b, part, offs in K.chunks(data, offsets):
+            for a, b, part, offs in K.chunks(data, offsets, T.CHUNK):
                 ids, first = encoder.encode(part, offs)
                 n = np.diff(first) + 1
                 row, piece = K.runs_to_ranges(-(-n // capacity))

@@ -20,8 +20,10 @@ _AFTER = np.zeros(256, bool)
 _AFTER[0x21:0x7F] = True
 _AFTER[0xC3:0xE1] = True
 _AFTER[0xE4:0xF5] = True
+#: Bytes of text encoded at once.
+CHUNK = 1_000_000
 #: Distinct pieces kept in a worker before the cache starts anew.
-CACHE = 1_500_000
+CACHE = 400_000
 
 
 class PieceTable:
@@ -46,7 +48,7 @@ class PieceTable:
         """Distinct hashes that are not in the map; they get the next row numbers."""
         while (self.count + len(h)) * 2 > 1 << self.bits:
             keys, rows = self.keys[self.rows >= 0], self.rows[self.rows >= 0]
-            self.bits += 2
+            self.bits += 1
             self.keys, self.rows = np.zeros(1 << self.bits, U), np.full(1 << self.bits, -1, np.int64)
             self._place(keys, rows)
         self._place(h, np.arange(self.count, self.count + len(h)))

@@ -73,7 +73,7 @@ def _writer(root: str, vocabulary: str, kind: str, end_id: int, wide: bool):
                 out = store.open_output_stream(f"{temporary}.rec")
             data, offs = K.flat(batch.column(1))
             rows, k = batch.column(0).to_pylist(), 0
-            for a, b, part, o in K.chunks(data, offs):
+            for a, b, part, o in K.chunks(data, offs, T.CHUNK):
                 ids, first = encoder.encode(part, o)
                 for i in range(b - a):
                     own = np.append(ids[first[i] : first[i + 1]], np.uint32(end_id)).astype(width)
