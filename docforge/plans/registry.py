@@ -34,8 +34,9 @@ def oracles() -> dict[str, str]:
 
 
 def _load() -> None:
-    pass
+    from docforge.plans import evaluation_queries, metadata_queries, retrieval_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Best documents for each benchmark passage."""
+    return queries()["bm25_topk"](spark, sf_dir)
