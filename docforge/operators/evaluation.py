@@ -267,3 +267,37 @@ def replay_errors(answer: Column, abstained: Column, ids: Column, evidence: Colu
         "unsupported_mismatch": F.array_sort(F.array_except(ids, evidence)) != F.array_sort(unsupported),
     }
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))
+
+
+# --- checks of golden data -----------------------------------------------------------------------------------
+
+
+def triage(labels: DataFrame, corpus: DataFrame, duplicates: DataFrame, cutoff: float = 0.85) -> DataFrame:
+    """(label, found, how): a label is a corpus id, a known duplicate of one, much like one, or unresolved.
+
+    Only labels that the equi joins leave open are compared by likeness, and those are a stated, small set.
+    """
+    ids = corpus.select(F.col("doc_id").alias("found")).distinct()
+    exact = labels.select("label").distinct().join(ids, F.col("label") == F.col("found"), "left")
+    twin = exact.where("found is null").select("label").join(duplicates.select(F.col("doc_id").alias("label"), F.col("dup_of").alias("found")), "label", "left")
+    open_ = twin.where("found is null").select("label")
+    like = ids.join(F.broadcast(open_), F.lit(True)).withColumn("ratio", name_likeness("label", "found")).where(F.col("ratio") >= cutoff)
+    best = like.groupBy("label").agg(F.max_by("found", F.struct("ratio", "found")).alias("found"))
+    rest = open_.join(best, "label", "left").select("label", "found", F.when(F.col("found").isNull(), "unresolved").otherwise("fuzzy").alias("how"))
+    return exact.where("found is not null").select("label", "found", F.lit("exact").alias("how")).unionByName(twin.where("found is not null").select("label", "found", F.lit("duplicate").alias("how"))).unionByName(rest)
+
+
+def progress(golden: DataFrame, targets: DataFrame, by: str) -> DataFrame:
+    """Questions written so far against targets; kinds without a question count 0."""
+    have = golden.groupBy(by).agg(F.count("*").alias("n"))
+    return targets.join(have, by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n"), "target", (F.col("target") - F.coalesce("n", F.lit(0))).alias("missing"))
+
+
+def provenance(levels: Column, generated: tuple[str, ...] = ("blind", "located")) -> Column:
+    """Flags of where visual evidence comes from."""
+    return F.struct(F.exists(levels, lambda x: x.isin(*generated)).alias("generated"), F.exists(levels, lambda x: x == "gold").alias("gold"), (F.size(levels) == 0).alias("none"))
+
+
+def recall_of(expected: Column, found: Column) -> Column:
+    """Share of expected documents found; null where none is expected."""
+    return F.when(F.size(expected) > 0, F.size(F.array_intersect(expected, found)) / F.size(expected))
