@@ -157,13 +157,11 @@ def line_links(docs: DataFrame, work: Workspace, tau: int = TAU, least: int = LE
     """Distinct lines (h, first place) and links (h, other) both ways, between lines within ``tau`` edits."""
     distinct = _lines(docs, least).groupBy("line").agg(F.min("place").alias("place"))
     table = work.save(distinct.select(F.xxhash64("line").alias("h"), F.char_length("line").alias("length"), counts(F.col("line")).alias("counts"), "line", "place"), "lines")
-    work.release_shuffles()
     line, length = F.col("line"), F.col("length")
     index = table.select(F.explode(index_keys(line, length, tau)).alias("key"), F.col("h").alias("h_i"), F.col("length").alias("l_i"), F.col("counts").alias("m_i"))
     probe = table.select(F.explode(probe_keys(line, length, tau, least)).alias("key"), F.col("h").alias("h_p"), F.col("length").alias("l_p"), F.col("counts").alias("m_p"))
     may = (F.col("h_i") != F.col("h_p")) & ((F.col("l_i") < F.col("l_p")) | (F.col("h_i") < F.col("h_p"))) & counts_allow(F.col("m_i"), F.col("m_p"), tau)
     pairs = work.save(probe.join(index, "key").where(may).select("h_p", "h_i").distinct(), "pairs")
-    work.release_shuffles()
     asked = pairs.select(F.explode(F.array("h_p", "h_i")).alias("h")).distinct()
     texts = work.save(table.select("h", "line").join(asked, "h"), "texts")
     p, i = (texts.select(F.col("h").alias(f"h_{s}"), F.col("line").alias(f"line_{s}")) for s in "pi")
@@ -180,7 +178,6 @@ def removed_lines(docs: DataFrame, work: Workspace, tau: int = TAU, least: int =
     near = links.join(classes.select(F.col("h").alias("other"), F.col("place").alias("o_place")), "other").groupBy("h").agg(F.min("o_place").alias("o_place"), F.count("*").alias("n_links"))
     known = work.save(classes.join(near, "h", "left").select("h", F.least("place", "o_place").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
     work.drop("lines")
-    work.release_shuffles()
     own = _lines(docs, least).select("doc_id", "pos", F.col("place").alias("here"), F.xxhash64("line").alias("h"))
     gone = F.col("here") != F.col("first")
     told = own.join(known, "h").groupBy(F.col("doc_id").alias("_id")).agg(
@@ -188,13 +185,12 @@ def removed_lines(docs: DataFrame, work: Workspace, tau: int = TAU, least: int =
         F.array_sort(F.collect_set(F.when(gone, F.floor(F.col("first") / F.lit(1 << 31)).cast("long")))).alias("_firsts"),
     )
     told = work.save(told, "told")
-    work.release_shuffles()
     return told
 
 
-def _kept() -> Column:
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    return F.when(F.size(F.coalesce("_gone", F.expr("cast(array() as array<int>)"))) > 0, kept).otherwise(F.col("text"))
+def _kept(text: Column, gone: Column) -> Column:
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    return F.when(F.size(F.coalesce(gone, F.expr("cast(array() as array<int>)"))) > 0, kept).otherwise(text)
 
 
 def line_dedup(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
@@ -210,7 +206,7 @@ def line_dedup(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(told, F.col("doc_id") == F.col("_id"), "left")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     n_removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    return rows.select("doc_id", n_lines.alias("n_lines"), n_removed.alias("n_removed"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_firsts", F.expr("cast(array() as array<bigint>)")).alias("first_docs"), _kept().alias("kept_text"))
+    return rows.select("doc_id", n_lines.alias("n_lines"), n_removed.alias("n_removed"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_firsts", F.expr("cast(array() as array<bigint>)")).alias("first_docs"), _kept(F.col("text"), F.col("_gone")).alias("kept_text"))
 
 
 def without_repeats(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
@@ -219,9 +215,9 @@ def without_repeats(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> Data
     Documents that had text and lose all of it go: each of their lines stands in an earlier document.
     """
     told = removed_lines(docs, Workspace(docs.sparkSession, "lines"), tau, least)
-    rows = docs.join(told, docs["doc_id"].cast("long") == told["_id"], "left").withColumn("_kept", _kept())
-    rows = rows.where(F.col("text").isNull() | (F.trim("text") == "") | (F.trim("_kept") != ""))
-    columns = {"text": F.col("_kept"), "n_chars": F.char_length("_kept").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    text, kept = docs["text"], _kept(docs["text"], told["_gone"])
+    rows = docs.join(told, docs["doc_id"].cast("long") == told["_id"], "left").where(text.isNull() | (F.trim(text) == "") | (F.trim(kept) != ""))
+    columns = {"text": kept, "n_chars": F.char_length(kept).cast(dict(docs.dtypes).get("n_chars", "long"))}
     return rows.select(*[columns[c].alias(c) if c in columns else docs[c] for c in docs.columns])
 
 
