@@ -81,20 +81,18 @@ def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 _WINDOWS = r"""w as (select doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') as ws from documents),
   c as (select doc_id, (place // 50) as nth, array_to_string(ws[place + 1:place + 50], ' ') as text from (select doc_id, ws, unnest(range(0, len(ws), 50)) as place from w)),
-  h as (select *, row_number() over (order by (doc_id * 7919 + nth * 104729) % 10007, doc_id, nth) as rank from c)"""
+  h as (select *, ((doc_id * 7919 + nth * 104729) % 10007) * 10000000000 + doc_id * 1000 + nth as rank, (doc_id * 7 + nth) % 10 as query_id from c)"""
 
 
-@query(f"""with {_WINDOWS}, q as (select rank % 10 as query_id, doc_id, nth // 4 as p, min(rank) as rank from h group by 1, 2, 3)
+@query(f"""with {_WINDOWS}, q as (select query_id, doc_id, nth // 4 as p, min(rank) as rank from h group by 1, 2, 3)
   select query_id, doc_id, p::bigint as parent, rank from q""")
 def parent_expand(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 50 words as children of 200: of each parent the first hit stays."""
-    from pyspark.sql import Window
-
     c = chunking.word_windows(table(spark, d, "documents"), 50)
     parent = F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit("-"), F.floor(F.col("nth") / 4).cast("string"))
     c = c.select(F.concat(F.lit("c"), F.col("doc_id").cast("string"), F.lit("-"), F.col("nth").cast("string")).alias("chunk_id"), parent.alias("parent_chunk_id"), "doc_id", "nth", "text")
-    order = [(F.col("doc_id") * 7919 + F.col("nth") * 104729) % 10007, F.col("doc_id"), F.col("nth")]
-    hits = c.select("chunk_id", "doc_id", "nth", F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank")).withColumn("query_id", F.col("rank") % 10)
+    place = ((F.col("doc_id") * 7919 + F.col("nth") * 104729) % 10007) * 10000000000 + F.col("doc_id") * 1000 + F.col("nth")
+    hits = c.select("chunk_id", "doc_id", "nth", place.cast("long").alias("rank"), ((F.col("doc_id") * 7 + F.col("nth")) % 10).alias("query_id"))
     parents = c.select(F.col("parent_chunk_id").alias("chunk_id"), F.lit(None).cast("string").alias("parent_chunk_id"), "text").dropDuplicates(["chunk_id"])
     out = R.expand_to_parent(hits, c.select("chunk_id", "parent_chunk_id", "text").unionByName(parents))
     return out.select("query_id", "doc_id", F.floor(F.col("nth") / 4).cast("long").alias("parent"), "rank")
