@@ -179,7 +179,6 @@ def final_attempt_stream(spark: SparkSession, d: str) -> DataFrame:
     rows.write.mode("overwrite").parquet(f"{root}/log")
     q = attempts.follow(spark, f"{root}/log", "user_id long, event_id long, ts timestamp, event_type string, ok boolean", f"{root}/table", f"{root}/checkpoint", "user_id", "ok", ["ts", "event_id"])
     q.awaitTermination()
-    number = q.lastProgress["batchId"]
     versions = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/table")
     found = versions.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(versions)
     number = max(int(s.getPath().getName()) for s in found)
