@@ -154,11 +154,9 @@ def repeated_windows(docs: DataFrame, work: Workspace, elements: Elements, size:
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     met = rows.mapInArrow(_scanner(elements, size, gram), _ROW_SQL).repartition("key").sortWithinPartitions("key", "content", "doc_id", "start")
     told = work.save(met.mapInArrow(_settler(own), f"{_ROW_SQL}, kind byte"), "settled")
-    work.release_shuffles()
     asked = told.where("kind = 1").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("asked"))
     cut = rows.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_cutter(elements, size), "key long, doc_id long, start int, n int, elements binary")
     found = work.save(cut.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(resolve, "doc_id long, start int, n int"), "resolved")
-    work.release_shuffles()
     both = told.where("kind = 0").select("doc_id", "start", "n").union(found)
     return both.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 

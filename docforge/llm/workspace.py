@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _fallback: dict[str, str] = {}
 
 
@@ -41,17 +42,18 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table; the schema is known, so none is inferred."""
-        schema = df.schema
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        """Write ``df`` and return the written table; the schema is known, so none is inferred.
+
+        The table takes the place of the plan, so the plan's shuffle files are removed with the write.
+        """
+        schema, conf = df.schema, self.spark.conf
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            conf.set(CLEANUP, before)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
         self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name)), True)
-
-    def release_shuffles(self) -> None:
-        """Let Spark's context cleaner remove shuffle files of plans that are already written."""
-        import gc
-
-        gc.collect()
-        self.spark._jvm.System.gc()
