@@ -42,10 +42,10 @@ def components(edges: DataFrame, work: Workspace, name: str, block: int = 1_000_
     until nothing changes. Each step is written, so lineage stays short. Loops and repeated edges are ignored.
     """
     edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    got = work.save(edges, f"{name}-0")
+    got = work.save(edges, f"{name}-edges")
     # hash parts of bounded size; one part is enough for few edges
     parts = max(1, -(-got.count() // block))
-    stars = work.save(got.repartition(parts, "b").mapInArrow(_forest, "a long, b long").distinct(), f"{name}-1")
+    stars = work.save(got.repartition(parts, "b").mapInArrow(_forest, "a long, b long").distinct(), f"{name}-step-1")
     step = 1
     while parts > 1:
         both = stars.union(stars.select("b", "a"))
@@ -54,10 +54,10 @@ def components(edges: DataFrame, work: Workspace, name: str, block: int = 1_000_
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a != b").distinct()
         step += 1
-        fresh = work.save(small, f"{name}-{step}")
+        fresh = work.save(small, f"{name}-step-{step}")
         mark = lambda df: df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         done = mark(fresh) == mark(stars)
-        work.drop(f"{name}-{step - 1}")
+        work.drop(f"{name}-step-{step - 1}")
         stars = fresh
         if done:
             break

@@ -5,10 +5,11 @@ similarity t share one of their rarest (1 - t) n + 1 elements in any fixed order
 one for each such element. Within a tile nodes stand by size and only meet nodes of their size band.
 Bitmaps bound the overlap from above; pairs that may still be similar are intersected exactly.
 
-Two rounds keep large groups of near copies linear. First only neighbours in a tile (by size) are compared,
-in the tiles of each node's first few elements; nearly all groups become connected. Then all pairs of
-*different* groups that share a tile are compared, so no link between groups is missed, and a tile within one
-group costs nothing. Shingles frequent in many tasks come last in the order, so passages shared by many documents
+Rounds keep large groups of near copies linear. First, in the tiles of each node's first few elements, nodes are
+compared with their neighbours by size and with the node that most documents share. Then, twice, each node of a
+tile is compared with the closest (by bitmap) of another group there. Each round joins what links, and a tile within
+one group costs nothing any more. At last all pairs of *different* groups that share a tile are compared, so no link
+between groups is missed. Shingles frequent in many tasks come last in the order, so passages shared by many documents
 make no tiles unless documents consist of them. That order changes the work only, never the result.
 """
 
@@ -67,8 +68,8 @@ def node_of(elements: np.ndarray) -> int:
 
 
 def bits_for(n: int) -> int:
-    """Width of a bitmap: a power of two, at least two bits for each element, so equal within a size band."""
-    return max(64, 1 << int(2 * n - 1).bit_length())
+    """Width of a bitmap: a power of two, at least four bits for each element, so nearly equal within a size band."""
+    return max(64, 1 << int(4 * n - 1).bit_length())
 
 
 def bitmap(elements: np.ndarray) -> bytes:
@@ -200,17 +201,32 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(percent: int):
-    """Of rows sorted by key, n and node: pairs that follow each other within a key and a size band."""
+    """Of rows (key, n, node, copies) sorted by key, n and node: neighbours within a key, and each node with the key's most copied one.
+
+    Both within a size band; at most two pairs for each row.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
+        before, hub = None, None  # the last row; the most copied row of its key so far
         for batch in batches:
             if before is not None:
                 batch = pa.concat_batches([before, batch])
-            key, n, node = (batch.column(k).to_numpy() for k in range(3))
-            pick = np.flatnonzero((key[1:] == key[:-1]) & (node[1:] != node[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64)))
-            pairs = np.unique(np.column_stack([np.minimum(node[pick], node[pick + 1]), np.maximum(node[pick], node[pick + 1])]), axis=0)
+            key, n, node, copies = (batch.column(k).to_numpy().astype(np.int64) for k in range(4))
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            lengths = np.diff(np.append(starts, len(key)))
+            group = np.repeat(np.arange(len(starts)), lengths)
+            order = np.lexsort((node, -copies, group))
+            top_n, top_node, top_copies = n[order[starts]], node[order[starts]], copies[order[starts]]
+            if hub is not None and hub[0] == key[0] and hub[3] > top_copies[0]:
+                top_n[0], top_node[0] = hub[1], hub[2]
+                top_copies[0] = hub[3]
+            hub = (key[-1], top_n[-1], top_node[-1], top_copies[-1])
+            near = lambda x, y: 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+            pick = np.flatnonzero((key[1:] == key[:-1]) & near(n[1:], n[:-1]))
+            star = np.flatnonzero(near(n, top_n[group]))
+            x, y = np.concatenate([node[pick], node[star]]), np.concatenate([node[pick + 1], top_node[group[star]]])
+            pairs = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)])[x != y], axis=0)
             before = batch.slice(len(key) - 1, 1)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
@@ -244,16 +260,21 @@ def _bounded(percent: int):
     return run
 
 
-def tile_pairs(n: np.ndarray, node: np.ndarray, group: np.ndarray, maps: list[bytes], percent: int, block: int = 128) -> np.ndarray:
-    """Pairs of one tile, sorted by n, that are of different groups, within a size band and may be similar."""
+def tile_pairs(n: np.ndarray, node: np.ndarray, group: np.ndarray, short: np.ndarray, maps: list[bytes], percent: int, closest: bool = False, block: int = 128) -> np.ndarray:
+    """Pairs of one tile, sorted by n, that are of different groups, within a size band and may be similar.
+
+    ``short``: the tile's element is in the node's short prefix, which is all that the smaller of a pair needs.
+    ``closest``: only each node's nearest by bitmap, one pair for each row at most.
+    """
     found = [np.zeros((0, 2), np.int64)]
+    least, nearest = np.full(len(n), 1 << 40), np.full(len(n), -1)
     n = n.astype(np.int64)
     low = np.searchsorted(n, -(-percent * n // 100))  # first row that is large enough for each
     for i in range(0, len(n), block):
         mine = slice(i, min(i + block, len(n)))
         for j in range(int(low[i]), mine.stop, block):
             other = slice(j, min(j + block, mine.stop))
-            ask = (group[mine, None] != group[None, other]) & (100 * n[None, other] >= percent * n[mine, None]) & (np.arange(mine.start, mine.stop)[:, None] > np.arange(other.start, other.stop)[None])
+            ask = short[None, other] & (group[mine, None] != group[None, other]) & (100 * n[None, other] >= percent * n[mine, None]) & (np.arange(mine.start, mine.stop)[:, None] > np.arange(other.start, other.stop)[None])
             x, y = np.nonzero(ask)
             if not len(x):
                 continue
@@ -263,19 +284,32 @@ def tile_pairs(n: np.ndarray, node: np.ndarray, group: np.ndarray, maps: list[by
             apart = np.bitwise_count(left[x] ^ right[y]).sum(1).astype(np.int64)
             x, y = x + mine.start, y + other.start
             ok = may_link(n[x], n[y], apart, percent)
-            found.append(np.column_stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])])[ok])
+            x, y, apart = x[ok], y[ok], apart[ok]
+            if not closest:
+                found.append(np.column_stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
+                continue
+            for p, q in ((x, y), (y, x)):
+                order = np.lexsort((apart, p))
+                p, q, d = p[order], q[order], apart[order]
+                head = np.append(True, p[1:] != p[:-1]) if len(p) else np.zeros(0, bool)
+                p, q, d = p[head], q[head], d[head]
+                better = d < least[p]
+                least[p[better]], nearest[p[better]] = d[better], q[better]
+    if closest:
+        p = np.flatnonzero(nearest >= 0)
+        found.append(np.column_stack([np.minimum(node[p], node[nearest[p]]), np.maximum(node[p], node[nearest[p]])]))
     return np.concatenate(found)
 
 
-def _across(percent: int):
-    """Of rows (key, n, node, group, bitmap) sorted by key and n: the tiles' pairs."""
+def _across(percent: int, closest: bool):
+    """Of rows (key, n, node, group, short, bitmap) sorted by key and n: the tiles' pairs."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
-        key, n, node, group = (t.column(k).to_numpy() for k in range(4))
-        maps, cuts = t.column(4).to_pylist(), np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] + 1))
-        out = [tile_pairs(n[a:b], node[a:b], group[a:b], maps[a:b], percent) for a, b in zip(cuts[:-1], cuts[1:])]
+        key, n, node, group, short = (t.column(k).to_numpy() for k in range(5))
+        maps, cuts = t.column(5).to_pylist(), np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] + 1))
+        out = [tile_pairs(n[a:b], node[a:b], group[a:b], short[a:b], maps[a:b], percent, closest) for a, b in zip(cuts[:-1], cuts[1:])]
         got = np.unique(np.concatenate(out), axis=0)
         if len(got):
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], schema=schema)
@@ -360,26 +394,32 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     keys = rows.mapInArrow(_keyer(size, percent, shared), "key long, n int, node long, rank int")
     keys = keys.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_shared_keys, "key long, n int, node long, rank int")
     keys = work.save(keys, "keys")
-    work.release_shuffles()
 
-    near = keys.where(F.col("rank") < FIRST).repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_neighbours(percent), "a long, b long").distinct()
+    copies = members.groupBy("node").agg(F.count("*").alias("copies"))
+    first = keys.where(F.col("rank") < FIRST).join(copies, "node").select("key", "n", "node", "copies")
+    near = first.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_neighbours(percent), "a long, b long").distinct()
     side = lambda s: maps.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bitmap").alias(f"bitmap_{s}"))
     near = near.join(side("a"), "a").join(side("b"), "b").select("a", "n_a", "bitmap_a", "b", "n_b", "bitmap_b").mapInArrow(_bounded(percent), "a long, b long")
-    links = _verified(rows, members, work.save(near, "near"), size, percent, work, "first")
-    groups = work.save(components(links, work, "groups"), "groups")
-
-    placed = keys.join(groups, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("group"))
-    several = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    mixed = placed.join(several, "key").join(maps.select("node", "bitmap"), "node").select("key", "n", "node", "group", "bitmap")
-    more = mixed.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_across(percent), "a long, b long").distinct()
-    tested = spark.read.schema("a long, b long").parquet(work.path("near")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    extra = _verified(rows, members, work.save(more.join(tested, ["a", "b"], "left_anti"), "more"), size, percent, work, "second")
-    work.release_shuffles()
-
-    stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra)
+    tested = work.save(near, "near-0")
+    groups = work.save(components(_verified(rows, members, tested, size, percent, work, "round-0"), work, "groups-0"), "groups-0")
+
+    # two sets of sizes n <= m overlap in 2t / (1 + t) n elements at least
+    short = F.col("rank") < F.col("n") - F.ceil(F.col("n") * F.lit(2 * percent) / F.lit(100 + percent) - F.lit(1e-9)) + 1
+    for turn, closest in enumerate((True, True, False), 1):
+        placed = keys.join(groups, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("group"), short.alias("short"))
+        several = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
+        mixed = placed.join(several, "key").join(maps.select("node", "bitmap"), "node").select("key", "n", "node", "group", "short", "bitmap")
+        pairs = mixed.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_across(percent, closest), "a long, b long").distinct()
+        pairs = work.save(pairs.join(tested, ["a", "b"], "left_anti"), f"near-{turn}")
+        links = _verified(rows, members, pairs, size, percent, work, f"round-{turn}")
+        stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
+        groups, tested = work.save(components(stars, work, f"groups-{turn}"), f"groups-{turn}"), tested.union(pairs)
+    work.drop("keys")
+
+    stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
     # repeated ids: all nodes of an id hang together
     twice = members.where("n > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
-    final = work.save(components(stars.union(twice), work, "final"), "classes")
+    final = work.save(components(stars.union(twice), work, "classes"), "classes")
     placed = members.join(final, "node", "left").withColumn("group", F.coalesce("component", "node"))
     first = placed.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("low"))
     return placed.join(first, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -390,10 +430,12 @@ def _verified(rows: DataFrame, members: DataFrame, pairs: DataFrame, size: int,
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = members.where("n > 0").join(asked, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     made = rows.join(chosen, "doc_id").select("doc_id", "text").mapInArrow(_setter(size), "node long, elements binary")
-    found = work.save(made, f"{name}-sets").dropDuplicates(["node"])
+    found = work.save(made, f"{name}-sets")  # a repeated id may bring a set twice, which only repeats a pair
     a, b = (found.select(F.col("node").alias(s), F.col("elements").alias(f"elements_{s}")) for s in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "elements_a", "elements_b")
-    return work.save(both.mapInArrow(_verifier(percent), "a long, b long"), f"{name}-links")
+    links = work.save(both.mapInArrow(_verifier(percent), "a long, b long"), f"{name}-links")
+    work.drop(f"{name}-sets")
+    return links
 
 
 def first_of_class(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
