@@ -28,8 +28,10 @@ from docforge.llm.workspace import Workspace
 
 U = K.U
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U)
-#: Elements whose tiles the first round uses.
-FIRST = 4
+#: Elements whose tiles the first round uses, and those that compare the closest.
+FIRST, NEXT = 2, 8
+#: Bytes of the narrow bitmaps that stand in tiles; pairs that pass are held against the full ones.
+NARROW = 64
 #: Shingles moved to the end of the order at most (the most frequent ones); it bounds what is broadcast.
 HEAVY = 100_000
 
@@ -246,6 +248,12 @@ def _distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum())
 
 
+def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        maps = [folded(np.frombuffer(m, np.uint8)[None], NARROW).tobytes() for m in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], ["node", "bitmap"])
+
+
 def _bounded(percent: int):
     """Pairs (a, n_a, bitmap_a, b, n_b, bitmap_b) that may be similar."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -403,14 +411,17 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     tested = work.save(near, "near-0")
     groups = work.save(components(_verified(rows, members, tested, size, percent, work, "round-0"), work, "groups-0"), "groups-0")
 
+    narrow = work.save(maps.select("node", "bitmap").mapInArrow(_narrowed, "node long, bitmap binary"), "narrow")
     # two sets of sizes n <= m overlap in 2t / (1 + t) n elements at least
     short = F.col("rank") < F.col("n") - F.ceil(F.col("n") * F.lit(2 * percent) / F.lit(100 + percent) - F.lit(1e-9)) + 1
     for turn, closest in enumerate((True, True, False), 1):
-        placed = keys.join(groups, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("group"), short.alias("short"))
+        rows_of = keys.where(F.col("rank") < NEXT) if closest else keys
+        placed = rows_of.join(groups, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("group"), short.alias("short"))
         several = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-        mixed = placed.join(several, "key").join(maps.select("node", "bitmap"), "node").select("key", "n", "node", "group", "short", "bitmap")
+        mixed = placed.join(several, "key").join(narrow, "node").select("key", "n", "node", "group", "short", "bitmap")
         pairs = mixed.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_across(percent, closest), "a long, b long").distinct()
-        pairs = work.save(pairs.join(tested, ["a", "b"], "left_anti"), f"near-{turn}")
+        pairs = pairs.join(tested, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").select("a", "n_a", "bitmap_a", "b", "n_b", "bitmap_b")
+        pairs = work.save(pairs.mapInArrow(_bounded(percent), "a long, b long"), f"near-{turn}")
         links = _verified(rows, members, pairs, size, percent, work, f"round-{turn}")
         stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
         groups, tested = work.save(components(stars, work, f"groups-{turn}"), f"groups-{turn}"), tested.union(pairs)
