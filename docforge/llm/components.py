@@ -45,7 +45,8 @@ def components(edges: DataFrame, work: Workspace, name: str, block: int = 1_000_
     got = work.save(edges, f"{name}-edges")
     # hash parts of bounded size; one part is enough for few edges
     parts = max(1, -(-got.count() // block))
-    stars = work.save(got.repartition(parts, "b").mapInArrow(_forest, "a long, b long").distinct(), f"{name}-step-1")
+    dealt = got.repartition(parts, "b") if parts > 1 else got.coalesce(1)
+    stars = work.save(dealt.mapInArrow(_forest, "a long, b long").distinct(), f"{name}-step-1")
     step = 1
     while parts > 1:
         both = stars.union(stars.select("b", "a"))
