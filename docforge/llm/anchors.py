@@ -46,12 +46,12 @@ def spans(values: np.ndarray, first: np.ndarray, size: int, gram: int) -> tuple[
     return row[at], start, count, low[start], K.span_hash(acc, start, start + count + size - 1)
 
 
-# A content is told from others of its anchor by 32 bits: few contents share an anchor.
+# A content is told from others of its anchor by its whole hash of 64 bits: a frequent anchor has as many contents as contexts.
 #: (bytes, offsets) of texts to their elements: values, and each row's first (one more than rows).
 Elements = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-_ROW = pa.schema([("key", pa.int64()), ("content", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-_ROW_SQL = "key long, content int, doc_id long, start int, n int"
+_ROW = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+_ROW_SQL = "key long, content long, doc_id long, start int, n int"
 
 
 def _scanner(elements: Elements, size: int, gram: int):
@@ -62,7 +62,7 @@ def _scanner(elements: Elements, size: int, gram: int):
             for a, b, part, offs in K.chunks(data, offsets):
                 values, first = elements(part, offs)
                 row, start, n, key, content = spans(values, first, size, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array((content >> U(32)).astype(np.uint32).view(np.int32)), pa.array(ids[a:b][row]), pa.array((start - first[row]).astype(np.int32)), pa.array(n.astype(np.int32))], schema=_ROW)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[a:b][row]), pa.array((start - first[row]).astype(np.int32)), pa.array(n.astype(np.int32))], schema=_ROW)
 
     return run
 

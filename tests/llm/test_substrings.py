@@ -107,3 +107,28 @@ def test_induced_order_and_common_prefixes():
             got = list(induced.suffix_order(np.array(text), 8, memory))
             assert np.concatenate([x[0] for x in got]).tolist() == order
             assert np.concatenate([x[1] for x in got]).tolist() == shared
+
+
+def test_contents_of_one_anchor_are_told_by_the_whole_hash(make):
+    """Two passages of one anchor whose contents have the upper half of their hashes in common, found among 300,000."""
+    import pyarrow as pa
+
+    from docforge.llm import anchors
+    from docforge.llm import textkernel as K
+
+    names = [f"w{i}" for i in range(20_000)]
+    hashes, _ = relative_lz.words(*K.flat(pa.array([" ".join(names)])))
+    rng = np.random.default_rng(0)
+    grams = rng.integers(0, len(names), (200_000, 5))
+    acc = K.prefix_hash(hashes[grams].ravel())
+    at = np.arange(len(grams)) * 5
+    picked = rng.integers(0, len(names), (300_000, 20))
+    picked[:, :5] = grams[np.argmin(K.span_hash(acc, at, at + 5))]  # a rare low hash: the anchor of nearly all rows
+    row, _, _, key, content = anchors.spans(hashes[picked].ravel(), np.arange(len(picked) + 1) * 20, 20, 5)
+    same = np.flatnonzero(key == key[0])
+    order = same[np.argsort(content[same], kind="stable")]
+    high = content[order] >> np.uint64(32)
+    k = np.flatnonzero((high[1:] == high[:-1]) & (content[order][1:] != content[order][:-1]))
+    assert len(same) > 250_000 and len(k)
+    texts = [" ".join(names[i] for i in picked[row[order[k[0] + j]]]) for j in (0, 1)]
+    assert [r.n_removed for r in relative_lz.report(make([*texts, texts[1]])).orderBy("doc_id").collect()] == [0, 0, 20]
