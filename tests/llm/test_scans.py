@@ -69,6 +69,22 @@ def test_base_spans_and_formats(make, sample):
     assert found >= 150  # unseen strings of the learned formats
 
 
+def test_credentials_glued_to_names_and_paths():
+    fresh = secrets.labelled_credentials(20, seed=99)
+    for before, after in (("aws_secret_access_key=", ""), ("STRIPE_KEY=", "\n"), ("GH=", ""), ("https://host/x/", ""), ("https://host/a_b-c/", "/tree.html"), ("settings.production.file_name.A=", "")):
+        for name, xs in fresh.items():
+            alone = [x for x in xs if secrets.secret_spans(("see " + x).encode())]
+            assert len(alone) >= 15
+            for x in alone:
+                at = len(before)
+                spans = secrets.secret_spans((before + x + after).encode())
+                assert any(s < at + len(x) and at < e for s, e, _ in spans), (before, x)
+                if before.endswith("=") and name in ("git_token", "payment_key", "cloud_secret_key", "maps_key", "chat_token"):
+                    assert (at, at + len(x), "format") in spans, (before, x)
+    for text in ("https://example.org/2024/01/02/a-long-title-of-the-page_3.html", "550e8400-e29b-41d4-a716-44665544000", "NAME=path/to/some/file_name_2"):
+        assert not secrets.secret_spans(text.encode()), text
+
+
 def test_plain_runs_are_no_formats():
     for text in ("thisisaverylongwordwithoutanydigits", "2024-01-01-2024-02-02", "path/to/some/file_name_2", "AAAAAAAAAAAAAAAAAAAAAAAAAAAAA1", "chapter-12-of-the-book-of-words"):
         assert secrets.format_of(text) is None, text
