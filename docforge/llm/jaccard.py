@@ -428,8 +428,8 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     work.drop("keys")
 
     stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    # repeated ids: all nodes of an id hang together
-    twice = members.where("n > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
+    # repeated ids: all nodes of an id hang together; documents without one do not
+    twice = members.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
     final = work.save(components(stars.union(twice), work, "classes"), "classes")
     placed = members.join(final, "node", "left").withColumn("group", F.coalesce("component", "node"))
     first = placed.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("low"))
@@ -450,6 +450,10 @@ def _verified(rows: DataFrame, members: DataFrame, pairs: DataFrame, size: int,
 
 
 def first_of_class(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """Documents that are the smallest id of their component, with their own columns."""
+    """Documents that are the smallest id of their component, with their own columns.
+
+    A document without an id cannot be the smallest of a component: all of them are kept, copies too.
+    """
     kept = jaccard_classes(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
+    named = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
+    return named.union(docs.where(docs["doc_id"].cast("long").isNull()))

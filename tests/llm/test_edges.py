@@ -45,3 +45,15 @@ def test_filters_keep_columns(odd, side):
         out.collect()
     kept = [(r.doc_id, r.text) for r in lines.without_repeats(odd).collect()]
     assert (0, LONG) in kept and (2, None) in kept and (3, "") in kept
+
+
+def test_first_of_class_keeps_documents_without_id(spark, odd):
+    kept = [(r.doc_id, r.text) for r in jaccard.first_of_class(odd).collect()]
+    assert sorted((x for x in kept if x[0] is None), key=str) == sorted([(None, LONG), (None, None)], key=str)
+    named = [(i, t) for i, t in ROWS if i is not None and i not in (1, 8)]  # 1 and 8 have copies of 0
+    assert sorted((x for x in kept if x[0] is not None), key=str) == sorted(named, key=str)
+    unique = spark.createDataFrame([(None, "words that stand in no other text at all"), (None, "")], "doc_id long, text string")
+    assert jaccard.first_of_class(unique).count() == 2
+    other = "entirely different words that were never written before in any of the rows"
+    both = spark.createDataFrame([(1, LONG), (2, other), (None, LONG), (None, other)], "doc_id long, text string")
+    assert jaccard.first_of_class(both).count() == 4  # rows without an id do not tie their texts together
