@@ -2,7 +2,8 @@
 
 Only piece lengths matter, and they lie between 1 and the capacity. So the planner works on counts of
 lengths (at most 4096 numbers, whatever the input), and each completed bin is repeated as long as its
-lengths last. The plan, a list of runs of equal bins, is bounded by the number of lengths too. Pieces get
+lengths last. Where that takes more bins than the lower bound, a branch-and-bound over completions packs the
+last bins anew, then twice as many, up to all of them. The plan, a list of runs of equal bins, is bounded by the number of lengths too. Pieces get
 their places by their rank among pieces of their length, which is counted in parallel.
 """
 
@@ -24,30 +25,28 @@ from docforge.llm.workspace import Workspace
 
 #: Nodes of the search for one bin's completions. Beyond it the best completion so far, at first best fit, is taken.
 NODES = 400
+#: Bins tried in the search over bins. Beyond it the best plan so far, at first that of completions taken once, stands.
+BINS = 10_000
 
 
 def waste_bound(counts: np.ndarray, capacity: int) -> int:
     """Least number of bins: Martello and Toth's L2, over all thresholds."""
-    sizes = np.arange(len(counts))
-    best = -(-int((counts * sizes).sum()) // capacity)
+    sizes, half = np.arange(len(counts)), capacity // 2
     total, number = np.cumsum(counts * sizes), np.cumsum(counts)
-    for k in range(1, capacity // 2 + 1):
-        large = int(number[-1] - number[capacity - k])
-        free_sizes = np.arange(capacity // 2 + 1, capacity - k + 1)
-        middle = int(counts[free_sizes].sum()) if len(free_sizes) else 0
-        room = int((counts[free_sizes] * (capacity - free_sizes)).sum()) if len(free_sizes) else 0
-        small = int(total[capacity // 2] - total[k - 1])
-        best = max(best, large + middle + max(0, -(-(small - room) // capacity)))
-    return best
+    k = np.arange(1, half + 1)
+    large, middle = number[-1] - number[capacity - k], number[capacity - k] - number[half]
+    room = capacity * middle - (total[capacity - k] - total[half])
+    small = total[half] - total[k - 1]
+    return int(max(-(-total[-1] // capacity), (large + middle + np.maximum(0, -(-(small - room) // capacity))).max(initial=0)))
 
 
 def completion(counts: np.ndarray, present: np.ndarray, room: int, nodes: int = NODES) -> list[int]:
     """Lengths that fill ``room`` best, largest first, from ``counts``.
 
     Depth-first over fillings, the largest fitting length first, so the first leaf is the best-fit one and the
-    incumbent. A filling is dominated when a length that still fits is left out or when one length can take
-    the place of its lengths; fillings whose waste cannot drop below the incumbent's, even with all that is
-    left of the smaller lengths, are pruned. Ties go to fewer, larger lengths: small ones are easier to place
+    incumbent. A filling is dominated when a length that still fits is left out; one that fits inside a single
+    length wastes no less than that length alone. Fillings whose waste cannot drop below the incumbent's, even with
+    all that is left of the smaller lengths, are pruned. Ties go to fewer, larger lengths: small ones are easier to place
     later. The search ends at no waste.
     """
     best: tuple[int, list[int]] = (room + 1, [])
@@ -62,15 +61,14 @@ def completion(counts: np.ndarray, present: np.ndarray, room: int, nodes: int =
             return False
         while at >= 0:
             size = int(present[at])
+            if room - int(mass[at + 1]) >= best[0]:
+                return False
             if counts[size] > chosen.count(size):
                 fits = True
                 if down(room - size, size, [*chosen, size]):
                     return True
                 if seen >= nodes:
                     return True
-                # a smaller part in its place is dominated where nothing fits beside it
-                if room - size < int(present[0]) or best[0] == 0:
-                    return best[0] == 0
             at -= 1
         if not fits and (room, len(chosen)) < (best[0], len(best[1]) or 1 << 30):
             best = (room, chosen)
@@ -80,8 +78,67 @@ def completion(counts: np.ndarray, present: np.ndarray, room: int, nodes: int =
     return best[1]
 
 
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
-    """Runs of equal bins: (lengths, how many bins), using all of ``counts``."""
+def fillings(counts: np.ndarray, room: int, nodes: int = NODES) -> list[list[int]]:
+    """Fillings of ``room`` that leave out nothing that fits, by waste and then by number of lengths."""
+    present, out, seen = np.flatnonzero(counts), [], 0
+
+    def down(room: int, most: int, chosen: list[int]) -> None:
+        nonlocal seen
+        seen += 1
+        least = next((int(x) for x in present if counts[x] > chosen.count(x)), room + 1)
+        if least > room:
+            out.append((room, len(chosen), chosen))
+        for size in present[: np.searchsorted(present, min(room, most), "right")][::-1].tolist():
+            if seen >= nodes:
+                return
+            if counts[size] > chosen.count(size):
+                down(room - size, size, [*chosen, size])
+
+    down(room, room, [])
+    return [x[2] for x in sorted(out)]
+
+
+def search(counts: np.ndarray, capacity: int, most: int, nodes: int) -> tuple[list[list[int]] | None, int]:
+    """Bins for all of ``counts``, ``most`` of them at most, or None if there is no such plan or ``nodes`` bins were tried; and how many were.
+
+    Depth-first: each bin takes the largest length left and one of its completions, the least waste first; a branch
+    ends where the lower bound of what is left goes beyond ``most``.
+    """
+    counts, bins, seen = counts.copy(), [], 0
+
+    def options() -> Iterator[list[int]]:
+        largest = int(np.flatnonzero(counts)[-1])
+        left = counts.copy()
+        left[largest] -= 1
+        room = capacity - largest
+        first = completion(left, np.flatnonzero(left), room)
+        yield [largest, *first]
+        yield from ([largest, *x] for x in fillings(left, room) if x != first)
+
+    stack = [options()]
+    while stack:
+        fill = next(stack[-1], None)
+        if fill is None:
+            stack.pop()
+            if bins:
+                np.add.at(counts, bins.pop(), 1)
+            continue
+        if seen >= nodes:
+            break
+        seen += 1
+        np.subtract.at(counts, fill, 1)
+        bins.append(fill)
+        if len(bins) + waste_bound(counts, capacity) > most:
+            np.add.at(counts, bins.pop(), 1)
+        elif not counts.any():
+            return bins, seen
+        else:
+            stack.append(options())
+    return None, seen
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """Runs of equal bins: the best completion of the largest length left, as often as its lengths last."""
     counts = counts.astype(np.int64).copy()
     out = []
     while counts.any():
@@ -97,6 +154,30 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
     return out
 
 
+def plan(counts: np.ndarray, capacity: int, nodes: int = BINS) -> list[tuple[list[int], int]]:
+    """Runs of equal bins: (lengths, how many bins), using all of ``counts``."""
+    counts = counts.astype(np.int64)
+    runs, bound, tail = best_fit(counts, capacity), waste_bound(counts, capacity), 8
+    while sum(r for _, r in runs) > bound and nodes > 0:
+        head, rest, n = list(runs), np.zeros_like(counts), 0
+        while head and n < tail:
+            fill, repeat = head.pop()
+            take = min(repeat, tail - n)
+            np.add.at(rest, fill, take)
+            n += take
+            if take < repeat:
+                head.append((fill, repeat - take))
+        found, seen = search(rest, capacity, n - 1, -(-nodes // 4) if head else nodes)
+        nodes -= seen
+        if found is not None:
+            runs = [*head, *((fill, 1) for fill in found)]
+        elif not head:
+            break
+        else:
+            tail *= 2
+    return runs
+
+
 def slots(runs: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, ...]]:
     """For each length the runs that take it: first rank, pieces for each bin, first bin, first place in it."""
     at: dict[int, int] = {}

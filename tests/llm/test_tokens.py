@@ -86,3 +86,18 @@ def test_plan_uses_all_and_stays_near_the_bound():
                 used[x] += repeat
         assert (used == counts).all()
         assert packing.waste_bound(counts, 100) <= sum(r for _, r in runs) <= packing.waste_bound(counts, 100) * 1.2 + 1
+
+
+def test_plan_backtracks_over_bins():
+    counts = np.bincount([60, 59, 57, 28, 25, 22, 18, 16, 15], minlength=101)
+    assert sum(r for _, r in packing.plan(counts, 100)) == 3
+    assert sum(packing.completion(counts, np.flatnonzero(counts), 40)) == 40
+    rng = np.random.default_rng(1)
+    for _ in range(30):  # lengths cut from full bins: the best plan is known
+        cuts = [np.diff([0, *np.sort(rng.choice(np.arange(1, 60), rng.integers(1, 4), replace=False)), 60]) for _ in range(6)]
+        counts = np.bincount(np.concatenate(cuts), minlength=61)
+        runs, used = packing.plan(counts, 60), np.zeros(61, int)
+        for fill, repeat in runs:
+            assert sum(fill) <= 60
+            np.add.at(used, fill, repeat)
+        assert (used == counts).all() and sum(r for _, r in runs) == 6
