@@ -1,9 +1,15 @@
 """Line dedup: a segment-partition edit join, with DataFrame functions only.
 
-Two lines within ``TAU`` edits share, by the pigeonhole principle, one of TAU + 1 segments of the shorter line,
-near its own place. Distinct lines are indexed by their segments; each line probes, for every length that may match,
-the few substrings that multi-match-aware selection leaves. Candidates are verified by a bit-parallel edit
+Two lines within ``TAU`` edits share, by the pigeonhole principle, one of TAU + 1 segments of their frame: the head, the
+tail, or the middle, which has then moved by one place at most. A frame is the length rounded down, so segments are aware
+of lengths, and lines near a frame's edge look into the one below too. Candidates are verified by a bit-parallel edit
 distance on the diagonal band of width 2 TAU + 1, after common heads and tails are cut off.
+
+A line goes if an earlier one is near, so one earlier neighbour is enough. In a small group of lines with one key all are
+candidates of each other; in a large one each is held against the earliest, the hub, only. Where that leaves lines open,
+the group is parted: by segments of what is left when the heads and tails that all its lines share are cut off, and by
+where each line leaves the hub. Of two near lines the one that leaves the hub later does so before the other has made
+TAU edits against it, so no pair is lost.
 """
 
 from __future__ import annotations
@@ -13,40 +19,51 @@ from pyspark.sql import functions as F
 
 from docforge.llm.workspace import Workspace
 
-#: Edits up to which lines are the same.
+#: Edits up to which lines are the same. The keys are made for two: one edit in the head and one in the tail move the middle by one.
 TAU = 2
-#: Shorter lines (code points, trimmed) are left alone: any two of them are a few edits apart.
+#: Shorter lines (code points, trimmed) are held against equal ones only: any two of them are a few edits apart.
 LEAST = 20
+#: Lines of a group that are all candidates of each other; larger groups meet by their hub.
+SMALL = 8
+#: How often large groups are parted. What is large even then is compared in whole.
+PARTINGS = 4
+#: Rows of 8 or 16 bytes that are broadcast at most; more are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
-def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment ``i`` of a line of that length: sizes differ by one at most, larger ones last."""
-    size, more = F.floor(length / (tau + 1)).cast("int"), (length % (tau + 1)).cast("int")
-    large_before = F.greatest(F.lit(0), F.lit(i) - (F.lit(tau + 1) - more))
-    return size * i + large_before, size + (F.lit(i) >= F.lit(tau + 1) - more).cast("int")
+def _power(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), k.cast("int"))
 
 
-def index_keys(line: Column, length: Column, tau: int = TAU) -> Column:
-    keys = []
-    for i in range(tau + 1):
-        start, size = _segment(length, i, tau)
-        keys.append(F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size)))
-    return F.array(*keys)
+def frame(length: Column) -> Column:
+    """The length less all but its three highest bits; lengths below 8 are whole."""
+    drop = F.greatest(F.length(F.bin(length.cast("long"))) - 3, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", length.cast("int"), drop), drop)
 
 
-def probe_keys(line: Column, length: Column, tau: int = TAU, least: int = LEAST) -> Column:
-    """Keys of the substrings that a line must look up: for each shorter length by up to ``tau``, segment and shift."""
+def segment_keys(text: Column, length: Column, frames: list[Column]) -> Column:
+    """Structs (key, kind): head, tail and middle of each frame that is not null; kind 1 is the middle one place on, which kind 0 only may meet.
+
+    The untouched middle has one place more than its key, so both lines' middles are whole if it moved by one.
+    """
     keys = []
-    for short in range(tau + 1):
-        other = length - short
-        for i in range(tau + 1):
-            start, size = _segment(other, i, tau)
-            for shift in range(max(-i, short - (tau - i)), min(i, short + tau - i) + 1):
-                fits = (other >= least) & (start + shift >= 0) & (start + shift + size <= length)
-                keys.append(F.when(fits, F.xxhash64(other, F.lit(i), F.substring(line, start + shift + 1, size))))
+    for f in frames:
+        third = F.floor(f / 3).cast("int")
+        parts = ((0, F.lit(1), third, 0), (1, length - (f - 2 * third) + 1, f - 2 * third, 0), (2, third + 1, third - 1, 0), (2, third + 2, third - 1, 1))
+        for name, start, size, kind in parts:
+            # a frame below 6 has no three segments: its lines all meet
+            content = F.when(f >= 6, F.substring(text, start, size)).otherwise(F.lit(""))
+            key = F.struct(F.xxhash64(F.lit(name), f, content).alias("key"), F.lit(kind).cast("int").alias("kind"))
+            keys.append(F.when(f.isNotNull() & (F.lit(kind == 0) | (f >= 6)), key))
     return F.array_compact(F.array(*keys))
 
 
+def frames_of(length: Column, names: tuple[str, ...] = ("f0", "f1", "f2")) -> list[Column]:
+    """The frames of a length and of the TAU lengths below it, repeated ones null."""
+    own = [frame(F.greatest(length - d, F.lit(0))) for d in range(TAU + 1)]
+    return [own[0].alias(names[0]), *[F.when(own[d] != own[d - 1], own[d]).alias(names[d]) for d in range(1, TAU + 1)]]
+
+
 #: Characters that are counted to rule out candidates, 12 bits each.
 _COUNTED = " aent"
 
@@ -80,11 +97,10 @@ def _bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
 
-def common_head(a: Column, b: Column, longest: int = 4096) -> Column:
-    """How many code points both begin with, up to 2 * longest - 1: a search by halves."""
-    steps = F.array(*[F.lit(1 << k) for k in range(longest.bit_length() - 1, -1, -1)])
-    most = F.least(F.char_length(a), F.char_length(b))
-    return F.aggregate(steps, F.lit(0), lambda at, n: at + F.when((at + n <= most) & (F.substring(a, at + 1, n) == F.substring(b, at + 1, n)), n).otherwise(F.lit(0)))
+def common_head(a: Column, i: Column, b: Column, j: Column, most: Column) -> Column:
+    """How many code points a from ``i`` on and b from ``j`` on have in common, up to ``most``: a search by halves."""
+    steps = F.transform(F.sequence(F.length(F.bin(F.greatest(most, F.lit(0)).cast("long"))), F.lit(0), F.lit(-1)), _power)
+    return F.aggregate(steps, F.lit(0), lambda at, n: at + F.when((at + n <= most) & (F.substring(a, i + at + 1, n) == F.substring(b, j + at + 1, n)), n).otherwise(F.lit(0)))
 
 
 def edit_distance_band(a: Column, b: Column, tau: int) -> Column:
@@ -132,78 +148,199 @@ def edit_distance_band(a: Column, b: Column, tau: int) -> Column:
     return F.when(n == 0, m).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), state, step, lambda s: s["d"]))
 
 
+def reach(x: Column, hub: Column, tau: int = TAU) -> Column:
+    """Struct (head, end): where the line first leaves the hub, and how far of the hub it follows with ``tau`` edits."""
+
+    def on(s: Column, d: int, at: Column) -> Column:
+        """Along diagonal d (place in x less place in the hub) from a place of the hub on; out of range stays null."""
+        most = F.least(s["n"] - at, s["m"] - at - d)
+        return F.when((at >= 0) & (at + d >= 0) & (most >= 0), at + common_head(s["h"], at, s["x"], at + d, most))
+
+    def further(s: Column, last: dict[int, Column], k: int) -> Column:
+        if k > tau:
+            return F.struct(s["head"].alias("head"), F.greatest(*last.values(), F.lit(0)).alias("end")) if len(last) > 1 else F.struct(s["head"].alias("head"), s["head"].alias("end"))
+        starts = {}
+        for d in range(-k, k + 1):
+            ways = [*([last[d] + 1] if d in last else []), *([last[d - 1]] if d - 1 in last else []), *([last[d + 1] + 1] if d + 1 in last else [])]
+            best = F.greatest(*ways) if len(ways) > 1 else ways[0]
+            starts[d] = F.least(best, s["n"], s["m"] - d)
+        return _let([s, *[on(s, d, at) for d, at in starts.items()]], lambda s, *ends: further(s, dict(zip(starts, ends)), k + 1))
+
+    def begun(x: Column, hub: Column, n: Column, m: Column) -> Column:
+        head = common_head(hub, F.lit(0), x, F.lit(0), F.least(n, m))
+        return _let([F.struct(x.alias("x"), hub.alias("h"), n.alias("n"), m.alias("m"), head.alias("head"))], lambda s: further(s, {0: s["head"]}, 1))
+
+    return _let([x, hub, F.char_length(hub), F.char_length(x)], begun)
+
+
 def within(a: Column, b: Column, tau: int = TAU) -> Column:
     """Whether two strings are at most ``tau`` edits apart."""
     chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
     after = lambda x, n: F.substring(x, n + 1, F.char_length(x))
+    head = lambda a, b: common_head(a, F.lit(0), b, F.lit(0), F.least(F.char_length(a), F.char_length(b)))
 
     def headless(a: Column, b: Column, n: Column) -> Column:
-        return _let([F.reverse(after(a, n)), F.reverse(after(b, n))], lambda x, y: _let([x, y, common_head(x, y)], middle))
+        return _let([F.reverse(after(a, n)), F.reverse(after(b, n))], lambda x, y: _let([x, y, head(x, y)], middle))
 
     def middle(a: Column, b: Column, n: Column) -> Column:
         return _let([chars(after(a, n)), chars(after(b, n))], lambda x, y: edit_distance_band(x, y, tau) <= tau)
 
-    return (F.abs(F.char_length(a) - F.char_length(b)) <= tau) & _let([a, b, common_head(a, b)], headless)
+    return (F.abs(F.char_length(a) - F.char_length(b)) <= tau) & _let([a, b, head(a, b)], headless)
+
 
+_BLANK = " \t\r\x0b\x0c"
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, pos, line, place) of lines of enough characters; ``place`` orders all lines."""
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, line, place) of lines that are not blank; ``place`` orders all lines."""
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")
-    return split.where(F.char_length("line") >= least).withColumn("place", place.cast("decimal(38,0)"))
-
-
-def line_links(docs: DataFrame, work: Workspace, tau: int = TAU, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Distinct lines (h, first place) and links (h, other) both ways, between lines within ``tau`` edits."""
-    distinct = _lines(docs, least).groupBy("line").agg(F.min("place").alias("place"))
-    table = work.save(distinct.select(F.xxhash64("line").alias("h"), F.char_length("line").alias("length"), counts(F.col("line")).alias("counts"), "line", "place"), "lines")
-    line, length = F.col("line"), F.col("length")
-    index = table.select(F.explode(index_keys(line, length, tau)).alias("key"), F.col("h").alias("h_i"), F.col("length").alias("l_i"), F.col("counts").alias("m_i"))
-    probe = table.select(F.explode(probe_keys(line, length, tau, least)).alias("key"), F.col("h").alias("h_p"), F.col("length").alias("l_p"), F.col("counts").alias("m_p"))
-    may = (F.col("h_i") != F.col("h_p")) & ((F.col("l_i") < F.col("l_p")) | (F.col("h_i") < F.col("h_p"))) & counts_allow(F.col("m_i"), F.col("m_p"), tau)
-    pairs = work.save(probe.join(index, "key").where(may).select("h_p", "h_i").distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("h_p", "h_i")).alias("h")).distinct()
-    texts = work.save(table.select("h", "line").join(asked, "h"), "texts")
-    p, i = (texts.select(F.col("h").alias(f"h_{s}"), F.col("line").alias(f"line_{s}")) for s in "pi")
-    good = pairs.join(p, "h_p").join(i, "h_i").where(within(F.col("line_p"), F.col("line_i"), tau)).select("h_p", "h_i")
-    links = work.save(good, "links")
-    work.drop("texts")
-    both = links.select(F.col("h_p").alias("h"), F.col("h_i").alias("other")).union(links.select("h_i", "h_p"))
-    return table.select("h", "place"), both
+    return split.where(F.btrim("line", F.lit(_BLANK)) != "").withColumn("place", place.cast("decimal(38,0)"))
+
+
+def _fitting(df: DataFrame) -> DataFrame:
+    """A written table as the build side of a join: broadcast if its measured size allows it, else shuffled and hashed."""
+    return df.hint("broadcast" if df.count() <= BROADCAST_ROWS else "shuffle_hash")
+
+
+def _marks(line: Column) -> list[Column]:
+    """128 bits that tell lines apart."""
+    return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit(7), line).alias("h2")]
+
+
+def distinct_lines(docs: DataFrame, work: Workspace) -> DataFrame:
+    """(id, line, place of the first, n): one row for each distinct line. The ids are fixed by writing them."""
+    seen = _lines(docs).groupBy("line").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    return work.save(seen.select(F.monotonically_increasing_id().alias("id"), "line", "place", "n"), "lines")
+
+
+def near_lines(table: DataFrame, work: Workspace, tau: int = TAU, least: int = LEAST) -> DataFrame:
+    """(id, earlier): lines of at least ``least`` code points that have an earlier one within ``tau`` edits, with that one's place.
+
+    Every such line is found. Of several earlier neighbours the first that was met counts.
+    """
+    if tau > TAU:
+        raise ValueError(f"the keys hold for up to {TAU} edits")
+    own = table.where(F.char_length("line") >= least).select("id", "line", F.char_length("line").alias("length"))
+    framed = own.select("id", "line", "length", *frames_of(F.col("length")))
+    keys = framed.select("id", F.explode(segment_keys(F.col("line"), F.col("length"), [F.col("f0"), F.col("f1"), F.col("f2")])).alias("k")).select(F.col("k.key").alias("g"), F.col("k.kind").alias("code"), "id")
+    # eight bytes of each key first: most stand alone
+    shared = work.save(keys.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "shared")
+    met = work.save(keys.join(_fitting(shared), "g"), "met")
+    asked = work.save(met.select("id").distinct(), "asked")
+    texts = work.save(table.join(_fitting(asked), "id").select("id", "line", "place", F.char_length("line").alias("length"), counts(F.col("line")).alias("counts")), "texts")
+    groups = work.save(met.join(texts.select("id", "place", "length", "counts"), "id").withColumn("open", F.lit(True)), "groups-0")
+    for name in ("shared", "met", "asked"):
+        work.drop(name)
+    found = []
+    for turn in range(PARTINGS + 1):
+        last = turn == PARTINGS
+        me = F.struct("place", "id", "length", "counts")
+        stats = groups.groupBy("g").agg(F.count("*").alias("n"), F.min(me).alias("hub"), F.max("open").alias("any")).where("n > 1 and any")
+        marked = work.save(groups.join(stats.select("g", "n", "hub"), "g"), f"marked-{turn}")
+        small, large = (marked, None) if last else (marked.where(F.col("n") <= SMALL), marked.where((F.col("n") > SMALL) & (F.col("id") != F.col("hub.id"))))
+        links = _verified(_all_pairs(small, tau) if large is None else _all_pairs(small, tau).union(_hub_pairs(large, tau)), texts, work, turn, tau)
+        found.append(links)
+        work.drop(f"groups-{turn}")
+        if large is None or large.isEmpty():
+            break
+        groups = work.save(_parted(large, links, texts, work, turn), f"groups-{turn + 1}")
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return work.save(out.groupBy("id").agg(F.min("earlier").alias("earlier")), "near")
+
+
+def _alike(x: dict[str, Column], y: dict[str, Column], tau: int) -> Column:
+    return (F.abs(x["length"] - y["length"]) <= tau) & counts_allow(x["counts"], y["counts"], tau)
+
+
+def _before(x: dict[str, Column], y: dict[str, Column]) -> Column:
+    """Of two lines of one place (a repeated id) the one with the smaller id comes first."""
+    return (x["place"] < y["place"]) | ((x["place"] == y["place"]) & (x["id"] < y["id"]))
+
+
+def _all_pairs(rows: DataFrame, tau: int) -> DataFrame:
+    """(earlier, later) of rows of one group whose codes allow it, for later lines that are open."""
+    names = ("g", "code", "id", "place", "length", "counts", "open")
+    one, two = (rows.select("g", *[F.col(c).alias(f"{s}_{c}") for c in names[1:]]) for s in "xy")
+    x, y = ({c: F.col(f"{s}_{c}") for c in names[1:]} for s in "xy")
+    may = y["open"] & (x["code"].bitwiseAND(y["code"]) == 0) & _before(x, y) & (x["id"] != y["id"]) & _alike(x, y, tau)
+    return one.join(two, "g").where(may).select(F.col("x_id").alias("one"), F.col("y_id").alias("two"))
+
+
+def _hub_pairs(rows: DataFrame, tau: int) -> DataFrame:
+    """(earlier, later): each row of a group and the group's first line."""
+    x, y = ({c: F.col(f"hub.{c}") if hub else F.col(c) for c in ("place", "id", "length", "counts")} for hub in (True, False))
+    return rows.where(F.col("open") & _alike(x, y, tau)).select(F.col("hub.id").alias("one"), F.col("id").alias("two"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, work: Workspace, turn: int, tau: int) -> DataFrame:
+    """(id, earlier) of the pairs that are near."""
+    pairs = work.save(pairs.distinct(), f"pairs-{turn}")
+    one = texts.select(F.col("id").alias("one"), F.col("line").alias("line_1"), F.col("place").alias("earlier"))
+    two = texts.select(F.col("id").alias("two"), F.col("line").alias("line_2"))
+    good = pairs.join(one, "one").join(two, "two").where(within(F.col("line_1"), F.col("line_2"), tau))
+    return work.save(good.select(F.col("two").alias("id"), "earlier"), f"links-{turn}")
+
+
+def _parted(rows: DataFrame, links: DataFrame, texts: DataFrame, work: Workspace, turn: int) -> DataFrame:
+    """Large groups as smaller ones, without their hubs: rows of one part may still be near.
+
+    ``code`` keeps which rows may not meet: two bits for each parting, for the moved middle and for a cell that is only looked into.
+    """
+    closed = links.select("id").distinct().withColumn("closed", F.lit(True))
+    state = rows.join(closed, "id", "left").select("g", "code", "id", "place", "length", "counts", F.col("open") & F.col("closed").isNull(), F.col("hub.id").alias("hub_id")).toDF("g", "code", "id", "place", "length", "counts", "open", "hub_id")
+    hubs = texts.select(F.col("id").alias("hub_id"), F.col("line").alias("hub"), F.col("length").alias("hub_length"))
+    held = state.join(texts.select("id", "line"), "id").join(hubs, "hub_id")
+    tail = lambda x, y, head: common_head(F.reverse(x), F.lit(0), F.reverse(y), F.lit(0), F.least(F.char_length(x), F.char_length(y)) - head)
+    met = held.withColumn("reach", reach(F.col("line"), F.col("hub"))).withColumn("tail", tail(F.col("line"), F.col("hub"), F.col("reach.head")))
+    met = work.save(met.select("g", "code", "id", "place", "length", "counts", "open", "line", "hub_length", F.col("reach.head").alias("head"), F.col("reach.end").alias("end"), "tail"), f"met-{turn}")
+    common = met.groupBy("g").agg(F.min("head").alias("cut"), F.min("tail").alias("off"), F.max("open").alias("any")).where("any").select("g", "cut", "off")
+    wide = F.greatest(F.lit(4), F.ceil(F.col("hub_length") / 32)).cast("int")
+    at, to = F.floor(F.col("head") / wide).cast("int"), F.floor(F.col("end") / wide).cast("int")
+    rest = met.join(common, "g").select("*", F.expr("substring(line, cut + 1, length - cut - off)").alias("rest"), at.alias("at"), F.greatest(at, to).alias("to"))
+    rest = rest.withColumn("size", F.col("length") - F.col("cut") - F.col("off")).select("*", *frames_of(F.col("size")))
+    cells = rest.withColumn("cell", F.explode(F.sequence("at", "to"))).withColumn("k", F.explode(segment_keys(F.col("rest"), F.col("size"), [F.col("f0"), F.col("f1"), F.col("f2")])))
+    code = F.shiftleft("code", 2) + F.col("k.kind") + F.when(F.col("cell") > F.col("at"), 2).otherwise(0)
+    return cells.select(F.xxhash64("g", "k.key", "cell").alias("g"), code.alias("code"), "id", "place", "length", "counts", "open")
 
 
 def removed_lines(docs: DataFrame, work: Workspace, tau: int = TAU, least: int = LEAST) -> DataFrame:
-    """(_id, _gone, _links, _firsts) of documents with lines long enough: positions to remove, links, where those lines stand first."""
-    classes, links = line_links(docs.where("doc_id is not null"), work, tau, least)
-    near = links.join(classes.select(F.col("h").alias("other"), F.col("place").alias("o_place")), "other").groupBy("h").agg(F.min("o_place").alias("o_place"), F.count("*").alias("n_links"))
-    known = work.save(classes.join(near, "h", "left").select("h", F.least("place", "o_place").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    work.drop("lines")
-    own = _lines(docs, least).select("doc_id", "pos", F.col("place").alias("here"), F.xxhash64("line").alias("h"))
-    gone = F.col("here") != F.col("first")
-    told = own.join(known, "h").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.array_distinct(F.collect_list(F.when(gone, F.col("pos")))).alias("_gone"), F.sum("n_links").alias("_links"),
-        F.array_sort(F.collect_set(F.when(gone, F.floor(F.col("first") / F.lit(1 << 31)).cast("long")))).alias("_firsts"),
-    )
-    told = work.save(told, "told")
-    return told
+    """(_id, _gone, _links, _firsts) of documents that lose lines: positions, how many of them are near another line, where the lines they repeat stand."""
+    rows = docs.where("doc_id is not null")
+    table = distinct_lines(rows, work)
+    near = near_lines(table, work, tau, least)
+    known = table.join(_fitting(near), "id", "left").where("n > 1 or earlier is not null").select(*_marks(F.col("line")), "place", "earlier")
+    known = work.save(known, "known")
+    for name in ("lines", "texts"):
+        work.drop(name)
+    own = _lines(rows).select("doc_id", "pos", F.col("place").alias("here"), *_marks(F.col("line")))
+    gone = own.join(known, ["h", "h2"]).where("earlier is not null or here != place")
+    first = F.floor(F.least("place", "earlier") / F.lit(1 << 31)).cast("long")
+    told = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_gone"), F.count("earlier").alias("_links"), F.array_sort(F.collect_set(first)).alias("_firsts"))
+    return work.save(told, "told")
 
 
 def _kept(text: Column, gone: Column) -> Column:
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
-    return F.when(F.size(F.coalesce(gone, F.expr("cast(array() as array<int>)"))) > 0, kept).otherwise(text)
+    """The text less the lines at the given positions."""
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    kept = _let([F.split(text, "\n")], lambda lines: F.array_join(F.transform(left(lines), lambda i: F.get(lines, i)), "\n"))
+    return F.when(gone.isNotNull(), kept).otherwise(text)
 
 
 def line_dedup(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, n_links, first_docs, kept_text.
 
     A line (trimmed, at least ``least`` code points) is removed if a line within ``tau`` edits, or the same, stands
-    earlier: in a document with a smaller id, or before it in its own. Lines are judged on the input. ``n_links``
-    counts links between distinct lines, ``first_docs`` lists the documents where the removed lines' classes stand first.
-    Null texts stay null; empty ones and lines too short stay as they are. A null id's lines are not compared. Rows of a
-    repeated id are taken as repeats of each other's lines, the row with the line first in its place keeps it in all.
+    earlier: in a document with a smaller id, or before it in its own. A shorter line that is not blank is removed if the
+    same stands earlier. Lines are judged on the input. ``n_links`` counts the removed lines that have an earlier neighbour
+    with another text, ``first_docs`` lists the documents of the earlier lines (of several neighbours one counts).
+    Null texts stay null, empty ones as they are. A null id's lines are not compared. Rows of a repeated id are taken as
+    repeats of each other's lines; those that have a line at its first place all keep it there.
     """
     told = removed_lines(docs, Workspace(docs.sparkSession, "lines"), tau, least)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(told, F.col("doc_id") == F.col("_id"), "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(told.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     n_removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
     return rows.select("doc_id", n_lines.alias("n_lines"), n_removed.alias("n_removed"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_firsts", F.expr("cast(array() as array<bigint>)")).alias("first_docs"), _kept(F.col("text"), F.col("_gone")).alias("kept_text"))
@@ -216,7 +353,7 @@ def without_repeats(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> Data
     """
     told = removed_lines(docs, Workspace(docs.sparkSession, "lines"), tau, least)
     text, kept = docs["text"], _kept(docs["text"], told["_gone"])
-    rows = docs.join(told, docs["doc_id"].cast("long") == told["_id"], "left").where(text.isNull() | (F.trim(text) == "") | (F.trim(kept) != ""))
+    rows = docs.join(told.hint("shuffle_hash"), docs["doc_id"].cast("long") == told["_id"], "left").where(text.isNull() | (F.trim(text) == "") | (F.trim(kept) != ""))
     columns = {"text": kept, "n_chars": F.char_length(kept).cast(dict(docs.dtypes).get("n_chars", "long"))}
     return rows.select(*[columns[c].alias(c) if c in columns else docs[c] for c in docs.columns])
 
