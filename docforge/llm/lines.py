@@ -7,9 +7,9 @@ distance on the diagonal band of width 2 TAU + 1, after common heads and tails a
 
 A line goes if an earlier one is near, so one earlier neighbour is enough. In a small group of lines with one key all are
 candidates of each other; in a large one each is held against the earliest, the hub, only. Where that leaves lines open,
-the group is parted: by segments of what is left when the heads and tails that all its lines share are cut off, and by
-where each line leaves the hub. Of two near lines the one that leaves the hub later does so before the other has made
-TAU edits against it, so no pair is lost.
+the group is parted by where each line leaves the hub: of two near lines the one that leaves it later does so within what
+the other reaches of the hub with TAU edits, from either side. Parts that are large still are parted once more, by segments
+of what is left when the heads and tails that all their lines share are cut off. No step loses a pair.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ TAU = 2
 LEAST = 20
 #: Lines of a group that are all candidates of each other; larger groups meet by their hub.
 SMALL = 8
-#: How often large groups are parted. What is large even then is compared in whole.
-PARTINGS = 4
+#: Rows of a part that are compared with each other; a larger part is parted once more.
+LARGE = 64
+#: Cells of a hub's places.
+CELLS = 16
 #: Rows of 8 or 16 bytes that are broadcast at most; more are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -198,9 +200,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.where(F.btrim("line", F.lit(_BLANK)) != "").withColumn("place", place.cast("decimal(38,0)"))
 
 
-def _fitting(df: DataFrame) -> DataFrame:
-    """A written table as the build side of a join: broadcast if its measured size allows it, else shuffled and hashed."""
-    return df.hint("broadcast" if df.count() <= BROADCAST_ROWS else "shuffle_hash")
+def _fitting(df: DataFrame, use: DataFrame | None = None) -> DataFrame:
+    """A written table, or what is made of it, as the build side of a join: broadcast if its measured size allows it, else shuffled and hashed."""
+    return (use or df).hint("broadcast" if df.count() <= BROADCAST_ROWS else "shuffle_hash")
 
 
 def _marks(line: Column) -> list[Column]:
@@ -214,6 +216,11 @@ def distinct_lines(docs: DataFrame, work: Workspace) -> DataFrame:
     return work.save(seen.select(F.monotonically_increasing_id().alias("id"), "line", "place", "n"), "lines")
 
 
+#: What a line has in a group: ``code`` holds one bit for each way in which two rows may not meet; ``head`` to ``end`` and ``tail`` to ``off`` are
+#: the places, from either side, where a near line may leave the group's hub.
+_ROW = ("id", "code", "place", "length", "counts", "open", "head", "end", "tail", "off")
+
+
 def near_lines(table: DataFrame, work: Workspace, tau: int = TAU, least: int = LEAST) -> DataFrame:
     """(id, earlier): lines of at least ``least`` code points that have an earlier one within ``tau`` edits, with that one's place.
 
@@ -227,83 +234,87 @@ def near_lines(table: DataFrame, work: Workspace, tau: int = TAU, least: int = L
     # eight bytes of each key first: most stand alone
     shared = work.save(keys.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "shared")
     met = work.save(keys.join(_fitting(shared), "g"), "met")
-    asked = work.save(met.select("id").distinct(), "asked")
-    texts = work.save(table.join(_fitting(asked), "id").select("id", "line", "place", F.char_length("line").alias("length"), counts(F.col("line")).alias("counts")), "texts")
-    groups = work.save(met.join(texts.select("id", "place", "length", "counts"), "id").withColumn("open", F.lit(True)), "groups-0")
-    for name in ("shared", "met", "asked"):
-        work.drop(name)
-    found = []
-    for turn in range(PARTINGS + 1):
-        last = turn == PARTINGS
-        me = F.struct("place", "id", "length", "counts")
-        stats = groups.groupBy("g").agg(F.count("*").alias("n"), F.min(me).alias("hub"), F.max("open").alias("any")).where("n > 1 and any")
-        marked = work.save(groups.join(stats.select("g", "n", "hub"), "g"), f"marked-{turn}")
-        small, large = (marked, None) if last else (marked.where(F.col("n") <= SMALL), marked.where((F.col("n") > SMALL) & (F.col("id") != F.col("hub.id"))))
-        links = _verified(_all_pairs(small, tau) if large is None else _all_pairs(small, tau).union(_hub_pairs(large, tau)), texts, work, turn, tau)
+    texts = work.save(table.join(_fitting(met.select("id"), met.select("id").distinct()), "id").select("id", "line", "place", F.char_length("line").alias("length"), counts(F.col("line")).alias("counts")), "texts")
+    anywhere = [F.lit(x).alias(c) for c, x in zip(_ROW[-4:], (0, 1 << 30, 0, 1 << 30))]
+    groups = met.join(texts.select("id", "place", "length", "counts"), "id").select("g", "id", "code", "place", "length", "counts", F.lit(True).alias("open"), *anywhere)
+    groups, found = work.save(groups, "groups-0"), []
+    for turn, (most, part) in enumerate(((SMALL, _by_cell), (LARGE, _by_segment), (None, None))):
+        links, large = _met(groups, texts, work, turn, most, tau)
         found.append(links)
-        work.drop(f"groups-{turn}")
         if large is None or large.isEmpty():
             break
-        groups = work.save(_parted(large, links, texts, work, turn), f"groups-{turn + 1}")
+        closed = links.select("id").distinct().withColumn("closed", F.lit(True))
+        still = large.join(closed, "id", "left").withColumn("open", F.col("open") & F.col("closed").isNull()).drop("closed")
+        groups = work.save(part(still, texts), f"groups-{turn + 1}")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return work.save(out.groupBy("id").agg(F.min("earlier").alias("earlier")), "near")
 
 
-def _alike(x: dict[str, Column], y: dict[str, Column], tau: int) -> Column:
-    return (F.abs(x["length"] - y["length"]) <= tau) & counts_allow(x["counts"], y["counts"], tau)
+def _met(groups: DataFrame, texts: DataFrame, work: Workspace, turn: int, most: int | None, tau: int) -> tuple[DataFrame, DataFrame | None]:
+    """The links (id, earlier) within groups of up to ``most`` rows and of larger ones with their hubs; and the larger ones without those."""
+    stats = groups.groupBy("g").agg(F.count("*").alias("n"), F.min(F.struct("place", "id", "length", "counts")).alias("hub"), F.max("open").alias("any")).where("n > 1 and any")
+    marked = work.save(groups.join(stats.select("g", "n", "hub"), "g"), f"marked-{turn}")
+    large = None if most is None else marked.where((F.col("n") > most) & (F.col("id") != F.col("hub.id")))
+    pairs = _all_pairs(marked if most is None else marked.where(F.col("n") <= most), tau)
+    if large is not None:
+        x, y = ({c: F.col(f"hub.{c}") if hub else F.col(c) for c in ("place", "id", "length", "counts")} for hub in (True, False))
+        pairs = pairs.union(large.where(F.col("open") & _alike(x, y, tau)).select(F.col("hub.id").alias("one"), F.col("id").alias("two")))
+    pairs = work.save(pairs.distinct(), f"pairs-{turn}")
+    one = texts.select(F.col("id").alias("one"), F.col("line").alias("line_1"), F.col("place").alias("earlier"))
+    two = texts.select(F.col("id").alias("two"), F.col("line").alias("line_2"))
+    good = pairs.join(one, "one").join(two, "two").where(within(F.col("line_1"), F.col("line_2"), tau))
+    links = work.save(good.select(F.col("two").alias("id"), "earlier"), f"links-{turn}")
+    work.drop(f"groups-{turn}")
+    return links, large
 
 
-def _before(x: dict[str, Column], y: dict[str, Column]) -> Column:
-    """Of two lines of one place (a repeated id) the one with the smaller id comes first."""
-    return (x["place"] < y["place"]) | ((x["place"] == y["place"]) & (x["id"] < y["id"]))
+def _alike(x: dict[str, Column], y: dict[str, Column], tau: int) -> Column:
+    return (F.abs(x["length"] - y["length"]) <= tau) & counts_allow(x["counts"], y["counts"], tau)
 
 
 def _all_pairs(rows: DataFrame, tau: int) -> DataFrame:
-    """(earlier, later) of rows of one group whose codes allow it, for later lines that are open."""
-    names = ("g", "code", "id", "place", "length", "counts", "open")
-    one, two = (rows.select("g", *[F.col(c).alias(f"{s}_{c}") for c in names[1:]]) for s in "xy")
-    x, y = ({c: F.col(f"{s}_{c}") for c in names[1:]} for s in "xy")
-    may = y["open"] & (x["code"].bitwiseAND(y["code"]) == 0) & _before(x, y) & (x["id"] != y["id"]) & _alike(x, y, tau)
+    """(earlier, later) of rows of one group that may be near, for later lines that are open."""
+    one, two = (rows.select("g", *[F.col(c).alias(f"{s}_{c}") for c in _ROW]) for s in "xy")
+    x, y = ({c: F.col(f"{s}_{c}") for c in _ROW} for s in "xy")
+    # of two lines of one place (a repeated id) the one with the smaller id comes first
+    before = (x["place"] < y["place"]) | ((x["place"] == y["place"]) & (x["id"] < y["id"]))
+    same_places = (x["head"] <= y["end"]) & (y["head"] <= x["end"]) & (x["tail"] <= y["off"]) & (y["tail"] <= x["off"])
+    may = y["open"] & (x["code"].bitwiseAND(y["code"]) == 0) & before & same_places & _alike(x, y, tau)
     return one.join(two, "g").where(may).select(F.col("x_id").alias("one"), F.col("y_id").alias("two"))
 
 
-def _hub_pairs(rows: DataFrame, tau: int) -> DataFrame:
-    """(earlier, later): each row of a group and the group's first line."""
-    x, y = ({c: F.col(f"hub.{c}") if hub else F.col(c) for c in ("place", "id", "length", "counts")} for hub in (True, False))
-    return rows.where(F.col("open") & _alike(x, y, tau)).select(F.col("hub.id").alias("one"), F.col("id").alias("two"))
+def _held(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows with their line and their hub's."""
+    hubs = texts.select(F.col("id").alias("hub_id"), F.col("line").alias("hub"), F.col("length").alias("hub_length"))
+    return rows.withColumn("hub_id", F.col("hub.id")).drop("hub", "n").join(texts.select("id", "line"), "id").join(hubs, "hub_id")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, work: Workspace, turn: int, tau: int) -> DataFrame:
-    """(id, earlier) of the pairs that are near."""
-    pairs = work.save(pairs.distinct(), f"pairs-{turn}")
-    one = texts.select(F.col("id").alias("one"), F.col("line").alias("line_1"), F.col("place").alias("earlier"))
-    two = texts.select(F.col("id").alias("two"), F.col("line").alias("line_2"))
-    good = pairs.join(one, "one").join(two, "two").where(within(F.col("line_1"), F.col("line_2"), tau))
-    return work.save(good.select(F.col("two").alias("id"), "earlier"), f"links-{turn}")
+def _open_groups(rows: DataFrame) -> DataFrame:
+    return rows.join(rows.groupBy("g").agg(F.max("open").alias("any")).where("any").select("g"), "g", "left_semi")
 
 
-def _parted(rows: DataFrame, links: DataFrame, texts: DataFrame, work: Workspace, turn: int) -> DataFrame:
-    """Large groups as smaller ones, without their hubs: rows of one part may still be near.
+def _by_cell(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Groups by the cell of the hub's places in which a line leaves it; a line looks into the cells that it reaches with its edits too."""
+    held = _held(_open_groups(rows), texts).withColumn("fore", reach(F.col("line"), F.col("hub"))).withColumn("back", reach(F.reverse("line"), F.reverse("hub")))
+    placed = held.select("g", "id", "code", "place", "length", "counts", "open", "fore.head", "fore.end", F.col("back.head").alias("tail"), F.col("back.end").alias("off"), F.greatest(F.lit(4), F.ceil(F.col("hub_length") / CELLS)).cast("int").alias("wide"))
+    own, to = F.floor(F.col("head") / F.col("wide")).cast("int"), F.floor(F.greatest("head", "end") / F.col("wide")).cast("int")
+    cells = placed.withColumn("at", own).withColumn("cell", F.explode(F.sequence("at", to)))
+    code = F.shiftleft("code", 1) + (F.col("cell") > F.col("at")).cast("int")
+    return cells.select(F.xxhash64("g", "cell").alias("g"), "id", code.alias("code"), *_ROW[2:])
 
-    ``code`` keeps which rows may not meet: two bits for each parting, for the moved middle and for a cell that is only looked into.
-    """
-    closed = links.select("id").distinct().withColumn("closed", F.lit(True))
-    state = rows.join(closed, "id", "left").select("g", "code", "id", "place", "length", "counts", F.col("open") & F.col("closed").isNull(), F.col("hub.id").alias("hub_id")).toDF("g", "code", "id", "place", "length", "counts", "open", "hub_id")
-    hubs = texts.select(F.col("id").alias("hub_id"), F.col("line").alias("hub"), F.col("length").alias("hub_length"))
-    held = state.join(texts.select("id", "line"), "id").join(hubs, "hub_id")
-    tail = lambda x, y, head: common_head(F.reverse(x), F.lit(0), F.reverse(y), F.lit(0), F.least(F.char_length(x), F.char_length(y)) - head)
-    met = held.withColumn("reach", reach(F.col("line"), F.col("hub"))).withColumn("tail", tail(F.col("line"), F.col("hub"), F.col("reach.head")))
-    met = work.save(met.select("g", "code", "id", "place", "length", "counts", "open", "line", "hub_length", F.col("reach.head").alias("head"), F.col("reach.end").alias("end"), "tail"), f"met-{turn}")
-    common = met.groupBy("g").agg(F.min("head").alias("cut"), F.min("tail").alias("off"), F.max("open").alias("any")).where("any").select("g", "cut", "off")
-    wide = F.greatest(F.lit(4), F.ceil(F.col("hub_length") / 32)).cast("int")
-    at, to = F.floor(F.col("head") / wide).cast("int"), F.floor(F.col("end") / wide).cast("int")
-    rest = met.join(common, "g").select("*", F.expr("substring(line, cut + 1, length - cut - off)").alias("rest"), at.alias("at"), F.greatest(at, to).alias("to"))
-    rest = rest.withColumn("size", F.col("length") - F.col("cut") - F.col("off")).select("*", *frames_of(F.col("size")))
-    cells = rest.withColumn("cell", F.explode(F.sequence("at", "to"))).withColumn("k", F.explode(segment_keys(F.col("rest"), F.col("size"), [F.col("f0"), F.col("f1"), F.col("f2")])))
-    code = F.shiftleft("code", 2) + F.col("k.kind") + F.when(F.col("cell") > F.col("at"), 2).otherwise(0)
-    return cells.select(F.xxhash64("g", "k.key", "cell").alias("g"), code.alias("code"), "id", "place", "length", "counts", "open")
+
+def _by_segment(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Groups by the segments of what is left of the lines when the heads and the tails that the whole group shares are cut off."""
+    line, hub = F.col("line"), F.col("hub")
+    shorter = F.least("length", "hub_length")
+    held = _held(_open_groups(rows), texts).withColumn("same", common_head(line, F.lit(0), hub, F.lit(0), shorter))
+    held = held.withColumn("last", common_head(F.reverse(line), F.lit(0), F.reverse(hub), F.lit(0), shorter - F.col("same")))
+    cuts = held.groupBy("g").agg(F.min("same").alias("cut"), F.min("last").alias("less"))
+    rest = held.join(cuts, "g").withColumn("size", F.col("length") - F.col("cut") - F.col("less")).withColumn("rest", F.expr("substring(line, cut + 1, size)"))
+    keyed = rest.select("*", *frames_of(F.col("size"))).withColumn("k", F.explode(segment_keys(F.col("rest"), F.col("size"), [F.col("f0"), F.col("f1"), F.col("f2")])))
+    return keyed.select(F.xxhash64("g", "k.key").alias("g"), "id", (F.shiftleft("code", 1) + F.col("k.kind")).alias("code"), *_ROW[2:])
 
 
 def removed_lines(docs: DataFrame, work: Workspace, tau: int = TAU, least: int = LEAST) -> DataFrame:

@@ -113,6 +113,7 @@ def test_large_groups_lose_no_line(spark, make, monkeypatch):
     """Groups are parted several times when few lines count as many; nothing is missed and candidates stay few."""
     texts = families(3, 60)
     monkeypatch.setattr(lines, "SMALL", 4)
+    monkeypatch.setattr(lines, "LARGE", 6)
     checked({r.doc_id: r for r in lines.line_dedup(make(texts).repartition(3)).collect()}, texts)
 
 
