@@ -16,8 +16,8 @@ from docforge.llm import textkernel as K
 #: Separators: every ASCII character but digits and, after lower-casing, letters.
 SEPARATORS = K.table(bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122)))
 _NORMAL = bytes(32 if SEPARATORS[c] else int(K.LOWER[c]) for c in range(256))
-#: Bytes of benchmark text in one automaton. A larger benchmark is split into blocks of items, each with its own scan.
-BLOCK_BYTES = 64_000_000
+#: Bytes of benchmark text in one automaton, which takes about 400 bytes of a worker for each. A larger benchmark is split into blocks of items, each with its own scan.
+BLOCK_BYTES = 1_000_000
 _built: dict[str, object] = {}
 
 
@@ -155,6 +155,11 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without a hit, whole and with all their columns; all rows of an id with a hit go."""
-    seen = decontaminate(docs, benchmark).where("n_hit > 0").select(F.col("row_id").alias("_hit")).distinct()
-    return docs.join(seen, docs["doc_id"] == seen["_hit"], "left_anti")
+    """Documents without a hit, whole and with all their columns; all rows of an id with a hit go. Rows without an id go by their text."""
+    hits = lambda rows: decontaminate(rows, benchmark).where("n_hit > 0").select(F.col("row_id").alias("_hit")).distinct()
+    seen = hits(docs)
+    named = docs.where("doc_id is not null").join(seen, docs["doc_id"].cast("long") == seen["_hit"], "left_anti")
+    mark = F.xxhash64("text")
+    nameless = docs.where("doc_id is null")
+    seen = hits(nameless.select(mark.alias("doc_id"), "text"))
+    return named.union(nameless.join(seen, mark == seen["_hit"], "left_anti"))
