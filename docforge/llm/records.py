@@ -4,8 +4,8 @@ A shard ``<n>.rec`` holds records one after the other, each framed as
 
     uint64 length | uint32 masked crc32 of those 8 bytes | payload | uint32 masked crc32 of the payload
 
-(little endian). The payload is the int64 row id and the ids, as uint16 where the vocabulary allows it,
-else as uint32. ``<n>.idx`` holds the uint64 offset of each record, so single sequences can be read in
+(little endian). The payload is a byte that tells whether the row has an id, the int64 row id (0 without one) and the
+ids, as uint16 where the vocabulary allows it, else as uint32. ``<n>.idx`` holds the uint64 offset of each record, so single sequences can be read in
 any order. A file is written under a name of the attempt's own and then renamed, so a task that runs
 twice or is lost half way leaves whole shards only.
 """
@@ -30,6 +30,8 @@ from docforge.llm.workspace import Workspace
 
 #: Fixed value: the mask that is added to rotated checksums.
 MASK_DELTA = 0xA282EAD8
+#: What a payload begins with: whether there is a row id, and the id.
+HEAD = "<?q"
 
 
 def masked(data: bytes) -> int:
@@ -77,7 +79,7 @@ def _writer(root: str, vocabulary: str, kind: str, end_id: int, wide: bool):
                 ids, first = encoder.encode(part, o)
                 for i in range(b - a):
                     own = np.append(ids[first[i] : first[i + 1]], np.uint32(end_id)).astype(width)
-                    record = frame(struct.pack("<q", -1 if rows[k] is None else rows[k]) + own.tobytes())
+                    record = frame(struct.pack(HEAD, rows[k] is not None, rows[k] or 0) + own.tobytes())
                     offsets.append(at)
                     at += len(record)
                     ids_seen += len(own)
@@ -98,7 +100,7 @@ def write_records(docs: DataFrame, root: str, vocabulary: str, kind: str, end_id
     """Encode every text, append ``end_id``, write shards in ascending id order; returns (shard, n_records, n_ids, base).
 
     ``base`` is the number of ids in the shards before. Texts that are null count as empty: their record holds
-    the end id alone. Rows with one id each get a record; a null id is written as -1, before the others. An empty
+    the end id alone. Rows with one id each get a record; those without one come first and are read back without one. An empty
     table writes no shard. The table of shards has one row for each partition, whatever the input's size.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -131,8 +133,9 @@ def _reader(root: str, wide: bool, block: int = 1 << 22):
                         data, rows = memoryview(f.read_at(int(bounds[e] - bounds[k]), int(bounds[k]))), []
                         for at in offsets[k:e] - bounds[k]:
                             payload, _ = unframe(data, int(at))
-                            ids = np.frombuffer(payload, "<u4" if width == 4 else "<u2", offset=8).astype("<u4")
-                            rows.append((struct.unpack_from("<q", payload)[0], start, len(ids), ids.tobytes()))
+                            known, row_id = struct.unpack_from(HEAD, payload)
+                            ids = np.frombuffer(payload, "<u4" if width == 4 else "<u2", offset=struct.calcsize(HEAD)).astype("<u4")
+                            rows.append((row_id if known else None, start, len(ids), ids.tobytes()))
                             start += len(ids)
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _READ.types)], schema=_READ)
                         k = e
