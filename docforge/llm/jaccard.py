@@ -338,25 +338,13 @@ def _across(percent: int, closest: bool):
     return run
 
 
-def _pack(s: np.ndarray) -> bytes:
-    """The upper 40 bits of sorted hashes, five bytes each."""
-    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    part = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(part), 8), np.uint8)
-    out[:, 3:] = part
-    return out.view(">u8").ravel()
-
-
 def _setter(size: int):
     schema = pa.schema([("node", pa.int64()), ("elements", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for _, s in _texts(batches, size):
-            rows.append((node_of(s), _pack(s)))
+            rows.append((node_of(s), s.tobytes()))
             if len(rows) >= 2000:
                 yield _out(rows, schema)
                 rows = []
@@ -373,7 +361,7 @@ def _verifier(percent: int):
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = _unpack(x), _unpack(y)
+                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(good, pa.bool_())
