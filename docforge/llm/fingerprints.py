@@ -2,7 +2,8 @@
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so sketches of any two texts
 sample the same hashes: the sketch of a union is the union of the sketches, and the share of the smaller
-sketch found in the other estimates containment, however unequal the texts are.
+sketch found in the other estimates containment, however unequal the texts are. Texts that have few hashes below the
+fraction keep their smallest ones up to a fixed number; two sketches are compared up to the place where both are whole.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: One hash in so many is kept.
 SCALE = 8
+#: Hashes that a sketch has at least, unless the text has fewer shingles.
+LEAST = 128
 _LOWEST = -(1 << 63)
 
 
@@ -35,27 +38,39 @@ def shingle_hashes(text: Column, size: int = 5) -> Column:
     return _let(hashes, shingles)
 
 
-def sketch(text: Column, size: int = 5, scale: int = SCALE) -> Column:
-    """Sorted distinct hashes below 1/scale of the range; a text that has none of these keeps its smallest hash."""
+def _cut(hashes: Column, scale: int, least: int) -> Column:
+    """Of sorted distinct hashes those below 1/scale of the range, or the smallest ``least`` if that is more."""
+    below = F.filter(hashes, lambda x: x < F.lit(_LOWEST + (1 << 64) // scale))
+    return _let(below, lambda low: F.when(F.size(low) >= least, low).otherwise(F.slice(hashes, 1, least)))
 
-    def kept(h: Column) -> Column:
-        low = F.array_sort(F.array_distinct(F.filter(h, lambda x: x < F.lit(_LOWEST + (1 << 64) // scale))))
-        return F.when((F.size(low) == 0) & (F.size(h) > 0), F.array(F.array_min(h))).otherwise(low)
 
-    return _let(shingle_hashes(F.coalesce(text, F.lit("")), size), kept)
+def sketch(text: Column, size: int = 5, scale: int = SCALE, least: int = LEAST) -> Column:
+    """Sorted distinct hashes below 1/scale of the range, and the smallest ``least`` in any case."""
+    return _let(F.array_sort(F.array_distinct(shingle_hashes(F.coalesce(text, F.lit("")), size))), lambda h: _cut(h, scale, least))
 
 
-def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
+def merged(a: Column, b: Column, scale: int = SCALE, least: int = LEAST) -> Column:
     """The sketch of two texts' shingles together."""
-    both = F.array_sort(F.array_union(a, b))
-    low = F.filter(both, lambda x: x < F.lit(_LOWEST + (1 << 64) // scale))
-    return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
+    return _let(F.array_sort(F.array_union(a, b)), lambda h: _cut(h, scale, least))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Share of the smaller sketch that is in the other; two empty ones are alike, an empty and another are not."""
-    small = F.least(F.size(a), F.size(b))
-    return F.when(small > 0, F.size(F.array_intersect(a, b)) / small).when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.lit(0.0))
+def _whole_to(a: Column, scale: int, least: int) -> Column:
+    """Up to which hash a sketch has all that its text has."""
+    last = F.when(F.size(a) < least, F.lit((1 << 63) - 1)).otherwise(F.greatest(F.element_at(a, -1), F.lit(_LOWEST + (1 << 64) // scale - 1)))
+    return F.when(F.size(a) > 0, last).otherwise(F.lit((1 << 63) - 1))
+
+
+def containment(a: Column, b: Column, scale: int = SCALE, least: int = LEAST) -> Column:
+    """Share of the smaller sketch that is in the other, up to where both are whole; two empty ones are alike, an empty and another are not."""
+
+    def shared(s: Column) -> Column:
+        small = F.least(F.size(s["a"]), F.size(s["b"]))
+        return F.when(small > 0, F.size(F.array_intersect(s["a"], s["b"])) / small).when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.lit(0.0))
+
+    def cut(to: Column) -> Column:
+        return _let(F.struct(F.filter(a, lambda x: x <= to).alias("a"), F.filter(b, lambda x: x <= to).alias("b")), shared)
+
+    return _let(F.least(_whole_to(a, scale, least), _whole_to(b, scale, least)), cut)
 
 
 def as_text(a: Column) -> Column:
