@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,10 +162,21 @@ def repeated_windows(docs: DataFrame, work: Workspace, elements: Elements, size:
     return both.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
-def covered(n_elements: int, found: list[dict] | None, size: int) -> np.ndarray:
-    """Which elements of a text lie in one of its repeated windows."""
-    if not found:
-        return np.zeros(n_elements, bool)
-    start = np.minimum(np.array([x["start"] for x in found], np.int64), n_elements)
-    end = np.minimum(start + np.array([x["n"] for x in found], np.int64) + size - 1, n_elements)
-    return K.covered(n_elements, start, end)
+def covered(first: np.ndarray, found: pa.Array, size: int) -> np.ndarray:
+    """Which elements of some texts lie in one of their repeated windows. ``first``: each text's first element (one more than texts)."""
+    n = int(first[-1])
+    if isinstance(found, pa.ChunkedArray):
+        found = found.combine_chunks()
+    own = found.flatten()
+    if not len(own):
+        return np.zeros(n, bool)
+    lengths = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    start, count = (own.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+    start = np.minimum(first[row] + start, first[row + 1])
+    return K.covered(n, start, np.minimum(start + count + size - 1, first[row + 1]))
+
+
+def per_text(first: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """How many flags each text has."""
+    return np.diff(np.append(0, np.cumsum(flags))[first])

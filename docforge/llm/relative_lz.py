@@ -97,14 +97,20 @@ def _keeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = K.flat(batch.column(1))
         for a, b, part, offs in K.chunks(data, offsets):
             starts, ends, first = K.words(part, offs, K.SPACES)
-            raw, rows = part.tobytes(), []
-            found = batch.column(2).slice(a, b - a).to_pylist()
-            for i in range(b - a):
-                n = int(first[i + 1] - first[i])
-                gone = anchors.covered(n, found[i], SIZE)
-                kept = np.flatnonzero(~gone) + first[i]
-                rows.append((n, int(gone.sum()), b" ".join([raw[s:e] for s, e in zip(starts[kept].tolist(), ends[kept].tolist())]).decode("utf-8", "replace")))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, t) for c, t in zip(zip(*rows), _OUT.types[1:]))], schema=_OUT)
+            gone = anchors.covered(first, batch.column(2).slice(a, b - a), SIZE)
+            removed = anchors.per_text(first, gone)
+            # kept words one after the other, a space behind each that is not its text's last
+            starts, ends = starts[~gone], ends[~gone]
+            left = np.diff(first) - removed
+            bounds = np.append(0, np.cumsum(left))
+            room = ends - starts + 1
+            room[bounds[1:][left > 0] - 1] -= 1
+            at = np.append(0, np.cumsum(room))
+            out = np.full(int(at[-1]), 32, np.uint8)
+            row, place = K.runs_to_ranges(ends - starts)
+            out[at[row] + place] = part[starts[row] + place]
+            kept = pa.Array.from_buffers(pa.large_string(), b - a, [None, pa.py_buffer(at[bounds].astype(np.int64)), pa.py_buffer(out)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(removed.astype(np.int64)), kept.cast(pa.string())], schema=_OUT)
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:

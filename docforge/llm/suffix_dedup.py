@@ -64,26 +64,40 @@ def repeats(contents: list[bytes], docs: np.ndarray, size: int = SIZE, memory: i
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
-    def done(rows: list[tuple]) -> pa.RecordBatch:
-        docs, starts, contents = (list(x) for x in zip(*rows))
-        gone = np.append(repeats(contents, np.array(docs, np.int64)), False)
+    def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        docs, starts = (rows.column(k).to_numpy().astype(np.int64) for k in (1, 2))
+        contents = rows.column(4).to_pylist()
+        gone = np.append(repeats(contents, docs), False)
         edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0))
         first, end = edge[::2], edge[1::2]
-        begin = np.cumsum([0] + [len(c) + 1 for c in contents[:-1]])
+        begin = np.append(0, np.cumsum([len(c) + 1 for c in contents[:-1]])).astype(np.int64)
         own = np.searchsorted(begin, first, "right") - 1
-        return pa.RecordBatch.from_arrays([pa.array(np.array(docs, np.int64)[own]), pa.array((np.array(starts, np.int64)[own] + first - begin[own]).astype(np.int32)), pa.array((end - first).astype(np.int32))], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(docs[own]), pa.array((starts[own] + first - begin[own]).astype(np.int32)), pa.array((end - first).astype(np.int32))], schema=schema)
 
-    rows, size, key = [], 0, None
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
     for batch in batches:
-        for k, doc, start, _, raw in zip(*(c.to_pylist() for c in batch.columns)):
-            if k != key and size > SHARD:
-                yield done(rows)
-                rows, size = [], 0
-            key = k
-            rows.append((doc, start, raw))
-            size += len(raw) + 1
-    if rows:
-        yield done(rows)
+        keys = batch.column(0).to_numpy()
+        if not len(keys):
+            continue
+        at = K.flat(batch.column(4))[1] + np.arange(len(keys) + 1)
+        heads = np.flatnonzero(np.append(keys[0] != last, keys[1:] != keys[:-1]))
+        begin = 0
+        for head in heads.tolist():
+            # a shard ends where a key does
+            if size + at[head] - at[begin] > SHARD:
+                held.append(batch.slice(begin, head - begin))
+                held = [h for h in held if len(h)]
+                if held:
+                    yield done(held)
+                held, size, begin = [], 0, head
+        held.append(batch.slice(begin))
+        size += int(at[-1] - at[begin])
+        last = keys[-1]
+    held = [h for h in held if len(h)]
+    if held:
+        yield done(held)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -93,13 +107,14 @@ def _keeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = K.flat(batch.column(1))
         for a, b, part, offs in K.chunks(data, offsets):
-            rows = []
-            found = batch.column(2).slice(a, b - a).to_pylist()
-            for i in range(b - a):
-                own = part[offs[i] : offs[i + 1]]
-                gone = anchors.covered(len(own), found[i], SIZE)
-                rows.append((len(own), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), own[~gone].tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, t) for c, t in zip(zip(*rows), _OUT.types[1:]))], schema=_OUT)
+            gone = anchors.covered(offs, batch.column(2).slice(a, b - a), SIZE)
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            inside = offs[:-1][offs[:-1] < len(gone)]
+            begins[inside] = gone[inside]  # runs never cross texts
+            removed = anchors.per_text(offs, gone)
+            kept = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(np.append(0, np.cumsum(np.diff(offs) - removed)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(part[~gone]))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offs)), pa.array(removed.astype(np.int64)), pa.array(anchors.per_text(offs, begins).astype(np.int64)), kept.cast(pa.binary())], schema=_OUT)
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:

@@ -39,8 +39,8 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if column.null_count:
         column = pc.fill_null(column, "" if not pa.types.is_binary(column.type) else b"")
-    if pa.types.is_string(column.type):
-        column = column.cast(pa.large_string())
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        column = column.cast(pa.large_string() if pa.types.is_string(column.type) else pa.large_binary())
     n = len(column)
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
