@@ -57,3 +57,50 @@ def test_first_of_class_keeps_documents_without_id(spark, odd):
     other = "entirely different words that were never written before in any of the rows"
     both = spark.createDataFrame([(1, LONG), (2, other), (None, LONG), (None, other)], "doc_id long, text string")
     assert jaccard.first_of_class(both).count() == 4  # rows without an id do not tie their texts together
+
+
+def test_decontamination_without_ids(spark):
+    item = "the quick answer to this question is that nobody knows it yet"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, "before " + item), (None, "clean text"), (None, None), (1, item), (1, "clean too"), (2, "other text")]
+    kept = contamination.clean_documents(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[2], rows[5]], key=str)
+
+
+def test_records_without_ids(spark):
+    """A row without an id comes back without one, beside rows with the ids -1 and 0."""
+    rows = [(None, "a b"), (-1, "a b"), (0, "a b"), (1, None)]
+    out = records.report(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_file("byte_bpe_50k.json")).collect()
+    assert sorted((r.doc_id for r in out), key=str) == sorted([None, -1, 0, 1], key=str)
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.start)] == [None, -1, 0, 1]
+
+
+def test_one_very_long_text(spark, side):
+    """One text of a megabyte among short ones: every operator gives its rows, and those that remove text remove the repeat."""
+    long = " ".join(f"word{i * 7919 % 100_003}" for i in range(100_000))
+    docs = spark.createDataFrame([(0, long), (1, "short text"), (2, "prefix " + long)], "doc_id long, text string").cache()
+    found = {n: {r.doc_id: r for r in f(docs).collect()} for n, f in reports(*side).items()}
+    assert all(set(rows) == {0, 1, 2} for rows in found.values())
+    assert found[2][2].component_id == 0 and found[4][2].n_removed == 100_000 and found[4][0].n_removed == 0
+    assert found[7][2].n_removed == len(long) and found[7][1].n_removed == 0
+    assert found[9][0].near_next == 0 and found[9][2].near_next == 1 and found[9][0].n_chars == len(long)  # after the last comes the first
+
+
+def test_all_stages_on_odd_rows(spark, odd, side, tmp_path):
+    """Five stages over null and repeated ids, and over an empty table: columns stay, documents with text do not vanish without reason."""
+    import corpus_pipeline
+
+    side[1].write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "an item that stands in none of the documents at all"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, rows in (("odd", odd), ("empty", odd.limit(0))):
+        docs = rows
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            f(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}-{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}-{k}")
+            assert stage == "packing" or docs.columns == odd.columns
+        pieces = docs.collect()
+        ends = {}
+        for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == ends.get(r.sequence_id, 0)
+            ends[r.sequence_id] = r.offset + r.length
+        assert bool(pieces) == (name == "odd")

@@ -186,3 +186,22 @@ def test_sketches_merge_and_estimate(spark):
     s = {k: fingerprints.sketch(F.col(k)) for k in "abc"}
     r = df.select(fingerprints.containment(s["a"], s["b"]).alias("ab"), fingerprints.containment(s["a"], s["c"]).alias("ac"), (fingerprints.merged(s["a"], s["b"]) == s["a"]).alias("same"), F.size(s["a"]).alias("n")).first()
     assert r.ab > 0.97 and r.ac == 0 and r.same and r.n == pytest.approx(6000 / fingerprints.SCALE, rel=0.2)
+
+
+def test_likeness_is_near_the_exact_one(spark, make, sample):
+    """Against the exact containment of the smaller set of shingles in the other."""
+    import re
+
+    def shingles(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    texts = [t or "" for t in sample]
+    errors = []
+    for r in fingerprints.edited_report(make(sample)).collect():
+        text, after = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
+        half = len(text) // 2
+        a, b = shingles(text), shingles(text[: len(text) - half] + after[:half])
+        if a and b:
+            errors.append(abs(r.near_edited - len(a & b) / min(len(a), len(b))))
+    assert sum(errors) / len(errors) < 0.03 and max(errors) < 0.25, (sum(errors) / len(errors), max(errors))
