@@ -128,6 +128,12 @@ def folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: keep.sub("", unicodedata.normalize("NFKC", t).casefold()) if isinstance(t, str) else "")
 
 
+@F.pandas_udf(StringType())
+def normal_form(texts: pd.Series) -> pd.Series:
+    """Compatibility-normalised and case-folded, nothing left out; null is empty."""
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t).casefold() if isinstance(t, str) else "")
+
+
 def json_fields(text: Column, schema: str) -> Column:
     """A JSON object, with or without code fences around it; null where it does not parse."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```$", "")

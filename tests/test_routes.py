@@ -65,13 +65,38 @@ def test_visual_evidence_and_anchors(session):
     assert [r.x for r in df.select(contexts.excerpt(F.col("d"), F.col("c"), 40).alias("x")).collect()] == ["aa bb cc dd", "zz"]
 
 
-def test_more_candidates():
+def test_candidates(session):
+    """Spans as a plain reading of the rules gives them, on texts with one, several and no matches."""
     text = "제안서 작성 규격은 다음과 같다. A4 용지 30쪽 이내로 한다.\n" + "가 " * 300 + "계약보증금은 계약금액의 10/100 이상으로 한다.\n"
-    assert [c[0] for c in candidates.specifications(text)] == ["heading", "paper_size"]
-    assert len(candidates.bonds(text)) == 1 and "계약보증금" in candidates.bonds(text)[0][1]
-    assert candidates.purposes(" sum ", "")[0] == ("metadata", "sum", -1, -1)
-    piece, a, b, first, last = candidates.widened(text, 5, 10, 10)
-    assert first and not last and b - a >= 90 and text[a:b].startswith("제안서") and piece
+    forms = "앞 글\n[별지 서식 제1호] 입찰 신청서\n[별지  서식 제1호] 다시\n【붙임 2】 서약서  그리고"
+    phones = "x" * 30 + "\n담당 부서: 과\n" + "y " * 40 + "TEL: 02-123-4567 끝. 다음 글 TEL: 02-999-9999 바로 뒤"
+    contents = "사업 목적 - 1\n개요 - 2\n배경 - 3\n" + "z " * 200 + "\n사업 목적\n우리는 한다.\n그리고 더"
+    docs = session.createDataFrame([("a", text, " sum "), ("b", forms, None), ("c", phones, ""), ("d", contents, None), ("e", None, "only"), ("f", "", None)], "doc_id string, text string, summary string")
+    got = {}
+    for r in candidates.extract(docs, summary="summary").collect():
+        got.setdefault((r.doc_id, r.question), []).append((r.start, r.method, r.text, r.end))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    spec = sorted(got["a", "specification"])
+    assert [m for _, m, *_ in spec] == ["heading", "paper_size"] and spec[0][0] == 0
+    assert len(got["a", "bond"]) == 1 and got["a", "bond"][0][2].startswith("계약보증금") and got["a", "bond"][0][3] == len(text)
+    assert got["a", "purpose"] == [(-1, "metadata", "sum", -1)] == [(*x[:2], "sum", -1) for x in got["e", "purpose"]]
+    assert sorted(x[1:3] for x in got["b", "form_list"]) == [("[별지 서식 제1호]", "앞 글 | 입찰 신청서"), ("【붙임 2】", got_before(forms, "【") + " | 서약서")]
+    assert [m for _, m, *_ in got["c", "contact"]] == ["phone"], "the second number is too near, headings are a way out only"
+    start, _, passage, end = got["c", "contact"][0]
+    assert passage == phones[start:end].strip() + "…" and "TEL: 02-123-4567 끝." in passage  # cut behind a word
+    assert len(got["d", "purpose"]) == 1 and got["d", "purpose"][0][2].startswith("사업 목적\n우리는")
+    assert not [k for k in got if k[0] == "f"]
+    for (doc, _), rows in got.items():
+        for start, method, passage, end in rows:
+            if start >= 0 and not method.startswith(("[", "【")):
+                assert passage.rstrip("…") == texts[doc][start:end].strip()
+    wide = candidates.widened(session.createDataFrame([(text, 5, 10)], "text string, start int, end int"), F.lit(10)).first()
+    assert wide.at_start and not wide.at_end and wide.end - wide.start >= 90 and wide.passage.startswith("제안서")
+
+
+def got_before(text, mark):
+    at = text.index(mark)
+    return text[max(0, at - 40) : at].replace("\n", " ").strip()
 
 
 def test_archives(session, tmp_path):
