@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import difflib
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import DoubleType
 
 
 # Marks of citations, contexts and dates, and phrases of answers that decline.
@@ -107,8 +106,8 @@ def citation_status(answer: Column) -> Column:
 def citation_to_end(answer: Column) -> Column:
     """All citation blocks as one at the end, documents in order and once; unchanged without a block."""
     ids = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(answer, F.lit(CITATION_LINE), F.lit(1)), _items)))
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(answer, CITATION_LINE, ""), r"[ \t]+\n", "\n"), "\n{3,}", "\n\n")
-    return F.when(F.size(ids) > 0, F.concat(F.regexp_replace(body, r"^\s+|\s+$", ""), F.lit("\n\n[근거: "), F.array_join(ids, ", "), F.lit("]"))).otherwise(answer)
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(answer, CITATION_LINE, ""), r"[ \t]+\n", "\n"), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return F.when(F.size(ids) > 0, F.concat(F.when(body != "", F.concat(body, F.lit("\n\n"))).otherwise(""), F.lit("[근거: "), F.array_join(ids, ", "), F.lit("]"))).otherwise(answer)
 
 
 def valid_citation(ids: Column, corpus: Column, visual: Column) -> Column:
@@ -156,27 +155,6 @@ def has_marker(answer: Column, markers: list[str]) -> Column:
     return out
 
 
-@F.pandas_udf(BooleanType())
-def option_matches(answers: pd.Series, options: pd.Series) -> pd.Series:
-    """Whether an answer states an option: its folded form is inside, unless numbers or dates of the option are missing; else by shared words."""
-    number, word = re.compile(r"\d[\d,]*(?:\.\d+)?"), re.compile(r"[0-9A-Za-z가-힣%]+")
-
-    def one(answer: str | None, option: str | None) -> bool:
-        if not answer or not option:
-            return False
-        numbers = lambda t: {n.replace(",", "").lstrip("0") or "0" for n in number.findall(t)}
-        if not numbers(option) <= numbers(answer):
-            return False
-        fold = lambda t: "".join(word.findall(t.casefold()))
-        if fold(option) and fold(option) in fold(answer):
-            return True
-        words = word.findall(option.casefold())
-        have = set(word.findall(answer.casefold()))
-        return bool(words) and sum(w in have for w in words) / len(words) >= 0.4
-
-    return pd.Series([one(a, o) for a, o in zip(answers, options)])
-
-
 def item_score(lane: Column, status: Column, f1: Column, abstain_expected: Column, facts_met: Column, facts_all: Column) -> Column:
     """0 to 100: errors and empty answers 0; sets by F1; declining by status; else the share of facts, null without facts."""
     return (
@@ -258,6 +236,30 @@ def name_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
+def likeliest_names(asked: DataFrame, names: DataFrame, asked_key: str, name_key: str, cutoff: float = 0.85) -> DataFrame:
+    """(asked, name, ratio): for each asked string the name with the greatest ratio of at least ``cutoff``, the largest name of several.
+
+    The ratio is twice the matching characters by the sum of both lengths, so it bounds the unmatched ones of either side.
+    Each of the asked string's takes two of its bigrams with it, each of the name's one: one of one bigram more, the rarest
+    ones, is in the name. Strings with fewer distinct bigrams are held against all names of their band of lengths.
+    """
+    n, m = F.char_length(asked_key), F.char_length(name_key)
+    bigrams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+    lost = F.floor(n * (2 * (1 - cutoff) / cutoff + 2 * (1 - cutoff) / (2 - cutoff)) + 1e-9)
+    own = asked.select(asked_key).distinct().select(asked_key, bigrams(F.col(asked_key)).alias("_b"), lost.alias("_lost"))
+    keyed = names.select(name_key).distinct().select(name_key, F.explode(bigrams(F.col(name_key))).alias("_g"))
+    often = keyed.groupBy("_g").agg(F.count("*").alias("_df"))
+    probes = own.where(F.size("_b") > F.col("_lost")).select(asked_key, "_lost", F.explode("_b").alias("_g")).join(often, "_g", "left")
+    nth = F.row_number().over(Window.partitionBy(asked_key).orderBy(F.asc_nulls_first("_df"), "_g"))
+    rare = probes.withColumn("_nth", nth).where((F.col("_nth") <= F.col("_lost") + 1) & F.col("_df").isNotNull())
+    band = 2 * F.least(n, m) >= cutoff * (n + m)
+    met = rare.select(asked_key, "_g").join(keyed, "_g").where(band).select(asked_key, name_key).distinct()
+    few = own.where(F.size("_b") <= F.col("_lost")).select(asked_key)
+    met = met.union(names.select(name_key).distinct().join(few, band).select(asked_key, name_key))
+    rated = met.withColumn("ratio", name_likeness(asked_key, name_key)).where(F.col("ratio") >= cutoff)
+    return rated.groupBy(asked_key).agg(F.max_by(name_key, F.struct("ratio", name_key)).alias(name_key), F.max("ratio").alias("ratio"))
+
+
 def replay_errors(answer: Column, abstained: Column, ids: Column, evidence: Column, unsupported: Column) -> Column:
     """Codes of what is wrong with a stored result."""
     checks = {
@@ -273,16 +275,12 @@ def replay_errors(answer: Column, abstained: Column, ids: Column, evidence: Colu
 
 
 def triage(labels: DataFrame, corpus: DataFrame, duplicates: DataFrame, cutoff: float = 0.85) -> DataFrame:
-    """(label, found, how): a label is a corpus id, a known duplicate of one, much like one, or unresolved.
-
-    Only labels that the equi joins leave open are compared by likeness, and those are a stated, small set.
-    """
+    """(label, found, how): a label is a corpus id, a known duplicate of one, much like one, or unresolved."""
     ids = corpus.select(F.col("doc_id").alias("found")).distinct()
     exact = labels.select("label").distinct().join(ids, F.col("label") == F.col("found"), "left")
     twin = exact.where("found is null").select("label").join(duplicates.select(F.col("doc_id").alias("label"), F.col("dup_of").alias("found")), "label", "left")
     open_ = twin.where("found is null").select("label")
-    like = ids.join(F.broadcast(open_), F.lit(True)).withColumn("ratio", name_likeness("label", "found")).where(F.col("ratio") >= cutoff)
-    best = like.groupBy("label").agg(F.max_by("found", F.struct("ratio", "found")).alias("found"))
+    best = likeliest_names(open_, ids, "label", "found", cutoff).select("label", "found")
     rest = open_.join(best, "label", "left").select("label", "found", F.when(F.col("found").isNull(), "unresolved").otherwise("fuzzy").alias("how"))
     return exact.where("found is not null").select("label", "found", F.lit("exact").alias("how")).unionByName(twin.where("found is not null").select("label", "found", F.lit("duplicate").alias("how"))).unionByName(rest)
 

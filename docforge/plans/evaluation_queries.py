@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docforge.functions import text as T
 from docforge.operators import evaluation as E
 from docforge.operators import retrieval as R
+from docforge.operators import scoring as S
 from docforge.plans.common import table
 from docforge.plans.registry import query
 from docforge.plans.retrieval_queries import BM25_SQL, _SIDES, _bm25, _overlap
 
 
 def _expected(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a passage: the passages are a stated set, held against all documents in one pass."""
+    """Documents that hold a passage."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    return table(spark, d, "documents").join(F.broadcast(items), F.contains("text", "passage")).select("query_id", "doc_id")
+    return R.containing(table(spark, d, "documents"), items, "doc_id", "text", "query_id", "passage")
 
 
 _METRICS = f"""{BM25_SQL}, x as (select item_id as query_id, doc_id from benchmark b join documents d on contains(d.text, b.text)), n as (select query_id, count(*) as n_expected from x group by 1),
@@ -120,7 +122,8 @@ def response_status(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def option_matching(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text", F.lit("the of and 12").alias("option"))
-    return rows.select("conv_id", "turn", E.option_matches(F.concat("text", F.lit(" 12")), "option").alias("matches"))
+    rows = rows.withColumn("answer", T.normal_form(F.concat("text", F.lit(" 12"))))
+    return rows.select("conv_id", "turn", S.states_option(F.col("answer"), F.col("option")).alias("matches"))
 
 
 @query("""select conv_id, turn, (case turn % 5 when 0 then 0 when 1 then 40 when 2 then 100 when 3 then 50 end)::double as score from conversations""")
@@ -237,8 +240,65 @@ def mode_with_ties(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def name_matching(spark: SparkSession, d: str) -> DataFrame:
-    """The likeliest part name for each of a stated set of misspelt ones."""
+    """The likeliest part name for each of the misspelt ones: the sixth character of every name is another."""
     p = table(spark, d, "part").select("p_name").distinct()
-    asked = p.where("length(p_name) > 9").select(F.concat(F.substring("p_name", 1, 5), F.lit("x"), F.substring("p_name", 7, 50)).alias("asked"))
-    both = p.crossJoin(F.broadcast(asked)).withColumn("ratio", E.name_likeness("asked", "p_name")).where("ratio >= 0.85")
-    return both.groupBy("asked").agg(F.max_by("p_name", F.struct("ratio", "p_name")).alias("found"))
+    asked = p.select(F.concat(F.substring("p_name", 1, 5), F.lit("x"), F.expr("substring(p_name, 7)")).alias("asked")).distinct()
+    return E.likeliest_names(asked, p, "asked", "p_name").select("asked", F.col("p_name").alias("found"))
+
+
+_STATED = """a as (select doc_id, case doc_id % 6 when 0 then text when 1 then '제공된 문서에서 확인할 수 없습니다.' when 2 then string_split(text, chr(10))[1] || '. 확인할 수 없습니다.' when 3 then '확인되지 않습니다. 예산은 ' || doc_id || '억원입니다.'
+  when 4 then '알 수 없습니다. 따라서 ' || lang || ' 참여는 가능합니다. ' || lang || ' 수준이 높습니다.' else source || ': 확인할 수 없습니다' end as answer from documents)"""
+
+
+def _stated(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that decline wholly, in part, first or not at all, with the documents' own texts in them."""
+    k, text, lang = F.col("doc_id") % 6, F.col("text"), F.col("lang")
+    answer = (
+        F.when(k == 0, text).when(k == 1, "제공된 문서에서 확인할 수 없습니다.").when(k == 2, F.concat(F.get(F.split(text, "\n"), F.lit(0)), F.lit(". 확인할 수 없습니다.")))
+        .when(k == 3, F.concat(F.lit("확인되지 않습니다. 예산은 "), F.col("doc_id").cast("string"), F.lit("억원입니다.")))
+        .when(k == 4, F.concat(F.lit("알 수 없습니다. 따라서 "), lang, F.lit(" 참여는 가능합니다. "), lang, F.lit(" 수준이 높습니다."))).otherwise(F.concat("source", F.lit(": 확인할 수 없습니다")))
+    )
+    return table(spark, d, "documents").select("doc_id", answer.alias("answer"))
+
+
+@query(f"""with {_STATED} select doc_id, case when answer is null then true else contains(answer, '확인할 수 없습니다') and len(list_filter(regexp_split_to_array(answer, '\\r\\n|\\n|\\r'),
+  lambda x: length(regexp_replace(replace(replace(x, '제공된 문서에서 확인할 수 없습니다', ''), '확인할 수 없습니다', ''), '[\\s.,:;\\-·※]+', '', 'g')) >= 15)) = 0 end as declined from a""")
+def abstention_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _stated(spark, d).select("doc_id", S.declines_by_lines(F.col("answer")).alias("declined"))
+
+
+_SENTENCE = f"""case when regexp_matches(x, '{S.DECLINES}') then regexp_matches(regexp_replace(regexp_replace(x, '{S.DECLINES}', ' ', 'g'), '\\([^)]*\\)', ' ', 'g'), '{S.QUANTITY}')
+  else regexp_matches(regexp_replace(lower(x), '{S.NO_CONTENT}', '', 'g'), '\\d') or length(regexp_replace(lower(x), '{S.NO_CONTENT}', '', 'g')) >= 15 end"""
+
+
+@query(f"""with {_STATED}, b as (select doc_id, answer, regexp_replace(trim(answer), '{S.FILE_IN_BRACKETS}', ' ', 'g') as body from a)
+  select doc_id, case when trim(coalesce(answer, '')) = '' then 'empty_response' when regexp_matches(body, '{S.DECLINES_FIRST}') and not regexp_matches(regexp_replace(body, '{S.DECLINES_FIRST}', ''), '{S.FIRM}') then 'abstained'
+    when not regexp_matches(body, '{S.DECLINES}') then 'answered' when len(list_filter(regexp_split_to_array(body, '{S.SENTENCE_END}'), lambda x: {_SENTENCE})) > 0 then 'partial_answer' else 'abstained' end as status from b""")
+def response_statuses(spark: SparkSession, d: str) -> DataFrame:
+    return _stated(spark, d).select("doc_id", S.response_status_leading(F.col("answer"), F.lit(None).cast("string")).alias("status"))
+
+
+@query(r"""with w as (select doc_id, lower(coalesce(text, '')) as answer, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z가-힣%]+') as ws from documents),
+  o as (select doc_id, answer, concat_ws(' ', ws[4], ws[2], 'absent' || doc_id % 3, case when doc_id % 2 = 0 then 'missingword' end, case when doc_id % 5 = 0 then '77' end) as opt from w),
+  p as (select *, regexp_replace(answer, '[^0-9a-z가-힣%]+', '', 'g') as have, regexp_replace(opt, '[^0-9a-z가-힣%]+', '', 'g') as want, list_filter(regexp_extract_all(opt, '[0-9a-z가-힣%]+'), lambda x: not regexp_matches(x, '^\d') and length(x) >= 2) as words,
+    list_filter(list_transform(regexp_extract_all(replace(opt, ',', ''), '\d+(?:\.\d+)?'), lambda x: case when ltrim(x, '0') = '' then '0' else ltrim(x, '0') end), lambda x: length(x) >= 2) as numbers,
+    list_transform(regexp_extract_all(replace(answer, ',', ''), '\d+(?:\.\d+)?'), lambda x: case when ltrim(x, '0') = '' then '0' else ltrim(x, '0') end) as own from o)
+  select doc_id, contains(have, want) or (list_has_all(own, numbers) and case when len(words) > 0 then len(list_filter(words, lambda x: contains(have, x))) / len(words) >= 0.4 else len(numbers) > 0 end) as stated from p""")
+def stated_options(spark: SparkSession, d: str) -> DataFrame:
+    """Options of words from each text with some that it lacks, and a number that few texts have."""
+    k, answer = F.col("doc_id"), F.lower(F.coalesce("text", F.lit("")))
+    words = F.regexp_extract_all(answer, F.lit("[0-9a-z가-힣%]+"), F.lit(0))
+    option = F.concat_ws(" ", F.get(words, F.lit(3)), F.get(words, F.lit(1)), F.concat(F.lit("absent"), (k % 3).cast("string")), F.when(k % 2 == 0, "missingword"), F.when(k % 5 == 0, "77"))
+    return table(spark, d, "documents").select("doc_id", S.states_option(answer, option).alias("stated"))
+
+
+@query("""with c as (select conv_id, list(turn) as turns from conversations group by 1), m as (select conv_id, list_sort(list_distinct(list_transform(turns, lambda t: t - t % 2))) as turns from c)
+  select conv_id, array_to_string(case when conv_id % 3 = 0 then list_sort(list_distinct(list_append(turns, 99))) else turns end, ',') as turns from m""")
+def golden_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """Odd turns are excluded as repeats of the even ones before them; every third case gets one more by a patch."""
+    turns = table(spark, d, "conversations")
+    cases = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    dups = turns.where("turn % 2 = 1").select(F.col("turn").alias("doc_id"), (F.col("turn") - 1).alias("dup_of")).distinct()
+    patch = cases.where("conv_id % 3 = 0").select("conv_id", F.array(F.lit(99).cast("long")).alias("turns"), F.lit(None).cast("int").alias("n_expected"))
+    out = S.overlaid(S.remapped(cases, dups, "conv_id", "turns"), patch, "conv_id", "turns")
+    return out.select("conv_id", F.array_join(F.array_sort("turns"), ",").alias("turns"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docforge.functions import text as T
-from docforge.operators import candidates, chunking, evaluation, filters, metadata, tables
+from docforge.operators import candidates, chunking, evaluation, filters, metadata, retrieval, scoring, tables
 from docforge.operators import retrieval as R
 from docforge.sources import readers, sinks
 from docforge.streaming import attempts
@@ -54,20 +54,6 @@ def test_repeats_and_css(session):
     assert css.select(tables.css_backgrounds(F.col("c")).alias("m")).first().m == {"a": "#ff0000", "b": "blue"}
 
 
-def test_candidates():
-    text = "머리말\n1. 사업 목적\n이 사업은 좋다. 끝이다.\n" + "내용 " * 200 + "\n담당 부서: 전산과 TEL: 02-123-4567\n[별지 제2호] 서식\n[별지 서식 제1호] 신청서 - 3\n[별지 서식 제1호] 신청서\n"
-    found = candidates.headings(text, *candidates.QUESTIONS["purpose"])
-    assert [f[0] for f in found] == ["heading"] and "사업 목적" in found[0][1]
-    assert text[found[0][2] : found[0][3]].strip().startswith("1. 사업 목적")
-    assert [c[0] for c in candidates.contacts(text)] == ["phone"]
-    assert [c[0] for c in candidates.contacts("문의처: 전산과")] == ["heading"]
-    assert [f[0] for f in candidates.forms(text)] == ["[별지 서식 제1호]"]
-    assert candidates.spaced([0, 5, 9, 20, 31], 10, 3) == [0, 20, 31]
-    contents = "사업 목적 - 3 일정 - 5 예산 - 9"
-    assert candidates.headings(contents, *candidates.QUESTIONS["purpose"]) == []
-    assert candidates.snapped("abc def", 5, 6) == ("def…", 4, 6) or candidates.snapped("abc def", 5, 6)[1] == 4
-
-
 def test_constraints():
     c = filters.parse_constraints("3억원 초과하는 지자체 사업")
     assert (c.minimum, c.exclusive, c.local) == (3e8, True, True)
@@ -78,7 +64,7 @@ def test_constraints():
 def test_options_and_names(session):
     rows = [("예산은 5억원이다", "5억원", True), ("예산은 6억원이다", "5억원", False), ("alpha beta gamma", "beta delta gamma", True), (None, "x", False), ("010 days", "10 days", True)]
     df = session.createDataFrame([(a, o) for a, o, _ in rows], "a string, o string")
-    assert [r.m for r in df.select(evaluation.option_matches("a", "o").alias("m")).collect()] == [w for *_, w in rows]
+    assert [r.m for r in df.select(T.normal_form("a").alias("a"), T.normal_form("o").alias("o")).select(scoring.states_option(F.col("a"), F.col("o")).alias("m")).collect()] == [w for *_, w in rows]
     assert session.createDataFrame([("abc", "abd")], "a string, b string").select(evaluation.name_likeness("a", "b").alias("r")).first().r == pytest.approx(2 / 3)
 
 
@@ -156,3 +142,105 @@ def test_embedding_and_folding(session):
 def test_json_in_fences(session):
     df = session.createDataFrame([('```json\n{"a": 1}\n```',), ('{"a": 2}',), ("no",)], "t string")
     assert [r.j and r.j.a for r in df.select(T.json_fields(F.col("t"), "a int").alias("j")).collect()] == [1, 2, None]
+
+
+def _one(session, value):
+    return session.range(1).select(value.alias("v")).first().v
+
+
+def test_places(session):
+    import re
+
+    texts = ["", "ab", "abab xab", "no", "ababab "]
+    df = session.createDataFrame([(t,) for t in texts], "t string")
+    got = [[tuple(x) for x in r.v] for r in df.select(candidates.places(F.col("t"), "ab+").alias("v")).collect()]
+    assert got == [[m.span() for m in re.finditer("ab+", t)] for t in texts]
+    places = F.transform(F.array(*map(F.lit, [0, 5, 9, 20, 31])), lambda x: F.struct(x.alias("start"), x.alias("end")))
+    assert [x.start for x in _one(session, candidates.spaced(places, 10, 3))] == [0, 20, 31]
+
+
+def test_answers_that_decline(session):
+    lines = [(None, True), ("확인할 수 없습니다.", True), ("하도급: 확인할 수 없습니다.\n공동수급: 모두 허용되며 최대 다섯 개 업체까지 가능하다고 적혀 있음", False), ("답은 5억원", False), ("제공된 문서에서 확인할 수 없습니다.\n[근거: a.hwp]", True)]
+    df = session.createDataFrame(lines, "a string, w boolean")
+    assert [r.v for r in df.select(scoring.declines_by_lines(F.col("a")).alias("v")).collect()] == [w for _, w in lines]
+    rows = [
+        ("제공된 문서에서 확인할 수 없습니다.\n[근거: 문서.hwp]", None, "abstained", "abstained"),
+        ("사업 예산은 5억원입니다. 기간은 확인할 수 없습니다.", None, "partial_answer", "partial_answer"),
+        ("예산 10억원 여부는 확인할 수 없습니다.", None, "partial_answer", "partial_answer"),
+        ("확인할 수 없습니다 (2025년 계획.hwp).", None, "abstained", "abstained"),
+        ("확인할 수 없습니다. 예산은 2024년에 5억원이었다.", None, "partial_answer", "abstained"),
+        ("판단할 수 없습니다. 따라서 참여가 가능합니다.", None, "abstained", "abstained"),
+        ("알 수 없습니다. 그러나 입찰 참여 가능성이 높습니다. 아주 높습니다.", None, "partial_answer", "partial_answer"),
+        ("예산은 5억원이다", None, "answered", "answered"), (" ", None, "empty_response", "empty_response"), (None, None, "empty_response", "empty_response"), ("x", "failed", "execution_error", "execution_error"),
+    ]
+    df = session.createDataFrame([r[:2] for r in rows], "a string, e string")
+    got = [(r.x, r.y) for r in df.select(scoring.response_status(F.col("a"), F.col("e")).alias("x"), scoring.response_status_leading(F.col("a"), F.col("e")).alias("y")).collect()]
+    assert got == [r[2:] for r in rows]
+
+
+def test_strict_options(session):
+    rows = [
+        ("요율은 100분의 10 이다", "10%", True), ("예산은 20억원", "20억", True), ("3억 이상", "3억 미만", False), ("참여 불가능", "참여 가능", False), ("참여할 수 있습니다", "참여 가능", True),
+        ("본문 페이지", "본문 200페이지", False), ("2024년 3월 5일에 마감", "2024-03-05 마감", True), ("제출 서류는 신청서와 계획서", "신청서 계획서 제출", True), ("신청서", "계획서 보고서 신청서", False), (None, "x", False),
+    ]
+    df = session.createDataFrame([r[:2] for r in rows], "a string, o string")
+    got = [r.v for r in df.select(T.normal_form("a").alias("a"), T.normal_form("o").alias("o")).select(scoring.states_option_strictly(F.col("a"), F.col("o")).alias("v")).collect()]
+    assert got == [r[2] for r in rows], list(zip(rows, got))
+    groups = F.array(F.array(F.lit("5억"), F.lit("500백만")), F.array(F.lit("없는 말")))
+    assert _one(session, scoring.stated_groups(F.lit("예산 5억원"), groups)) == 0.5
+    assert _one(session, scoring.stated_groups(F.lit("x"), F.expr("cast(array() as array<array<string>>)"))) is None
+
+
+def test_golden_sets(session):
+    from pyspark.errors import SparkRuntimeException
+
+    arr = lambda x: F.array(*map(F.lit, x)).cast("array<string>") if x is not None else F.lit(None).cast("array<string>")
+    nest = lambda x: F.array(*[arr(y) for y in x]) if x else F.expr("cast(array() as array<array<string>>)")
+    assert _one(session, scoring.fact_groups(nest([["a", " "]]), nest([["b"]]), arr(["c"]))) == [["a"]]
+    assert _one(session, scoring.fact_groups(nest([]), nest([["b"], [""]]), arr(["c"]))) == [["b"]]
+    assert _one(session, scoring.fact_groups(nest([]), nest([]), arr(["c", ""]))) == [["c"]]
+    assert _one(session, scoring.expected_decision(F.lit(" Abstain "), F.lit("answer"), F.lit(None))) == "abstain"
+    assert _one(session, scoring.expected_decision(F.lit(""), F.lit(None), F.lit("ABSTAIN"))) == "abstain"
+    assert _one(session, scoring.expected_decision(F.lit(None), F.lit(None), F.lit(None))) == "answer"
+    assert _one(session, scoring.first_document_set(arr(["x.csv", " "]), arr(["B 1.hwp", "a.pdf", "b1.hwp"]), arr(["c"]))) == ["apdf", "b1hwp"]
+    assert _one(session, F.array(scoring.within_set(arr(["a"]), arr(["b", "a"])), scoring.same_set(arr(["a", "b"]), arr(["b", "a", "a"])), scoring.same_set(arr(["a"]), arr(["b"])))) == [True, True, False]
+    cases = session.createDataFrame([("q1", ["d2", "d1", "d3"]), ("q2", ["d1"]), ("q3", [])], "id string, docs array<string>")
+    dups = session.createDataFrame([("d2", "d3")], "doc_id string, dup_of string")
+    assert {r.id: r.docs for r in scoring.remapped(cases, dups, "id", "docs").collect()} == {"q1": ["d3", "d1"], "q2": ["d1"], "q3": []}
+    patch = lambda n: session.createDataFrame([("q2", ["d1", "d9"], n)], "id string, docs array<string>, n_expected int")
+    assert {r.id: r.docs for r in scoring.overlaid(cases, patch(2), "id", "docs").collect()} == {"q1": ["d2", "d1", "d3"], "q2": ["d1", "d9"], "q3": []}
+    with pytest.raises(SparkRuntimeException):
+        scoring.overlaid(cases, patch(3), "id", "docs").collect()
+    predictions = session.createDataFrame([("q1", "예산은 5억원", None), ("q2", "답", "timeout")], "id string, answer string, execution_error string")
+    assert {r.id: r.status for r in scoring.with_predictions(cases, predictions, "id").collect()} == {"q1": "answered", "q2": "execution_error", "q3": "empty_response"}
+    old, new = (session.createDataFrame(x, "id string, s double") for x in ([("a", 1.0), ("b", None), ("c", 2.0)], [("a", 1.0), ("b", None), ("c", 3.0)]))
+    assert [tuple(r) for r in scoring.rescored(old, new, "id", ["s"]).collect()] == [("c", 2.0, 3.0)]
+
+
+def test_likeliest_names(session):
+    """As holding every asked string against every name, also for short and repetitive ones."""
+    import difflib
+    import random
+
+    rng = random.Random(5)
+    names = ["".join(rng.choices("abcde ", k=rng.randint(1, 24))) for _ in range(120)] + ["aaaa", "aaaaaaaa", "x", "ab"]
+    asked = [n[: len(n) // 2] + rng.choice("xya") + n[len(n) // 2 + 1 :] for n in names] + ["aaa", "x", "nothing like it"]
+    make = lambda values, c: session.createDataFrame([(v,) for v in values], f"{c} string")
+    got = {r.asked: (r.found, round(r.ratio, 9)) for r in evaluation.likeliest_names(make(asked, "asked"), make(names, "found"), "asked", "found").collect()}
+    want = {}
+    for a in asked:
+        best = max((difflib.SequenceMatcher(None, a, n).ratio(), n) for n in names)
+        if best[0] >= 0.85:
+            want[a] = (best[1], round(best[0], 9))
+    assert got == want
+
+
+def test_containing(session):
+    docs = session.createDataFrame([(1, "xalpha beta gamma delta epsilon zetay more"), (2, "alpha beta gamma delta epsilon"), (3, "short one here"), (4, None)], "doc_id long, text string")
+    items = session.createDataFrame([(10, "alpha beta gamma delta epsilon zeta"), (11, "one he"), (12, "beta  gamma delta epsilon zeta more"), (13, None)], "q long, p string")
+    assert sorted(map(tuple, retrieval.containing(docs, items, "doc_id", "text", "q", "p").collect())) == [(10, 1), (11, 3)]
+
+
+def test_citation_alone(session):
+    df = session.createDataFrame([("[근거: a, b]",), ("x [근거: a]\n\n\n\ny\n[근거: b]",), ("none",)], "a string")
+    assert [r.v for r in df.select(evaluation.citation_to_end(F.col("a")).alias("v")).collect()] == ["[근거: a, b]", "x\n\ny\n\n[근거: a, b]", "none"]
