@@ -35,14 +35,14 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 VECTOR_SQL = """
   e as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings), u as (select vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from e),
-  vs as (select q.vec_id as query_id, u.vec_id as doc_id, 2 * list_dot_product(u.v, q.v) - 1 as score from u, u q where q.vec_id < 20),
+  vs as (select q.vec_id as query_id, u.vec_id as doc_id, 2 * list_dot_product(u.v, q.v) - 1 as score from u, u q where q.vec_id % 50 = 0),
   vs_ranked as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from vs)
 """
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    out = R.vector_scores(e.select(F.col("vec_id").alias("doc_id"), "embedding"), e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "doc_id", "embedding", "query_id", "q")
+    out = R.vector_scores(e.select(F.col("vec_id").alias("doc_id"), "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "doc_id", "embedding", "query_id", "q")
     return out.withColumn("score", F.round("score", 9))
 
 
@@ -67,8 +67,8 @@ _SIDES = f"""{BM25_SQL}, ov as (select query_id, doc_id, count(*)::double as sco
 
 
 def _overlap(spark: SparkSession, d: str) -> DataFrame:
-    tf = R.term_frequencies(table(spark, d, "documents").select("doc_id", "text"), "doc_id", R.tokens(F.col("text")))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(R.tokens(F.col("text"))).alias("term")).distinct()
+    tf = R.asked_frequencies(table(spark, d, "documents").select("doc_id", "text"), "doc_id", R.tokens(F.col("text")), asked.select("term").distinct())
     return tf.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
 
 
@@ -137,10 +137,10 @@ def keyword_expansion(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.lit(True).alias("known"), F.size(words).cast("long").alias("n"))
 
 
-@query(r"""with p as (select page_id, list_distinct(list_filter(regexp_split_to_array(lower(url), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as a, list_distinct(list_filter(regexp_split_to_array(lower(html[1:400]), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as b from pages)
+@query(r"""with p as (select page_id, list_distinct(list_filter(regexp_split_to_array(lower(url), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as a, list_distinct(list_filter(regexp_split_to_array(lower(html), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as b from pages)
   select page_id, len(list_intersect(a, b))::bigint as overlap from p where len(list_intersect(a, b)) > 0""")
 def word_overlap(spark: SparkSession, d: str) -> DataFrame:
-    both = F.size(F.array_intersect(R.tokens(F.col("url")), R.tokens(F.substring("html", 1, 400))))
+    both = F.size(F.array_intersect(R.tokens(F.col("url")), R.tokens(F.col("html"))))
     return table(spark, d, "pages").select("page_id", both.cast("long").alias("overlap")).where("overlap > 0")
 
 

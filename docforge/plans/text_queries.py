@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docforge.functions import text as T
@@ -59,11 +59,11 @@ def table_flatten(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with r as (select doc_id, text, flatten(list_transform(list_filter(string_split(text, chr(10)), lambda x: contains(x, ' | ')), lambda line: string_split(line, ' | '))) as cells from documents),
-  c as (select doc_id, list_filter(list_transform(cells, lambda x: regexp_replace(x, '\\s+', '', 'g')), lambda x: x <> '') as cells, regexp_replace(text[1:length(text) // 2], '\\s+', '', 'g') as body from r where len(cells) > 0)
+  c as (select doc_id, list_filter(list_transform(cells, lambda x: regexp_replace(x, '\\s+', '', 'g')), lambda x: x <> '') as cells, regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: not contains(x, ' | ')), chr(10)), '\\s+', '', 'g') as body from r where len(cells) > 0)
   select doc_id, round(len(list_filter(cells, lambda x: contains(body, x))) / len(cells), 6) as ratio from c""")
 def table_repeat_ratio(spark: SparkSession, d: str) -> DataFrame:
-    half = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
-    return _bars(spark, d).select("doc_id", F.round(tables.repeat_ratio(F.col("cells"), half), 6).alias("ratio"))
+    body = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.contains(x, F.lit(" | "))), "\n")
+    return _bars(spark, d).select("doc_id", F.round(tables.repeat_ratio(F.col("cells"), body), 6).alias("ratio"))
 
 
 @query("""select doc_id, doc_id % 3 < 2 as inserted, md5(case when doc_id % 3 = 0 then 'a' || chr(10) || 'T0' || chr(10) || 'b' when doc_id % 3 = 1 then 'T0' || chr(10) || 'x' || chr(10) || 'T1' else '<표>' || chr(10) || 'c' end) as digest from documents""")
@@ -113,16 +113,33 @@ def candidate_passages(spark: SparkSession, d: str) -> DataFrame:
     return candidates.extract(table(spark, d, "documents").select("doc_id", intro.alias("text")))
 
 
-@query(r"""with t as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as ws from documents where doc_id < 400),
-  g as (select distinct doc_id, array_to_string(ws[i:i + 7], ' ') as s from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from t)), n as (select doc_id, count(*) as size from g group by 1)
-  select a.doc_id as a, b.doc_id as b, round(count(*) / least(any_value(x.size), any_value(y.size)), 6) as contained from g a join g b on a.s = b.s and a.doc_id < b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
-  group by 1, 2 having count(*) >= 0.9 * least(any_value(x.size), any_value(y.size))""")
+@query(r"""with t as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as ws from documents),
+  s as (select doc_id, list_sort(list_distinct(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' ')))) as grams from t where len(ws) >= 8),
+  c as (select grams, min(doc_id) as doc_id, count(*) as copies from s group by 1), g as (select doc_id, unnest(grams) as s from c),
+  p as (select a.doc_id as a, b.doc_id as b, count(*) as n from g a join g b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2)
+  select a, b, x.copies as copies_a, y.copies as copies_b, round(n / least(len(x.grams), len(y.grams)), 6) as contained from p join c x on x.doc_id = a join c y on y.doc_id = b where 10 * n >= 9 * least(len(x.grams), len(y.grams))""")
 def shingle_containment(spark: SparkSession, d: str) -> DataFrame:
-    """A stated set of documents is held against each other: the evidence for a table of exclusions."""
-    words = table(spark, d, "documents").where("doc_id < 400").select("doc_id", tokens(F.col("text")).alias("ws"))
-    grams = words.where("size(ws) >= 8").select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - 7), lambda i: F.array_join(F.slice("ws", i, F.lit(8)), " "))).alias("s")).distinct()
-    n = grams.groupBy("doc_id").agg(F.count("*").alias("size"))
-    a, b = grams.select(F.col("doc_id").alias("a"), "s"), grams.select(F.col("doc_id").alias("b"), "s")
-    both = a.join(b, "s").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    sized = both.join(n.select(F.col("doc_id").alias("a"), F.col("size").alias("x")), "a").join(n.select(F.col("doc_id").alias("b"), F.col("size").alias("y")), "b")
-    return sized.where("n >= 0.9 * least(x, y)").select("a", "b", F.round(F.col("n") / F.least("x", "y"), 6).alias("contained"))
+    """Evidence for a table of exclusions: classes of documents with equal shingles, and pairs of classes where one holds nine tenths of the other."""
+    return tables_of_contained(table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("ws")))
+
+
+def tables_of_contained(words: DataFrame, size: int = 8) -> DataFrame:
+    """(a, b, copies_a, copies_b, contained): the smallest ids of two classes, how many documents they have, and the share.
+
+    The smaller set of a pair shares one of its rarest tenth (and one more) with the larger, so only those are looked up.
+    """
+    grams = F.transform(F.sequence(F.lit(1), F.size("ws") - (size - 1)), lambda i: F.xxhash64(F.array_join(F.slice("ws", i, F.lit(size)), " ")))
+    sets = words.where(F.size("ws") >= size).select("doc_id", F.array_sort(F.array_distinct(grams)).alias("grams"))
+    classes = sets.groupBy("grams").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    each = classes.select("doc_id", F.size("grams").alias("size"), F.explode("grams").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(often, "s")
+    # grams of one class alone are the rarest; what of the tenth they leave open is looked up
+    alone = F.col("size") - F.count("*").over(Window.partitionBy("doc_id"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "s"))
+    asked = shared.withColumn("alone", alone).withColumn("nth", nth).where(F.col("nth") + F.col("alone") <= F.floor(F.col("size") / 10) + 1)
+    met = asked.select(F.col("doc_id").alias("x"), F.col("size").alias("n"), "s").join(shared.select(F.col("doc_id").alias("y"), F.col("size").alias("m"), "s"), "s").where("x != y and n <= m")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda k: classes.select(F.col("doc_id").alias(k), F.col("grams").alias(f"g{k}"), F.col("copies").alias(f"copies_{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("n", F.size(F.array_intersect("ga", "gb"))).withColumn("m", F.least(F.size("ga"), F.size("gb")))
+    return both.where("10 * n >= 9 * m").select("a", "b", "copies_a", "copies_b", F.round(F.col("n") / F.col("m"), 6).alias("contained"))
