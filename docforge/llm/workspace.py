@@ -2,8 +2,8 @@
 
 Lineage is cut by writing Parquet tables below the folder that the cluster names in
 ``spark.checkpoint.dir``; every executor and the driver see that folder, so a lost executor
-costs only the tasks that it was running. Where the setting is absent (tests) a temporary
-folder is made. Tables are deleted when the JVM's file systems close.
+costs only the tasks that it was running. Where the setting is absent a temporary folder is
+made in local mode (tests); on a cluster that is an error. Tables are deleted when the JVM's file systems close.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _fallback.setdefault("dir", "")
         if not found:
             found = _fallback["dir"] = "file://" + tempfile.mkdtemp(prefix="docforge-")
