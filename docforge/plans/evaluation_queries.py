@@ -174,7 +174,11 @@ def final_attempt_stream(spark: SparkSession, d: str) -> DataFrame:
 
     from docforge.streaming import attempts
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp()  # local mode: one machine, as in tests
     from uuid import uuid4
 
     root = f"{shared}/attempts-{uuid4().hex[:12]}"

@@ -7,7 +7,7 @@ import pytest
 
 from docforge.plans import registry
 
-D = "/root/testdata/sf0.001"
+D = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no generated tables")
 
 
