@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -122,8 +123,6 @@ def snippets(text: Column, keyword: Column, before: int = 20, after: int = 200)
 @F.pandas_udf(StringType())
 def folded(texts: pd.Series) -> pd.Series:
     """Compatibility-normalised, case-folded, only digits, Latin and Hangul letters and per cent signs."""
-    import re
-
     keep = re.compile(r"[^0-9a-z가-힣%]+")
     return texts.map(lambda t: keep.sub("", unicodedata.normalize("NFKC", t).casefold()) if isinstance(t, str) else "")
 
@@ -138,3 +137,24 @@ def json_fields(text: Column, schema: str) -> Column:
     """A JSON object, with or without code fences around it; null where it does not parse."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```$", "")
     return F.from_json(bare, schema)
+
+
+def without_ending(text: Column, endings: tuple[str, ...]) -> Column:
+    """The text less one of the endings, the longest that fits; never all of it."""
+    return F.regexp_replace(text, f"(?<=.)(?:{'|'.join(sorted(map(re.escape, endings), key=len, reverse=True))})$", "")
+
+
+def first_of(values: Column, keys: list[str]) -> Column:
+    """A map's value of the first key that has one."""
+    return F.coalesce(*[F.try_element_at(values, F.lit(k)) for k in keys])
+
+
+def data_url(content: Column, kind: str) -> Column:
+    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(content))
+
+
+def slug(name: Column) -> Column:
+    """A name fit for a folder: its last part without the extension, other characters as dashes, 48 at most, and the start of its digest."""
+    stem = F.regexp_replace(F.regexp_replace(name, "^.*/", ""), r"(?<=.)\.[^.]*$", "")
+    clean = F.substring(F.regexp_replace(F.regexp_replace(stem, "[^0-9a-zA-Z가-힣_-]+", "-"), "^-+|-+$", ""), 1, 48)
+    return F.concat(F.coalesce(F.nullif(clean, F.lit("")), F.lit("document")), F.lit("-"), F.substring(F.sha2(name, 256), 1, 10))

@@ -95,3 +95,30 @@ def excerpt(document: Column, candidate: Column, width: int = 800) -> Column:
     place = F.call_function("instr", one(document), F.substring(one(candidate), 1, 40))
     start = F.greatest(place - F.lit(width // 4), F.lit(1))
     return F.when(place > 0, F.substring(one(document), start, F.lit(width))).otherwise(F.substring(one(candidate), 1, width))
+
+
+def selected_candidates(candidates: DataFrame, picks: DataFrame, most: int = 3) -> DataFrame:
+    """(query_id, candidate_id, nth, needs_final) of what was picked from batches (query_id, batch, at, candidate_id).
+
+    Unknown candidates go, repeated ones count where they were picked first. Above ``most`` a final round compares them.
+    """
+    known = picks.join(candidates.select("query_id", "candidate_id"), ["query_id", "candidate_id"], "left_semi")
+    first = known.groupBy("query_id", "candidate_id").agg(F.min(F.struct("batch", "at")).alias("_place"))
+    own = Window.partitionBy("query_id")
+    return first.select("query_id", "candidate_id", (F.row_number().over(own.orderBy("_place", "candidate_id")) - 1).alias("nth"), (F.count("*").over(own) > most).alias("needs_final"))
+
+
+def finalists(selected: DataFrame, final_picks: DataFrame, candidates: DataFrame, most: int = 3) -> DataFrame:
+    """(query_id, candidate_id, nth): the final picks (query_id, at, candidate_id) where a final round was needed, else what was selected."""
+    again = selected.where("needs_final").select("query_id").distinct()
+    final = final_picks.join(again, "query_id", "left_semi").join(candidates.select("query_id", "candidate_id"), ["query_id", "candidate_id"], "left_semi")
+    final = first_per_group(final, ["query_id"], [F.col("at")], most).select("query_id", "candidate_id", F.col("at").cast("int").alias("nth"))
+    return selected.where("not needs_final").select("query_id", "candidate_id", "nth").union(final)
+
+
+def visual_texts(read: DataFrame) -> DataFrame:
+    """(query_id, evidence_text, error): what was read (query_id, nth, doc_id, page, candidate_id, evidence) in lines that name their place; ``most`` lines a query."""
+    told = F.trim(F.coalesce("evidence", F.lit("")))
+    line = F.concat(F.lit("["), "doc_id", F.lit(" / page="), F.coalesce(F.col("page").cast("string"), F.lit("unknown")), F.lit(" / "), "candidate_id", F.lit("] "), told)
+    lines = read.groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(told != "", F.struct("nth", line.alias("line"))))).alias("xs"))
+    return lines.select("query_id", F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("evidence_text"), F.when(F.size("xs") == 0, "no_relevant_visual_evidence_selected").alias("error"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,3 +83,52 @@ def disabled_reason(enabled: Column, csv_only: Column, follow_up: Column) -> Col
 def gradable(df: DataFrame, expected: str, facts: str) -> DataFrame:
     """Rows with expected documents and facts."""
     return df.where((F.size(F.coalesce(F.col(expected), F.array())) > 0) & (F.size(F.coalesce(F.col(facts), F.array())) > 0))
+
+
+# What questions say of a kind of notice, and what owners or file names of that kind hold.
+LEAST_AMOUNT, LEAST_WORDS = r"(\d+)억", ("이상", "넘는")
+LOCAL_WORDS = ("지자체", "지방자치단체")
+LOCAL_NAME = r"(광역시|특별시|특별자치도|특별자치시|[가-힣]+도|[가-힣]+시|[가-힣]+군|[가-힣]+구)$"
+CORPORATION, CORPORATION_WORDS = "공사", ("OO공사", "발주기관이")
+SCHOOL_WORDS = ("학교", "대학교", "대학", "과학기술원")
+SCHOOL_NAME, ASSOCIATION = r"대학교|대학|과학기술원", r"협의회|협회"
+FILE_WORDS = ("긴급", "보안", "재난")
+AI_WORD = "AI"
+WHERE_STATED = ("명시되어 있나요", "명시되어 있는지", "문서에 나와 있나요", "기재되어 있나요", "명시되어 있습니까", "적혀 있나요", "표기되어 있나요")
+
+_OWNERS = {
+    "local": lambda name: F.trim(name).rlike(LOCAL_NAME),
+    "corporation": lambda name: name.contains(CORPORATION),
+    "school": lambda name: name.rlike(SCHOOL_NAME) & ~name.rlike(ASSOCIATION),
+}
+
+
+@dataclass(frozen=True)
+class Topics:
+    """A least amount, kinds of owner and words of the file name that a question asks for. ``ai`` is told, but filters nothing."""
+
+    minimum: int | None = None
+    owners: tuple[str, ...] = ()
+    words: tuple[str, ...] = ()
+    ai: bool = False
+
+    def predicate(self, budget: Column, owner: Column, file_name: Column) -> Column | None:
+        """None where nothing filters. Unknown amounts, owners and names fail."""
+        asked = [] if self.minimum is None else [F.coalesce(budget >= self.minimum, F.lit(False))]
+        asked += [_OWNERS[kind](F.coalesce(owner, F.lit(""))) for kind in self.owners]
+        asked += [F.coalesce(file_name, F.lit("")).contains(word) for word in self.words]
+        return reduce(and_, asked) if asked else None
+
+
+def topics_of(question: str, unit: int = MIN_BUDGET_UNIT) -> Topics:
+    def said(words: tuple[str, ...]) -> bool:
+        return any(w in question for w in words)
+
+    least = re.search(LEAST_AMOUNT, question) if said(LEAST_WORDS) else None
+    kinds = {"local": said(LOCAL_WORDS), "corporation": CORPORATION in question and said(CORPORATION_WORDS), "school": said(SCHOOL_WORDS)}
+    return Topics(int(least[1]) * unit if least else None, tuple(k for k, yes in kinds.items() if yes), tuple(w for w in FILE_WORDS if w in question), AI_WORD in question)
+
+
+def asks_where_stated(question: Column) -> Column:
+    """Questions on whether the text itself says it: the answer has to tell text and metadata apart."""
+    return F.coalesce(question.rlike("|".join(WHERE_STATED)), F.lit(False))

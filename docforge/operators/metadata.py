@@ -132,3 +132,35 @@ def date_spans(df: DataFrame, key: str, text: str, published: str) -> DataFrame:
     one = r"\d{4}[.\-]\d{1,2}[.\-]\d{1,2}"
     starts = F.transform(F.regexp_extract_all(F.col(text), F.lit(rf"({one})\s*~\s*{one}"), F.lit(1)), lambda s: F.abs(F.datediff(T.lenient_date(s), F.col(published))))
     return df.select(key, F.size(starts).alias("n_spans"), F.array_max(starts).alias("max_gap")).where("n_spans > 0")
+
+
+def widest_first(spans: DataFrame, key: str) -> DataFrame:
+    """Spans in the order of their gaps, the greatest first; an unknown gap counts as none."""
+    return spans.orderBy(F.desc(F.coalesce("max_gap", F.lit(0))), key)
+
+
+# Labels and states of schedule texts.
+BUDGET_LABEL, START_LABEL, DEADLINE_LABEL, ISSUER_LABEL = "  예산: ", "  참여 시작일: ", "  참여 마감일: ", "  발주 기관: "
+NO_VALUE, OPEN_STATE, ONLY_CANDIDATE, ESTIMATED, CURRENCY = "정보 없음", "정보 없음(상태=%s)", '확정 안 됨(후보 문구만 있음) - "%s"', "(추정값 - 공개일자로 대체)", "원"
+SNIPPET_SHOWN = 80
+
+
+def issuer_text(owner: Column) -> Column:
+    named = F.when(~owner.isin("", "nan"), owner)
+    return F.concat(F.lit(ISSUER_LABEL), F.coalesce(named, F.lit(NO_VALUE)))
+
+
+def _open_value(source: Column, snippet: Column) -> Column:
+    """What stands for a value that is not settled: its candidate, else its state."""
+    shown = F.format_string(ONLY_CANDIDATE, F.substring(snippet, 1, SNIPPET_SHOWN))
+    return F.when((source == "candidate") & (snippet != ""), shown).otherwise(F.format_string(OPEN_STATE, F.coalesce(source, F.lit("None"))))
+
+
+def schedule_text(df: DataFrame) -> Column:
+    """Amount, start and deadline of cleaned notices in three lines, each with how far it is settled."""
+    c = lambda name: df[name]
+    known = c("budget").isNotNull() & ~F.isnan(c("budget")) & (c("budget") != 0)
+    amount = F.when(known, F.concat(F.format_number(c("budget"), 0), F.lit(CURRENCY))).otherwise(_open_value(c("budget_source"), c("budget_snippet")))
+    start = F.concat(c("start").cast("string"), F.when(c("start_estimated"), ESTIMATED).otherwise(""))
+    end = F.coalesce(c("deadline_clean").cast("string"), _open_value(c("deadline_source"), c("deadline_snippet")))
+    return F.concat_ws("\n", F.concat(F.lit(BUDGET_LABEL), amount), F.concat(F.lit(START_LABEL), F.coalesce(start, F.lit(NO_VALUE))), F.concat(F.lit(DEADLINE_LABEL), end))

@@ -9,7 +9,7 @@ from docforge.functions import text as T
 from docforge.operators import evaluation as E
 from docforge.operators import retrieval as R
 from docforge.operators import scoring as S
-from docforge.plans.common import table
+from docforge.plans.common import shared_folder, table
 from docforge.plans.registry import query
 from docforge.plans.retrieval_queries import BM25_SQL, _SIDES, _bm25, _overlap
 
@@ -170,18 +170,9 @@ def final_attempt(spark: SparkSession, d: str) -> DataFrame:
 @query(_FINAL)
 def final_attempt_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same from a stream of the log."""
-    import tempfile
-
     from docforge.streaming import attempts
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = "file://" + tempfile.mkdtemp()  # local mode: one machine, as in tests
-    from uuid import uuid4
-
-    root = f"{shared}/attempts-{uuid4().hex[:12]}"
+    root = shared_folder(spark, "attempts")
     rows = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type", (F.col("event_type") != "error").alias("ok"))
     rows.write.mode("overwrite").parquet(f"{root}/log")
     q = attempts.follow(spark, f"{root}/log", "user_id long, event_id long, ts timestamp, event_type string, ok boolean", f"{root}/table", f"{root}/checkpoint", "user_id", "ok", ["ts", "event_id"])
