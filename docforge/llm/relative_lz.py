@@ -1,7 +1,7 @@
 """Substring dedup of words: relative Lempel-Ziv parsing against indexed reference blocks.
 
 Passages come in document order, grouped by anchor (see ``anchors``). Each is factored greedily against every
-reference block of its group: at a place whose window is in a block's index the longest match with that reference
+reference block of its group: at a place whose window is in an index, the longest match with any place of any block
 is taken as a factor; windows that cross the factor's end are then looked up one by one. Factors of at least a
 window's size become duplicate spans, and the passage joins the newest block.
 """
@@ -22,7 +22,7 @@ from docforge.llm.workspace import Workspace
 #: Words in a duplicate window, and in its anchor.
 SIZE, GRAM = 20, 5
 #: Windows in one reference block.
-BLOCK = 200_000
+BLOCK = 100_000
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,18 +32,35 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class ReferenceBlock:
-    """Passages one after the other, with an index from windows to places."""
+    """Passages one after the other; the index gives a window's newest place, and each place the one before it."""
 
     def __init__(self, size: int = SIZE):
-        self.size, self.index, self.words = size, {}, []
+        self.size, self.index, self.before, self.words = size, {}, {}, []
 
     def add(self, passage: list[int], windows: list[int]) -> None:
         base = len(self.words)
-        for i, h in enumerate(windows):
-            self.index.setdefault(h, base + i)
+        for at, h in enumerate(windows, base):
+            older = self.index.get(h)
+            if older is not None:
+                self.before[at] = older
+            self.index[h] = at
         self.words += passage
         self.words.append(-1)  # no factor crosses passages
 
+    def longest(self, passage: list[int], i: int, window: int, best: int) -> int:
+        """The longest match of the passage from ``i`` on, if it is longer than ``best``; else ``best``."""
+        at, words, end = self.index.get(window), self.words, len(passage)
+        n = max(best, self.size - 1)
+        while at is not None and i + n < end:
+            # a longer match matches the word behind the best one too
+            if at + n < len(words) and words[at + n] == passage[i + n] and words[at : at + n] == passage[i : i + n]:
+                n += 1
+                while i + n < end and words[at + n] == passage[i + n]:
+                    n += 1
+                best = n
+            at = self.before.get(at)
+        return best
+
 
 def factors(passage: list[int], windows: list[int], blocks: list[ReferenceBlock], size: int = SIZE) -> list[tuple[int, int]]:
     """Greedy factors (start, length) of at least ``size`` words, overlapping at their boundaries only."""
@@ -51,12 +68,7 @@ def factors(passage: list[int], windows: list[int], blocks: list[ReferenceBlock]
     while i < len(windows):
         best = 0
         for block in blocks:
-            at = block.index.get(windows[i])
-            if at is not None:
-                n = size
-                while i + n < len(passage) and block.words[at + n] == passage[i + n]:
-                    n += 1
-                best = max(best, n)
+            best = block.longest(passage, i, windows[i], best)
         if best:
             out.append((i, best))
             i += best - size + 1  # the next window crosses the factor's end

@@ -58,6 +58,25 @@ def test_small_batches(spark, make):
     assert [got[i] for i in range(len(texts))] == brute_words(texts)
 
 
+def test_factors_are_the_longest_of_all_places_and_blocks():
+    h = lambda x: relative_lz._window_hashes(np.array(x, np.uint64), 3).tolist()
+    blocks = [relative_lz.ReferenceBlock(3), relative_lz.ReferenceBlock(3)]
+    for block, ref in ((0, [1, 2, 3, 4, 5, 6]), (0, [1, 2, 3, 9]), (1, [1, 2, 3, 4, 8]), (1, [6, 7, 8])):
+        blocks[block].add(ref, h(ref))
+    text = [1, 2, 3, 4, 5, 6, 7, 8]
+    assert relative_lz.factors(text, h(text), blocks, 3) == [(0, 6), (5, 3)]
+    rng = random.Random(0)
+    for _ in range(200):
+        refs = [[rng.randrange(3) for _ in range(rng.randint(3, 15))] for _ in range(6)]
+        blocks = [relative_lz.ReferenceBlock(3) for _ in range(2)]
+        for k, ref in enumerate(refs):
+            blocks[k % 2].add(ref, h(ref))
+        text = [rng.randrange(3) for _ in range(rng.randint(3, 20))]
+        longest = lambda i: max([n for n in range(3, len(text) - i + 1) if any(text[i : i + n] == r[k : k + n] for r in refs for k in range(len(r)))], default=0)  # noqa: E731, B023
+        for start, n in relative_lz.factors(text, h(text), blocks, 3):
+            assert n == longest(start)
+
+
 def test_factors_are_greedy_and_checked_at_boundaries():
     import numpy as np
 
