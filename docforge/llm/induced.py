@@ -137,26 +137,34 @@ def _names(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray) -> np.ndarray:
 
 
 def _ranks_of_names(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of the string of names: names are ranks of one element, doubled until all differ."""
-    rank, reach, n = np.unique(names, return_inverse=True)[1].astype(np.int64), 1, len(names)
-    while n and rank.max() < n - 1 and reach < n:
-        after = np.full(n, -1, np.int64)
-        after[: n - reach] = rank[reach:]
-        pair = rank * (n + 1) + after + 1
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+    """Order of the suffixes of the string of names. A name is its group's first place in the order; what is in a group with others is looked at again, twice as far each time."""
+    rank, reach, n = names.copy(), 1, len(names)
+    open_ = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+    while len(open_):
+        further = open_ + reach
+        after = np.where(further < n, rank[np.minimum(further, n - 1)], -1)
+        key = rank[open_] * (n + 1) + after + 1
+        order = np.argsort(key)
+        key, places = key[order], rank[open_[order]]
+        fresh = np.append(True, key[1:] != key[:-1])
+        group = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+        run = np.cumsum(fresh) - 1
+        open_ = open_[order]
+        rank[open_] = places + np.flatnonzero(fresh)[run] - np.repeat(group, np.diff(np.append(group, len(places))))
+        open_ = open_[np.bincount(run)[run] > 1]
         reach *= 2
-    return np.argsort(rank, kind="stable")
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 def common_prefixes(acc: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """What the suffixes at ``a`` and ``b`` have in common, up to ``cap``: a search by halves on hashes."""
     n, out = len(acc) - 1, np.zeros(len(a), np.int64)
     for step in (1 << k for k in range(cap.bit_length() - 1, -1, -1)):
-        fits = (np.maximum(a, b) + out + step <= n) & (out + step <= cap)
-        at = np.flatnonzero(fits)
+        at = np.flatnonzero((np.maximum(a, b) + out + step <= n) & (out + step <= cap))
         x, y = a[at] + out[at], b[at] + out[at]
-        same = K.span_hash(acc, x, x + step) == K.span_hash(acc, y, y + step)
-        out[at[same]] += step
+        out[at[K.equal_spans(acc, x, y, step)]] += step
     return out
 
 

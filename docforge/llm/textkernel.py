@@ -93,6 +93,12 @@ def span_hash(acc: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def equal_spans(acc: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Whether the spans of ``size`` at ``a`` and ``b`` have the same hash."""
+    _, inverse = _powers_to(len(acc))
+    return (acc[a + size] - acc[a]) * inverse[a] == (acc[b + size] - acc[b]) * inverse[b]
+
+
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs without separators, and for each row its first word (one more than rows)."""
     n = len(data)
