@@ -21,8 +21,8 @@ from docforge.llm.workspace import Workspace
 
 #: Words in a duplicate window, and in its anchor.
 SIZE, GRAM = 20, 5
-#: Windows in one reference block.
-BLOCK = 100_000
+#: Windows in one reference block, and words of the passages of one anchor: beyond these it is parted by longer anchors.
+BLOCK, MOST = 100_000, 400_000
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +134,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     as far as it reaches. Other columns are ignored; an empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "relative-lz")
-    found = anchors.repeated_windows(docs, work, words, SIZE, GRAM, True, parse)
+    found = anchors.repeated_windows(docs, work, words, SIZE, GRAM, True, parse, MOST)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id", "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_keeper, "doc_id long, n_words long, n_removed long, kept_text string")
 

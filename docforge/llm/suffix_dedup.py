@@ -1,6 +1,7 @@
 """Byte-level dedup on suffix arrays made by external induced sorting.
 
 Windows meet by anchor (see ``anchors``); what equal contents leave open goes to shards, all spans of an anchor in one.
+A shard has at most twice ``SHARD`` bytes: anchors with more are parted by longer ones.
 A shard's spans are joined to one text, its suffixes are sorted with their common prefixes (see ``induced``),
 and suffixes with a window's length in common are one group: its members in later documents are repeats.
 """
@@ -20,7 +21,7 @@ from docforge.llm.workspace import Workspace
 
 #: Bytes in a duplicate window, and in its anchor.
 SIZE, GRAM = 50, 20
-#: Bytes of a shard, unless one anchor has more.
+#: Bytes of a shard before it is closed, and of the spans of one anchor.
 SHARD = 2_000_000
 
 
@@ -34,14 +35,19 @@ def repeats(contents: list[bytes], docs: np.ndarray, size: int = SIZE, memory: i
     begin = np.cumsum(lengths + 1) - lengths - 1
     text = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.int16) + 1
     text[begin + lengths] = 0
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
+    whole = np.arange(len(text)) + size <= (begin + lengths)[owner]  # a group with a separator in it is no match
     gone = np.zeros(len(text), bool)
     held: list[np.ndarray] = []  # the group that may go on in the next chunk
 
     def settle(places: np.ndarray, fresh: np.ndarray) -> None:
-        own = np.searchsorted(begin, places, "right") - 1
-        whole = places + size <= begin[own] + lengths[own]  # a group with a separator in it is no match
-        least = np.minimum.reduceat(docs[own], np.flatnonzero(fresh))
-        gone[places[(docs[own] > least[np.cumsum(fresh) - 1]) & whole]] = True
+        shared = ~fresh  # groups of one settle nothing
+        shared[:-1] |= ~fresh[1:]
+        places, fresh = places[shared], fresh[shared]
+        if len(places):
+            doc = docs[owner[places]]
+            least = np.minimum.reduceat(doc, np.flatnonzero(fresh))
+            gone[places[(doc > least[np.cumsum(fresh) - 1]) & whole[places]]] = True
 
     for places, shared in induced.suffix_order(text, size, memory):
         fresh = shared < size
@@ -126,7 +132,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     ignored; an empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "suffixes")
-    found = anchors.repeated_windows(docs, work, as_bytes, SIZE, GRAM, False, _shards)
+    found = anchors.repeated_windows(docs, work, as_bytes, SIZE, GRAM, False, _shards, SHARD)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id", "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_keeper, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

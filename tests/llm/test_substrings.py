@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from docforge.llm import induced, relative_lz, suffix_dedup
+from docforge.llm import anchors, induced, relative_lz, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -58,6 +58,34 @@ def test_small_batches(spark, make):
     assert [got[i] for i in range(len(texts))] == brute_words(texts)
 
 
+def test_large_anchors_are_parted(spark, make, monkeypatch):
+    """With a bound that most anchors exceed, results stay the same."""
+    common = "a b c d e f g h i j "  # the anchor of many different passages
+    rng = random.Random(3)
+    texts = passages(3, 8) + [" ".join(rng.choices("pqrs", k=12)) + " " + common + " ".join(rng.choices("tuvw", k=12)) for _ in range(60)]
+    for most in (40, 300):
+        monkeypatch.setattr(relative_lz, "MOST", most)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in relative_lz.report(make(texts).repartition(4)).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_words(texts)
+    monkeypatch.setattr(suffix_dedup, "SHARD", 300)
+    texts = [t[:1500] for t in texts]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(make(texts).repartition(4)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_bytes(texts)
+
+
+def test_frequent_anchors_are_salted(spark, make, monkeypatch):
+    """Anchors and contents count as frequent early, so most rows are salted by content or document; results stay the same."""
+    for name, value in (("SAMPLED", 1), ("LEAST", 3), ("FREQUENT", 1_000_000), ("SALT", 3)):
+        monkeypatch.setattr(anchors, name, value)
+    same = " ".join(f"w{i}" for i in range(30))
+    texts = passages(5, 8) + [same] * 100 + ["x " + same + " y"] * 3
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in relative_lz.report(make(texts).repartition(6)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_words(texts)
+    texts = [t[:1500] for t in texts]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(make(texts).repartition(6)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_bytes(texts)
+
+
 def test_factors_are_the_longest_of_all_places_and_blocks():
     h = lambda x: relative_lz._window_hashes(np.array(x, np.uint64), 3).tolist()
     blocks = [relative_lz.ReferenceBlock(3), relative_lz.ReferenceBlock(3)]
@@ -132,7 +160,6 @@ def test_contents_of_one_anchor_are_told_by_the_whole_hash(make):
     """Two passages of one anchor whose contents have the upper half of their hashes in common, found among 300,000."""
     import pyarrow as pa
 
-    from docforge.llm import anchors
     from docforge.llm import textkernel as K
 
     names = [f"w{i}" for i in range(20_000)]
