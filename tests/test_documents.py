@@ -7,7 +7,7 @@ from docforge.operators import diagnostics, filters, generation
 from docforge.sources import merged, parsing, vectors
 
 
-def test_topics():
+def test_topics(session):
     assert filters.topics_of("모든 사업").predicate(F.lit(1), F.lit("a"), F.lit("b")) is None
     assert filters.topics_of("AI 사업") == filters.Topics(ai=True)
     assert filters.topics_of("3억 이상 공사") == filters.Topics(minimum=300_000_000)  # the word alone asks for no owner
