@@ -131,7 +131,8 @@ def tables_of_contained(words: DataFrame, size: int = 8) -> DataFrame:
     grams = F.transform(F.sequence(F.lit(1), F.size("ws") - (size - 1)), lambda i: F.xxhash64(F.array_join(F.slice("ws", i, F.lit(size)), " ")))
     sets = words.where(F.size("ws") >= size).select("doc_id", F.array_sort(F.array_distinct(grams)).alias("grams"))
     classes = sets.groupBy("grams").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    each = classes.select("doc_id", F.size("grams").alias("size"), F.explode("grams").alias("s"))
+    # no set is empty; the outer form keeps the optimizer from filtering by a copy of the whole expression, split text and all, for each gram
+    each = classes.select("doc_id", F.size("grams").alias("size"), F.explode_outer("grams").alias("s"))
     often = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(often, "s")
     # grams of one class alone are the rarest; what of the tenth they leave open is looked up
