@@ -5,7 +5,7 @@ similarity t share one of their rarest (1 - t) n + 1 elements in any fixed order
 one for each such element. Within a tile nodes stand by size and only meet nodes of their size band.
 Bitmaps bound the overlap from above; pairs that may still be similar are intersected exactly.
 
-Rounds keep large groups of near copies linear. First, in the tiles of each node's first few elements, nodes are
+Rounds keep large groups of near copies linear. First, in the tiles of each node's first few shared elements, nodes are
 compared with their neighbours by size and with the node that most documents share. Then, twice, each node of a
 tile is compared with the closest (by bitmap) of another group there. Each round joins what links, and a tile within
 one group costs nothing any more. At last all pairs of *different* groups that share a tile are compared, so no link
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docforge.llm import textkernel as K
@@ -28,7 +28,7 @@ from docforge.llm.workspace import Workspace
 
 U = K.U
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U)
-#: Elements whose tiles the first round uses, and those that compare the closest.
+#: Shared elements (a node's first ones) whose tiles the first round uses, and those that compare the closest.
 FIRST, NEXT = 2, 8
 #: Bytes of the narrow bitmaps that stand in tiles; pairs that pass are held against the full ones.
 NARROW = 64
@@ -268,21 +268,23 @@ def _bounded(percent: int):
     return run
 
 
-def tile_pairs(n: np.ndarray, node: np.ndarray, group: np.ndarray, short: np.ndarray, maps: list[bytes], percent: int, closest: bool = False, block: int = 128) -> np.ndarray:
+def tile_pairs(n: np.ndarray, node: np.ndarray, group: np.ndarray, rank: np.ndarray, maps: list[bytes], percent: int, closest: bool = False, block: int = 128) -> np.ndarray:
     """Pairs of one tile, sorted by n, that are of different groups, within a size band and may be similar.
 
-    ``short``: the tile's element is in the node's short prefix, which is all that the smaller of a pair needs.
+    ``rank``: the place of the tile's element in each node. In the tile of the first element that a pair shares, its
+    overlap is at most what is left of either set from there on; a pair for which that is too little is left to that tile.
     ``closest``: only each node's nearest by bitmap, one pair for each row at most.
     """
     found = [np.zeros((0, 2), np.int64)]
     least, nearest = np.full(len(n), 1 << 40), np.full(len(n), -1)
-    n = n.astype(np.int64)
+    n, left_over = n.astype(np.int64), n.astype(np.int64) - rank
     low = np.searchsorted(n, -(-percent * n // 100))  # first row that is large enough for each
     for i in range(0, len(n), block):
         mine = slice(i, min(i + block, len(n)))
         for j in range(int(low[i]), mine.stop, block):
             other = slice(j, min(j + block, mine.stop))
-            ask = short[None, other] & (group[mine, None] != group[None, other]) & (100 * n[None, other] >= percent * n[mine, None]) & (np.arange(mine.start, mine.stop)[:, None] > np.arange(other.start, other.stop)[None])
+            most = np.minimum(left_over[mine, None], left_over[None, other])
+            ask = ((100 + percent) * most >= percent * (n[mine, None] + n[None, other])) & (group[mine, None] != group[None, other]) & (100 * n[None, other] >= percent * n[mine, None]) & (np.arange(mine.start, mine.stop)[:, None] > np.arange(other.start, other.stop)[None])
             x, y = np.nonzero(ask)
             if not len(x):
                 continue
@@ -310,14 +312,14 @@ def tile_pairs(n: np.ndarray, node: np.ndarray, group: np.ndarray, short: np.nda
 
 
 def _across(percent: int, closest: bool):
-    """Of rows (key, n, node, group, short, bitmap) sorted by key and n: the tiles' pairs."""
+    """Of rows (key, n, node, group, rank, bitmap) sorted by key and n: the tiles' pairs."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
-        key, n, node, group, short = (t.column(k).to_numpy() for k in range(5))
+        key, n, node, group, rank = (t.column(k).to_numpy() for k in range(5))
         maps, cuts = t.column(5).to_pylist(), np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] + 1))
-        out = [tile_pairs(n[a:b], node[a:b], group[a:b], short[a:b], maps[a:b], percent, closest) for a, b in zip(cuts[:-1], cuts[1:])]
+        out = [tile_pairs(n[a:b], node[a:b], group[a:b], rank[a:b], maps[a:b], percent, closest) for a, b in zip(cuts[:-1], cuts[1:])]
         got = np.unique(np.concatenate(out), axis=0)
         if len(got):
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], schema=schema)
@@ -388,11 +390,12 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     shared = spark.sparkContext.broadcast(np.array(heavy[::-1], np.int64).astype(U))
 
     keys = rows.mapInArrow(_keyer(size, percent, shared), "key long, n int, node long, rank int")
-    keys = keys.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_shared_keys, "key long, n int, node long, rank int")
-    keys = work.save(keys, "keys")
+    keys = keys.repartition("key").sortWithinPartitions("key", "n", "node", "rank").mapInArrow(_shared_keys, "key long, n int, node long, rank int")
+    # an edited copy begins with elements of its own, which make no tile: places count shared ones only
+    keys = work.save(keys.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("rank")) - 1), "keys")
 
     copies = members.groupBy("node").agg(F.count("*").alias("copies"))
-    first = keys.where(F.col("rank") < FIRST).join(copies, "node").select("key", "n", "node", "copies")
+    first = keys.where(F.col("place") < FIRST).join(copies, "node").select("key", "n", "node", "copies")
     near = first.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_neighbours(percent), "a long, b long").distinct()
     side = lambda s: maps.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bitmap").alias(f"bitmap_{s}"))
     near = near.join(side("a"), "a").join(side("b"), "b").select("a", "n_a", "bitmap_a", "b", "n_b", "bitmap_b").mapInArrow(_bounded(percent), "a long, b long")
@@ -400,13 +403,11 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     groups = work.save(components(_verified(rows, members, tested, size, percent, work, "round-0"), work, "groups-0"), "groups-0")
 
     narrow = work.save(maps.select("node", "bitmap").mapInArrow(_narrowed, "node long, bitmap binary"), "narrow")
-    # two sets of sizes n <= m overlap in 2t / (1 + t) n elements at least
-    short = F.col("rank") < F.col("n") - F.ceil(F.col("n") * F.lit(2 * percent) / F.lit(100 + percent) - F.lit(1e-9)) + 1
     for turn, closest in enumerate((True, True, False), 1):
-        rows_of = keys.where(F.col("rank") < NEXT) if closest else keys
-        placed = rows_of.join(groups, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("group"), short.alias("short"))
+        rows_of = keys.where(F.col("place") < NEXT) if closest else keys
+        placed = rows_of.join(groups, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("group"), "rank")
         several = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-        mixed = placed.join(several, "key").join(narrow, "node").select("key", "n", "node", "group", "short", "bitmap")
+        mixed = placed.join(several, "key").join(narrow, "node").select("key", "n", "node", "group", "rank", "bitmap")
         pairs = mixed.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_across(percent, closest), "a long, b long").distinct()
         pairs = pairs.join(tested, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").select("a", "n_a", "bitmap_a", "b", "n_b", "bitmap_b")
         pairs = work.save(pairs.mapInArrow(_bounded(percent), "a long, b long"), f"near-{turn}")
