@@ -48,3 +48,41 @@ items as (select doc_id, count(*) as n_items, string_agg(cast(item_id as varchar
 select dw.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from dw left join hit using (doc_id) left join items using (doc_id)
 """
+
+OP13 = """
+with recursive t as (select vendor_id, date_diff('day', date '1970-01-01', cast(shipped_at as date))::bigint as d, sum(quantity)::bigint as q from sale_lines where quantity is not null and shipped_at is not null group by 1, 2),
+b as (select vendor_id, min(d) as lo, max(d) as hi from t group by 1),
+f as (select x.vendor_id, x.d, coalesce(t.q, 0)::hugeint as q from (select vendor_id, unnest(range(lo, hi + 1)) as d from b) x left join t on t.vendor_id is not distinct from x.vendor_id and t.d = x.d),
+p as (select vendor_id, d, sum(q) over (partition by vendor_id order by d) as s, sum(q * q) over (partition by vendor_id order by d) as s2 from f),
+v as (select vendor_id, min(d) as first_day, count(*) as n, list_prepend(0::hugeint, list(s::hugeint order by d)) as s, list_prepend(0::hugeint, list(s2::hugeint order by d)) as s2 from p group by 1),
+r as (select vendor_id, first_day, n, s, s2, 0::bigint as m, [{'c': 0::bigint, 'k': 0::bigint, 'a': 0::bigint}] as st from v
+union all select vendor_id, first_day, n, s, s2, m + 1, list_append(st, list_min(list_filter(list_transform(range(0, m + 1), lambda a: case when st[a + 1].c is not null and m + 1 - a >= least(14, n) then
+{'c': st[a + 1].c + case when a > 0 then 40000 else 0 end + (m + 1 - a) * floor(1000 * ln((1 + ((m + 1 - a) * (s2[m + 2] - s2[a + 1]) - (s[m + 2] - s[a + 1]) * (s[m + 2] - s[a + 1])) // ((m + 1 - a) * (m + 1 - a)))::double))::bigint, 'k': st[a + 1].k + 1, 'a': a} end), lambda x: x is not null))) from r where m < n),
+w as (select vendor_id, first_day, s, s2, st, st[n + 1].k as parts, st[n + 1].c as best, n as b, st[n + 1].a as a from r where m = n
+union all select vendor_id, first_day, s, s2, st, parts, best, a, st[a + 1].a from w where a > 0),
+g as (select vendor_id, st[b + 1].k::int as segment_no, first_day + a as first_day, b - a as n_days, (s[b + 1] - s[a + 1])::bigint as total, (1 + ((b - a) * (s2[b + 1] - s2[a + 1]) - (s[b + 1] - s[a + 1]) * (s[b + 1] - s[a + 1])) // ((b - a) * (b - a)))::bigint as spread, parts as n_segments, best as best_cost from w)
+select vendor_id, segment_no, first_day, n_days, total, spread, n_days * floor(1000 * ln(spread::double))::bigint as cost, n_segments, best_cost from g
+"""
+
+OP12 = rf"""
+with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) as tail from u),
+s as (select *, case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/' when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/' when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from h)
+select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+when regexp_matches(host || tail, '/(login|signin|signup|register|cart|checkout|search|feed|rss|wp-admin)([/.?#]|$)|[?&]utm_source=feed([&#]|$)|[?&](replytocom|sessionid|phpsessid|jsessionid)=|\.(jpg|jpeg|png|gif|css|js|zip|exe|mp3|mp4)([?#]|$)') then 'block' else 'allow' end as verdict from s
+"""
+
+OP11 = rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+b as (select row_number() over () as q, item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from benchmark),
+c as (select count_if(len(ws) > 0) as n, sum(len(ws))::bigint as l from d),
+t as (select r, term, count(*) as tf from (select r, unnest(ws) as term from d) group by 1, 2),
+f as (select term, count(*) as df from t group by 1),
+w as (select term, floor(1000 * ln((2.0::double * n + 2) / (2 * df + 1)))::bigint as w from f, c),
+m as (select r, doc_id, 25 + (75 * len(ws) * n) // l as m from d, c where len(ws) > 0),
+q as (select q, term, count(*) as times from (select q, unnest(ws) as term from b) group by 1, 2),
+s as (select q, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from q join w using (term) join t using (term) join m using (r) group by 1, 2),
+k as (select q, doc_id, score, row_number() over (partition by q order by score desc, doc_id) as rank from s join m using (r) where score > 0)
+select item_id, rank::int as rank, doc_id, score from k join b using (q) where rank <= 10
+"""
