@@ -11,7 +11,7 @@ from docforge.operators import retrieval as R
 from docforge.operators import scoring as S
 from docforge.plans.common import shared_folder, table
 from docforge.plans.registry import query
-from docforge.plans.retrieval_queries import BM25_SQL, _SIDES, _bm25, _overlap
+from docforge.plans.retrieval_queries import BM25_SQL, _SIDES, _bm25, _by_vector
 
 
 def _expected(spark: SparkSession, d: str) -> DataFrame:
@@ -28,14 +28,14 @@ _METRICS = f"""{BM25_SQL}, x as (select item_id as query_id, doc_id from benchma
   select query_id, n_expected, first_rank, round(coalesce(1 / first_rank, 0), 6) as mrr, (coalesce(n5, 0) > 0)::int::double as recall_5, round(coalesce(n5, 0) / n_expected, 6) as coverage_5,
     round(coalesce(dcg5, 0) / list_sum(list_transform(range(1, least(n_expected, 5) + 1), lambda i: 1 / log2(i + 1))), 6) as ndcg_5 from n left join g using (query_id)""")
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    m = E.retrieval_metrics(R.top_k(_bm25(spark, d), 20), _expected(spark, d))
+    m = E.retrieval_metrics(_bm25(spark, d, 20), _expected(spark, d))
     return m.select("query_id", "n_expected", F.col("first_rank").cast("long").alias("first_rank"), *[F.round(c, 6).alias(c) for c in ("mrr", "recall_5", "coverage_5", "ndcg_5")])
 
 
 @query(f"""with {_METRICS}, p as (select query_id, list(doc_id) as found from bm_ranked where rank <= 10 group by 1), e as (select query_id, list(doc_id) as expected from x group by 1), s as (select query_id, len(list_intersect(found, expected)) as hit, len(found) as f, len(expected) as e from e join p using (query_id))
   select query_id, round(hit / f, 6) as precision, round(hit / e, 6) as recall, round(case when hit > 0 then 2 * (hit / f) * (hit / e) / (hit / f + hit / e) else 0 end, 6) as f1 from s""")
 def set_prf(spark: SparkSession, d: str) -> DataFrame:
-    found = R.top_k(_bm25(spark, d), 10).groupBy("query_id").agg(F.collect_list("doc_id").alias("found"))
+    found = _bm25(spark, d, 10).groupBy("query_id").agg(F.collect_list("doc_id").alias("found"))
     wanted = _expected(spark, d).groupBy("query_id").agg(F.collect_list("doc_id").alias("expected"))
     out = wanted.join(found, "query_id").select("query_id", E.set_scores(F.col("found"), F.col("expected")).alias("s"))
     return out.select("query_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
@@ -48,8 +48,8 @@ def set_prf(spark: SparkSession, d: str) -> DataFrame:
   select 'mrr' as metric, max_by(alpha, mrr - alpha * 1e-9)::double as best_weight, max(mrr) as best from s union all select 'recall', max_by(alpha, recall - alpha * 1e-9)::double, max(recall) from s""")
 def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Both sides are ranked and normalised once; the grid of weights multiplies their few candidates only."""
-    a = R.minmax(R.top_k(_bm25(spark, d), 20)).select("query_id", "doc_id", F.col("norm").alias("lex"), F.lit(0.0).alias("vec"))
-    b = R.minmax(R.top_k(_overlap(spark, d), 20)).select("query_id", "doc_id", F.lit(0.0).alias("lex"), F.col("norm").alias("vec"))
+    a = R.minmax(_bm25(spark, d, 20)).select("query_id", "doc_id", F.col("norm").alias("lex"), F.lit(0.0).alias("vec"))
+    b = R.minmax(_by_vector(spark, d, 20)).select("query_id", "doc_id", F.lit(0.0).alias("lex"), F.col("norm").alias("vec"))
     both = a.unionByName(b).groupBy("query_id", "doc_id").agg(F.sum("lex").alias("lex"), F.sum("vec").alias("vec"))
     grid = both.withColumn("alpha", F.explode(F.array(*[F.lit(w / 4) for w in range(5)]))).withColumn("score", F.round((1 - F.col("alpha")) * F.col("lex") + F.col("alpha") * F.col("vec"), 9))
     from pyspark.sql import Window

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docforge.functions import text as T
-from docforge.operators import chunking
+from docforge.operators import chunking, neighbours, term_index
 from docforge.operators import retrieval as R
-from docforge.plans.common import table
+from docforge.plans.common import shared_folder, table
 from docforge.plans.registry import query
 
 BM25_SQL = r"""
@@ -22,15 +22,29 @@ BM25_SQL = r"""
 """
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    scored = R.bm25_scores(table(spark, d, "documents").select("doc_id", "text"), queries)
-    return scored.withColumn("score", F.round("score", 9))  # sums in any order, so equal texts tie
+_indexes: dict[tuple[str, str], term_index.TermIndex] = {}
+
+
+def _index(spark: SparkSession, d: str) -> term_index.TermIndex:
+    """The term index of the documents of a folder, written once in a session."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _indexes:
+        _indexes[at] = term_index.build(table(spark, d, "documents").select("doc_id", "text"), shared_folder(spark, "terms"))
+    return _indexes[at]
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _bm25(spark: SparkSession, d: str, k: int, floor: float | None = None) -> DataFrame:
+    """The k best documents of each question; scores are rounded, so equal texts tie."""
+    return term_index.search(_index(spark, d), _questions(spark, d), k, shared_folder(spark, "search"), floor=floor)[0]
 
 
 @query(f"with {BM25_SQL} select query_id, doc_id, rank, round(score, 4) as score from bm_ranked where rank <= 5 and score > 0")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(_bm25(spark, d), 5, floor=0.0).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+    return _bm25(spark, d, 5, floor=0.0).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
 VECTOR_SQL = """
@@ -40,42 +54,44 @@ VECTOR_SQL = """
 """
 
 
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
+def _vectors(spark: SparkSession, d: str, k: int) -> DataFrame:
     e = table(spark, d, "embeddings")
-    out = R.vector_scores(e.select(F.col("vec_id").alias("doc_id"), "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "doc_id", "embedding", "query_id", "q")
-    return out.withColumn("score", F.round("score", 9))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return neighbours.nearest(neighbours.candidates(e, asked, k, "vec_id", "embedding", "query_id", "q"), k)
 
 
 @query(f"with {VECTOR_SQL} select query_id, doc_id, rank, round(score, 5) as score from vs_ranked where rank <= 5")
 def vector_knn(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(_vectors(spark, d), 5).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
+    return _vectors(spark, d, 5).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
 @query(f"""with {VECTOR_SQL}, ok as (select v.query_id, v.doc_id, v.score from vs_ranked v join embeddings on vec_id = doc_id where rank <= 20 and label < 3)
   select query_id, doc_id, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from ok qualify rank <= 5""")
 def vector_postfilter(spark: SparkSession, d: str) -> DataFrame:
-    ranked = R.top_k(_vectors(spark, d), 20)
+    ranked = _vectors(spark, d, 20)
     allowed = table(spark, d, "embeddings").where("label < 3").select(F.col("vec_id").alias("doc_id"))
     return R.post_filtered(ranked, allowed, 5, "query_id", "doc_id").select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
-# Two sides of one fusion: documents' own scores by BM25, and a second side by how many query words a document has.
-_SIDES = f"""{BM25_SQL}, ov as (select query_id, doc_id, count(*)::double as score from qt join tf using (term) group by 1, 2),
-  ov_ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from ov),
+# Two sides of one fusion: documents by BM25, and documents by the vectors with their ids; a question has the vector with its id.
+_SIDES = f"""{BM25_SQL}, e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), u as (select vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from e),
+  ve as (select item_id as query_id, u.vec_id as doc_id, 2 * list_dot_product(u.v, q.v) - 1 as score from benchmark join u q on q.vec_id = item_id, u where u.vec_id in (select doc_id from documents)),
+  ov_ranked as (select query_id, doc_id, score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from ve),
   a as (select query_id, doc_id, case when max(score) over w - min(score) over w < 1e-9 then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as norm from bm_ranked where rank <= 20 window w as (partition by query_id)),
   b as (select query_id, doc_id, case when max(score) over w - min(score) over w < 1e-9 then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as norm from ov_ranked where rank <= 20 window w as (partition by query_id))"""
 
 
-def _overlap(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(R.tokens(F.col("text"))).alias("term")).distinct()
-    tf = R.asked_frequencies(table(spark, d, "documents").select("doc_id", "text"), "doc_id", R.tokens(F.col("text")), asked.select("term").distinct())
-    return tf.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+def _by_vector(spark: SparkSession, d: str, k: int) -> DataFrame:
+    e, q = table(spark, d, "embeddings"), table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id"))
+    own = e.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    asked = q.join(e, "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return neighbours.nearest(neighbours.candidates(own, asked, k, "vec_id", "embedding", "query_id", "q"), k)
 
 
 @query(f"""with {_SIDES}, f as (select query_id, doc_id, sum(part) as score, string_agg(side, '+' order by side) as matched_by from (select query_id, doc_id, 0.5 * norm as part, 'bm25' as side from a union all select query_id, doc_id, 0.5 * norm, 'vector' from b) group by 1, 2)
   select query_id, doc_id, matched_by, round(score, 4) as score from f qualify row_number() over (partition by query_id order by round(score, 9) desc, doc_id) <= 5""")
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
-    fused = R.fuse(_overlap(spark, d), _bm25(spark, d)).withColumn("score", F.round("score", 9))
+    fused = R.fuse(_by_vector(spark, d, R.CANDIDATES), _bm25(spark, d, R.CANDIDATES)).withColumn("score", F.round("score", 9))
     return R.top_k(fused, 5).select("query_id", "doc_id", "matched_by", F.round("score", 4).alias("score"))
 
 
@@ -107,7 +123,7 @@ def distinct_documents(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {BM25_SQL}, r as (select query_id, doc_id, length(text) as score, rank from bm_ranked join documents using (doc_id) where rank <= 10)
   select query_id, doc_id, row_number() over (partition by query_id order by score desc, rank, doc_id) as rank, 'bm25+rerank' as matched_by from r qualify rank() over (partition by query_id order by score desc, rank, doc_id) <= 3""")
 def reranked(spark: SparkSession, d: str) -> DataFrame:
-    hits = R.top_k(_bm25(spark, d), 10).withColumn("matched_by", F.lit("bm25")).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    hits = _bm25(spark, d, 10).withColumn("matched_by", F.lit("bm25")).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return R.rerank(hits, F.length("text"), top=3).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "matched_by")
 
 
