@@ -168,8 +168,9 @@ def states_option_strictly(answer: Column, option: Column, share: float = 1.0, w
     percent = lambda c: F.transform(_all(F.replace(c, F.lit(","), F.lit("")), r"(\d+(?:\.\d+)?)\s*%", 1), _bare)
     money = lambda c: F.transform(_all(F.replace(c, F.lit(","), F.lit("")), r"\d+(?:\.\d+)?\s*(?:조|억|만|천)"), lambda m: F.concat(_bare(F.regexp_extract(m, r"\d+(?:\.\d+)?", 0)), F.substring(m, -1, 1)))
     kept = within_set(_all(o, COMPARATORS), _all(a, COMPARATORS)) & within_set(number_keys(o), number_keys(a)) & within_set(percent(o), percent(a)) & within_set(money(o), money(a))
-    need = words(o)
-    by_words = F.when(F.size(need) > 0, F.size(F.filter(need, lambda w: F.array_contains(words(a), w))) / F.size(need) >= share)
+    # words may come from Python, which has no place within a lambda
+    met = F.get(F.transform(F.array(F.struct(words(o).alias("need"), words(a).alias("have"))), lambda x: F.size(F.filter(x["need"], lambda w: F.array_contains(x["have"], w))) / F.nullif(F.size(x["need"]), F.lit(0))), F.lit(0))
+    by_words = F.when(met.isNotNull(), met >= share)
     return ~against & kept & (states_option(a, o) | by_words.otherwise((F.size(percent(o)) > 0) | (F.size(money(o)) > 0) | (F.size(date_keys(o)) > 0)))
 
 
