@@ -41,9 +41,13 @@ def daily_totals(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
     return lists.select("key", F.get("found", F.lit(0))["day"].alias("first_day"), F.flatten(filled).alias("days"))
 
 
-def _spread(n: Column, total: Column, squares: Column) -> Column:
+def _spread(n: Column, total: Column, squares: Column, wide: bool) -> Column:
     """1 and the variance rounded down, of exact integers."""
-    return F.call_function("div", n * squares - total * total, n * n) + 1
+    above, below = n * squares - total * total, n * n
+    if not wide:
+        return F.call_function("div", above, below) + 1
+    below = below.cast(_WIDE)  # div would give 64 bits, and wrap
+    return (((above - above % below) / below).cast(_WIDE) + 1).cast(_WIDE)
 
 
 def _cost(n: Column, spread: Column) -> Column:
@@ -56,7 +60,7 @@ def _running(values: Column, kind: str) -> Column:
     return F.aggregate(values, F.array(zero), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
 
 
-def _segments(totals: Column, squares: Column, least: Column, penalty: int) -> Column:
+def _segments(totals: Column, squares: Column, least: Column, penalty: int, wide: bool) -> Column:
     """Segments of one series, as an array of structs, from the running sums of its days and of their squares.
 
     A state has ``start``, where its last segment begins, and ``order``: the best cost with the penalty of the cut
@@ -73,7 +77,7 @@ def _segments(totals: Column, squares: Column, least: Column, penalty: int) -> C
             at = now["at"]
 
             def through(n: Column, before: Column) -> Column:
-                return before["order"] + _cost(n, _spread(n, now["total"] - before["total"], now["squares"] - before["squares"])) * _PARTS
+                return before["order"] + _cost(n, _spread(n, now["total"] - before["total"], now["squares"] - before["squares"], wide)) * _PARTS
 
             whole = F.array(through(at.cast("long"), F.get(states, F.lit(0))))
             # segments from each place that leaves enough days on both sides
@@ -96,7 +100,7 @@ def _segments(totals: Column, squares: Column, least: Column, penalty: int) -> C
         def segment(start: Column, i: Column, end: Column) -> Column:
             n = (end - start).cast("long")
             total = F.get(totals, end) - F.get(totals, start)
-            spread = _spread(n, total, F.get(squares, end) - F.get(squares, start)).cast("long")
+            spread = _spread(n, total, F.get(squares, end) - F.get(squares, start), wide).cast("long")
             return F.struct((i + 1).alias("segment_no"), start.alias("start"), n.alias("n_days"), total.cast("long").alias("total"), spread.alias("spread"), _cost(n, spread).alias("cost"), parts.cast("long").alias("n_segments"), F.call_function("div", order, F.lit(_PARTS)).alias("best_cost"))
 
         return _let(starts, lambda found: F.transform(F.slice(found, F.lit(1), parts), lambda start, i: segment(start, i, F.get(found, i + 1))))
@@ -112,6 +116,7 @@ def change_points(series: DataFrame, least: int = LEAST_DAYS, penalty: int = PEN
     the whole series, penalties included. A segment has ``least`` days or more; a shorter series is one segment.
     Equal costs: fewest segments, then the earliest start of the last segment, of the one before, and so on. Empty
     arrays give no rows. The days are moved by the middle of their range first, which leaves the variance as it is.
+    A spread of more than 64 bits is an error.
     A series of n days takes about n * n / 2 steps; it has less than a million segments, and ``penalty`` times its days
     stays below 8e12.
     """
@@ -121,7 +126,7 @@ def change_points(series: DataFrame, least: int = LEAST_DAYS, penalty: int = PEN
     moved = ranged.select("key", "first_day", "middle", F.transform("days", lambda x: x - F.col("middle")).alias("moved"), (n.cast("double") * n.cast("double") * half * half < _NARROW).alias("narrow"))
     sums = moved.select("*", _running(F.col("moved"), "long").alias("totals"), F.when(F.col("narrow"), _running(F.transform("moved", lambda x: x * x), "long")).alias("squares"), F.when(~F.col("narrow"), _running(F.transform("moved", lambda x: x.cast(_WIDE) * x), _WIDE)).alias("wide"))
     shortest = F.least(F.size("moved"), F.lit(least))
-    cut = lambda kind, squares: _segments(F.transform("totals", lambda x: x.cast(kind)) if kind == _WIDE else F.col("totals"), F.col(squares), shortest, penalty)
+    cut = lambda kind, squares: _segments(F.transform("totals", lambda x: x.cast(kind)) if kind == _WIDE else F.col("totals"), F.col(squares), shortest, penalty, kind == _WIDE)
     each = sums.select("key", "first_day", "middle", F.explode(F.when(F.col("narrow"), cut("long", "squares")).otherwise(cut(_WIDE, "wide"))).alias("s"))
     return each.select(
         "key", F.col("s.segment_no").alias("segment_no"), (F.col("first_day") + F.col("s.start")).alias("first_day"), F.col("s.n_days").alias("n_days"),

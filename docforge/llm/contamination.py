@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docforge.llm import textkernel as K
+from docforge.llm.workspace import Workspace
 
 #: Separators: every ASCII character but digits and, after lower-casing, letters.
 SEPARATORS = K.table(bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122)))
@@ -26,22 +27,20 @@ def normalised(text: bytes) -> bytes:
     return b" ".join(text.translate(_NORMAL).split())
 
 
-def item_windows(items: list[tuple[str, str | None]], size: int) -> dict[str, tuple[int, list[str]]]:
-    """Pattern (with a space at either end) to its number of words and its items."""
-    found: dict[str, tuple[int, list[str]]] = {}
+def item_windows(items: list[tuple[str | None, str | None]], size: int) -> dict[str, tuple[int, dict[str | None, None]]]:
+    """Pattern (with a space at either end) to its number of words and its items; an item without an id is None."""
+    found: dict[str, tuple[int, dict[str | None, None]]] = {}
     for item, text in items:
         words = normalised((text or "").encode()).decode("latin-1").split(" ")
         if words == [""]:
             continue
         n = min(size, len(words))
         for i in range(len(words) - n + 1):
-            owners = found.setdefault(" " + " ".join(words[i : i + n]) + " ", (n, []))[1]
-            if item not in owners:
-                owners.append(item)
+            found.setdefault(" " + " ".join(words[i : i + n]) + " ", (n, {}))[1][item] = None
     return found
 
 
-def automaton(patterns: dict[str, tuple[int, list[str]]]):
+def automaton(patterns: dict[str, tuple[int, dict[str | None, None]]]):
     import ahocorasick
 
     out = ahocorasick.Automaton()
@@ -51,7 +50,7 @@ def automaton(patterns: dict[str, tuple[int, list[str]]]):
     return out
 
 
-def scan(text: bytes, machine) -> tuple[list[tuple[int, int]], set[str]]:
+def scan(text: bytes, machine) -> tuple[list[tuple[int, int]], set[str | None]]:
     """Merged hit ranges in words, and the items found."""
     line = " " + normalised(text).decode("latin-1") + " "
     ends, sizes, items = [], [], set()
@@ -89,15 +88,16 @@ def _scanner(shared, key: str):
             for a, b, part, offs in K.chunks(data, offsets):
                 starts, ends, first = K.words(part, offs, SEPARATORS)
                 raw = part.tobytes()
+                points = np.append(0, np.cumsum((part & 0xC0) != 0x80))  # code points before each byte
                 items, ranges, spans = [], [], []
                 for i in range(b - a):
                     text = raw[offs[i] : offs[i + 1]]
                     hit, found = scan(text, machine) if machine is not None and len(text) else ([], set())
-                    items.append(sorted(found))
+                    items.append(sorted(found - {None}))
                     ranges.append([{"start": s, "end": e} for s, e in hit])
                     # words back to code points of the original text
-                    chars = lambda byte, i=i: len(raw[offs[i] : byte].decode("utf-8", "replace"))
-                    spans.append([{"start": chars(int(starts[first[i] + s])), "end": chars(int(ends[first[i] + e - 1]))} for s, e in hit])
+                    place = lambda byte, i=i: int(points[byte] - points[offs[i]])
+                    spans.append([{"start": place(starts[first[i] + s]), "end": place(ends[first[i] + e - 1])} for s, e in hit])
                 columns = [batch.column(0).slice(at, b - a), batch.column(1).slice(at, b - a), pa.array(np.diff(first)), *(pa.array(x, t) for x, t in ((items, _ARROW.field(3).type), (ranges, _PAIRS), (spans, _PAIRS)))]
                 yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
                 at += b - a
@@ -127,13 +127,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     items go to blocks by hash, the documents are scanned once for each, and the hits are united.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
+    if blocks > 1:  # the places of rows are written, as they may differ when they are worked out again
+        docs = Workspace(spark, "contamination").save(docs.select(F.monotonically_increasing_id().alias("_place"), F.col(id_col), F.col(text_col)), "documents")
+    rows = docs.select((F.col("_place") if blocks > 1 else F.monotonically_increasing_id()).alias("place"), F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
     parts = []
     for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
+        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         patterns = item_windows([tuple(r) for r in block.toLocalIterator()], size)
         parts.append(rows.mapInArrow(_scanner(spark.sparkContext.broadcast(patterns), uuid.uuid4().hex), _SCHEMA))
     out = parts[0]

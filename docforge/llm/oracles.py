@@ -44,7 +44,7 @@ sizes as (select distinct n from bk),
 dk as (select doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') as k from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as s from dw, sizes)),
 m as (select doc_id, item_id, s, dk.n from dk join bk on bk.n = dk.n and bk.k = dk.k),
 hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + n)) as p from m) group by 1),
-items as (select doc_id, count(*) as n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from (select distinct doc_id, item_id from m) group by 1)
+items as (select doc_id, count(item_id) as n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from (select distinct doc_id, item_id from m) group by 1)
 select dw.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from dw left join hit using (doc_id) left join items using (doc_id)
 """

@@ -30,18 +30,22 @@ def brute_contamination(texts, items, size=10):
                 if tuple(w[i : i + n]) in wins:
                     hit.update(range(i, i + n))
                     found |= wins[tuple(w[i : i + n])]
-        out.append((len(w), len(hit), sorted(found)))
+        out.append((len(w), len(hit), sorted(found - {"None"})))
     return out
 
 
 def test_decontamination(spark, make, sample):
-    items = [(1, "the quick brown Fox jumps over the lazy dog and runs, away again"), (2, None), (3, "..."), (10, "Kurz & gut"), (4, sample[3][:150]), (4, sample[3][:150])]
-    texts = [*sample, "So THE quick-brown fox jumps over the lazy dog and runs away again kurz gut", "kurz gut gut kurz gut", "akurz gut"]
+    items = [(1, "the quick brown Fox jumps over the lazy dog and runs, away again"), (2, None), (3, "..."), (10, "Kurz & gut"), (4, sample[3][:150]), (4, sample[3][:150]), (None, "an item that was never given an id, but has words enough"), (None, "two"), (5, "two")]
+    texts = [*sample, "So THE quick-brown fox jumps over the lazy dog and runs away again kurz gut", "kurz gut gut kurz gut", "akurz gut", "x é an item that was never given an id but has words enough", "one two"]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute_contamination(texts, items)
     for limit in (10**6, 100):
         got = {r.row_id: r for r in contamination.decontaminate(make(texts), bench, block_bytes=limit).collect()}
         assert [(got[i].n_words, got[i].n_hit, got[i].item_ids) for i in range(len(texts))] == want
+        nameless = got[len(texts) - 2]
+        assert nameless.n_hit == 11 and nameless.item_ids == [] and nameless.spans[0].start == 4 and got[len(texts) - 1].item_ids == ["5"]
+    kept = {r.doc_id for r in contamination.clean_documents(make(texts), bench).collect()}
+    assert kept == {i for i, w in enumerate(want) if not w[1]}
     spans = got[len(sample)].spans
     assert texts[len(sample)][spans[0].start : spans[0].end].startswith("THE quick-brown")
     report = {r.doc_id: r for r in contamination.report(make(texts), bench).collect()}
