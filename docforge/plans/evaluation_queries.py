@@ -174,13 +174,10 @@ def final_attempt_stream(spark: SparkSession, d: str) -> DataFrame:
 
     root = shared_folder(spark, "attempts")
     rows = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type", (F.col("event_type") != "error").alias("ok"))
-    rows.write.mode("overwrite").parquet(f"{root}/log")
-    q = attempts.follow(spark, f"{root}/log", "user_id long, event_id long, ts timestamp, event_type string, ok boolean", f"{root}/table", f"{root}/checkpoint", "user_id", "ok", ["ts", "event_id"])
-    q.awaitTermination()
-    versions = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/table")
-    found = versions.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(versions)
-    number = max(int(s.getPath().getName()) for s in found)
-    return attempts.finals(spark, f"{root}/table", number, "user_id", "ok", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+    rows.repartition(4, "event_id").write.mode("overwrite").parquet(f"{root}/log")
+    schema = "user_id long, event_id long, ts timestamp, event_type string, ok boolean"
+    attempts.follow(spark, f"{root}/log", schema, f"{root}/table", f"{root}/checkpoint", "user_id", "ok", ["ts", "event_id"], files=2).awaitTermination()
+    return attempts.finals(spark, f"{root}/table", schema, "user_id", "ok", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("select date_trunc('day', ts)::timestamp as day, event_type, count(*) as n from events group by all")

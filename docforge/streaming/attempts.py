@@ -1,36 +1,92 @@
-"""A log of attempts as a stream: the final attempt of each case, kept up to date."""
+"""A log of attempts as a stream: the final attempt of each case, kept in Spark's state store."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from docforge.operators.evaluation import final_attempts
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
-def follow(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, case: str, ok: str, sequence: list[str]):
-    """Start a query that merges each batch of attempts into the table of what decides: first attempts and last successes.
+class _Decisive(StatefulProcessor):
+    """Of each case the first attempt and the last success; an attempt goes out when it becomes one of the two.
 
-    Both are kept for each case, so merging batches gives the same as one pass over the whole log. Each batch is
-    written to a version of its own, so a batch that is run again overwrites itself.
+    A case that was silent for ``quiet`` milliseconds of event time is closed and its state cleared. Should it speak
+    again it starts anew; what went out before is still in the table, so the final attempt is found all the same.
     """
 
-    def decisive(df: DataFrame) -> DataFrame:
-        first = df.groupBy(case).agg(F.min_by(F.struct(*df.columns), F.struct(*sequence)).alias("r"))
-        last = df.where(F.col(ok)).groupBy(case).agg(F.max_by(F.struct(*df.columns), F.struct(*sequence)).alias("r"))
-        return first.union(last).select("r.*").distinct()
+    def __init__(self, schema: StructType, ok: str, sequence: list[str], ts: str | None, quiet: int):
+        self.schema, self.names, self.ok, self.sequence, self.ts, self.quiet = schema, schema.names, ok, sequence, ts, quiet
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", self.schema)
+        self.last = handle.getValueState("last", self.schema)
+
+    def _place(self, row: Row) -> list:
+        return [(row[c] is not None, row[c]) if row[c] is not None else (False,) for c in self.sequence]
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # states give plain tuples in the order of the schema
+        stored = lambda state: Row(*self.names)(*state.get()) if state.exists() else None
+        old = first, last = stored(self.first), stored(self.last)
+        for row in rows:
+            row = Row(*self.names)(*[row[c] for c in self.names])
+            if first is None or self._place(row) < self._place(first):
+                first = row
+            if row[self.ok] and (last is None or self._place(row) > self._place(last)):
+                last = row
+        out = []
+        for state, now, before in ((self.first, first, old[0]), (self.last, last, old[1])):
+            if now is not None and now != before:
+                state.update(tuple(now))
+                out.append(now)
+        if self.ts:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.quiet)
+        return iter(out)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        old = spark.read.schema(batch.schema).parquet(f"{table}/{number - 1}") if number else batch.limit(0)
-        decisive(old.unionByName(batch)).write.mode("overwrite").parquet(f"{table}/{number}")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.first.clear()
+        self.last.clear()
+        return iter(())
 
-    stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def close(self) -> None:
+        pass
+
+
+def follow(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, case: str, ok: str, sequence: list[str], ts: str | None = None, late: str = "1 hour", quiet_ms: int = 24 * 3_600_000, files: int | None = None):
+    """Start a query that appends to ``table`` the attempts that decide: first attempts and last successes of each case.
+
+    Each case has a state of two attempts in the state store, so a batch costs what is new, not what was there before,
+    and a restart on the same checkpoint goes on where it was. The order of attempts is that of ``sequence`` (nulls
+    first), not of arrival. With ``ts`` rows older than the watermark (``late`` behind the latest) are dropped, and
+    cases silent for ``quiet_ms`` beyond it are closed, so the state holds open cases only; without it all cases stay
+    and no row is late. ``files``: files of a batch at most. Rows without a case are one case.
+    """
+    spark.conf.set(PROVIDER, ROCKSDB)
+    reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    stream = reader.parquet(source)
+    shape = stream.schema
+    if ts:
+        stream = stream.withWatermark(ts, late)
+    decided = stream.groupBy(case).transformWithState(_Decisive(shape, ok, sequence, ts, quiet_ms), shape, outputMode="Append", timeMode="EventTime" if ts else "None")
+    return decided.writeStream.format("parquet").outputMode("append").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def finals(spark: SparkSession, table: str, number: int, case: str, ok: str, sequence: list[str]) -> DataFrame:
-    """The final attempts after a batch."""
-    return final_attempts(spark.read.parquet(f"{table}/{number}"), case, ok, sequence)
+def finals(spark: SparkSession, table: str, schema: str, case: str, ok: str, sequence: list[str]) -> DataFrame:
+    """The final attempts of all that was written so far; only attempts that decided once are read."""
+    return final_attempts(spark.read.schema(schema).parquet(table), case, ok, sequence)
 
 
 def windowed_counts(events: DataFrame, ts: str, kind: str, width: str = "1 day", late: str = "2 hours") -> DataFrame:

@@ -9,7 +9,6 @@ from docforge.functions import text as T
 from docforge.operators import candidates, chunking, evaluation, filters, metadata, retrieval, scoring, tables
 from docforge.operators import retrieval as R
 from docforge.sources import readers, sinks
-from docforge.streaming import attempts
 
 
 def test_splitter_limits_and_order():
@@ -122,16 +121,6 @@ def test_sinks(session, tmp_path):
         sinks.check_resume(one, sinks.manifest(session, str(tmp_path / "c"), model="n"))
 
 
-def test_stream_in_two_batches(session, tmp_path):
-    log, table, check = (str(tmp_path / x) for x in ("log", "table", "check"))
-    schema = "case string, seq int, ok boolean"
-    for k, rows in enumerate(([("a", 1, False), ("b", 1, True), ("c", 1, False)], [("a", 2, True), ("b", 2, False), ("c", 2, False)])):
-        session.createDataFrame(rows, schema).write.mode("append").parquet(log)
-        attempts.follow(session, log, schema, table, check, "case", "ok", ["seq"]).awaitTermination()
-    got = {r.case: r.seq for r in attempts.finals(session, table, 1, "case", "ok", ["seq"]).collect()}
-    assert got == {"a": 2, "b": 1, "c": 1}
-
-
 def test_embedding_and_folding(session):
     df = session.createDataFrame([("Ｈｅllo ß 가나 %",), (None,), ("",)], "t string")
     assert [r.f for r in df.select(T.folded("t").alias("f")).collect()] == ["helloss가나%", "", ""]
