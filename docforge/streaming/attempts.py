@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +35,9 @@ class _Decisive(StatefulProcessor):
         return [(row[c] is not None, row[c]) if row[c] is not None else (False,) for c in self.sequence]
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        # states give plain tuples in the order of the schema
-        stored = lambda state: Row(*self.names)(*state.get()) if state.exists() else None
+        # states give plain tuples in the order of the schema, with times of a zone where rows have local ones
+        local = lambda v: v.astimezone().replace(tzinfo=None) if isinstance(v, datetime) and v.tzinfo else v
+        stored = lambda state: Row(*self.names)(*map(local, state.get())) if state.exists() else None
         old = first, last = stored(self.first), stored(self.last)
         for row in rows:
             row = Row(*self.names)(*[row[c] for c in self.names])

@@ -40,6 +40,14 @@ def test_batches_restarts_and_late_rows(session, tmp_path):
     assert got == batch
 
 
+def test_order_by_time(session, tmp_path):
+    rows = [("a", 3, True, DAY), ("a", 2, True, DAY + timedelta(hours=1)), ("a", 1, False, DAY + timedelta(hours=2)), ("b", 5, False, DAY), ("b", 4, False, None)]
+    for k, row in enumerate(rows):
+        session.createDataFrame([row], SCHEMA).write.mode("append").parquet(f"{tmp_path}/log")
+        attempts.follow(session, f"{tmp_path}/log", SCHEMA, f"{tmp_path}/table", f"{tmp_path}/check", "case", "ok", ["ts", "seq"]).awaitTermination()
+    assert {r.case: r.seq for r in attempts.finals(session, f"{tmp_path}/table", SCHEMA, "case", "ok", ["ts", "seq"]).collect()} == {"a": 2, "b": 4}
+
+
 def test_state_holds_open_cases_only(session, tmp_path):
     batches = [[(f"d{day}-{c}", k, k == 1, DAY + timedelta(days=day, minutes=k)) for c in range(10) for k in range(2)] for day in range(5)]
     batches[4].append(("d0-0", 7, True, DAY + timedelta(days=4)))  # a closed case speaks again
