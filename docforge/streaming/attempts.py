@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType, TimestampNTZType, TimestampType
 
 from docforge.operators.evaluation import final_attempts
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -24,32 +25,37 @@ class _Decisive(StatefulProcessor):
     """
 
     def __init__(self, schema: StructType, ok: str, sequence: list[str], ts: str | None, quiet: int):
-        self.schema, self.names, self.ok, self.sequence, self.ts, self.quiet = schema, schema.names, ok, sequence, ts, quiet
+        self.ok, self.sequence, self.ts, self.quiet = ok, sequence, ts, quiet
+        # a state is the place of an attempt in the order; times are kept as microseconds
+        self.schema = StructType([StructField(c, LongType() if isinstance(schema[c].dataType, (TimestampType, TimestampNTZType)) else schema[c].dataType) for c in sequence])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.first = handle.getValueState("first", self.schema)
         self.last = handle.getValueState("last", self.schema)
 
-    def _place(self, row: Row) -> list:
-        return [(row[c] is not None, row[c]) if row[c] is not None else (False,) for c in self.sequence]
+    def _place(self, row: Row) -> tuple:
+        number = lambda v: (v.replace(tzinfo=v.tzinfo or timezone.utc) - _EPOCH) // timedelta(microseconds=1) if isinstance(v, datetime) else v
+        return tuple(number(row[c]) for c in self.sequence)
+
+    @staticmethod
+    def _order(place: tuple) -> list[tuple]:
+        return [(v is not None, *([] if v is None else [v])) for v in place]
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        # states give plain tuples in the order of the schema, with times of a zone where rows have local ones
-        local = lambda v: v.astimezone().replace(tzinfo=None) if isinstance(v, datetime) and v.tzinfo else v
-        stored = lambda state: Row(*self.names)(*map(local, state.get())) if state.exists() else None
-        old = first, last = stored(self.first), stored(self.last)
+        first, last = (tuple(s.get()) if s.exists() else None for s in (self.first, self.last))
+        new: dict[str, Row] = {}
         for row in rows:
-            row = Row(*self.names)(*[row[c] for c in self.names])
-            if first is None or self._place(row) < self._place(first):
-                first = row
-            if row[self.ok] and (last is None or self._place(row) > self._place(last)):
-                last = row
-        out = []
-        for state, now, before in ((self.first, first, old[0]), (self.last, last, old[1])):
-            if now is not None and now != before:
-                state.update(tuple(now))
-                out.append(now)
+            place = self._place(row)
+            if first is None or self._order(place) < self._order(first):
+                first, new["first"] = place, row
+            if row[self.ok] and (last is None or self._order(place) > self._order(last)):
+                last, new["last"] = place, row
+        if "first" in new:
+            self.first.update(first)
+        if "last" in new:
+            self.last.update(last)
+        out = [new[k] for k in ("first", "last") if k in new and not (k == "last" and new[k] is new.get("first"))]
         if self.ts:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
@@ -68,7 +74,7 @@ class _Decisive(StatefulProcessor):
 def follow(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, case: str, ok: str, sequence: list[str], ts: str | None = None, late: str = "1 hour", quiet_ms: int = 24 * 3_600_000, files: int | None = None):
     """Start a query that appends to ``table`` the attempts that decide: first attempts and last successes of each case.
 
-    Each case has a state of two attempts in the state store, so a batch costs what is new, not what was there before,
+    Each case has the places of two attempts in the state store, so a batch costs what is new, not what was there before,
     and a restart on the same checkpoint goes on where it was. The order of attempts is that of ``sequence`` (nulls
     first), not of arrival. With ``ts`` rows older than the watermark (``late`` behind the latest) are dropped, and
     cases silent for ``quiet_ms`` beyond it are closed, so the state holds open cases only; without it all cases stay
