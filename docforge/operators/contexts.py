@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docforge.functions import text as T
+from docforge.operators import names as names_in
 from docforge.operators.retrieval import first_per_group, tokens
 
 # How many chunks each route takes.
@@ -14,23 +15,42 @@ LATIN_WEIGHT = 3
 SLICE, SLICE_LEAST = 50, 8
 
 
-def hint_scores(questions: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of documents that a question names, best first.
+# Words of owners that are too common for a piece of a name, and what is left out of a name.
+COMMON_OWNER_WORDS = ("박물관", "시스템", "센터", "공단", "진흥원", "협회", "재단", "연구원", "공사", "대학교", "사업", "관리", "운영", "구축", "개선", "개발", "지원", "정보", "용역", "기관", "기술", "고도화", "확대", "기능", "서비스")
+OWNER_NOISE, OWNER_RANK = r"\([^)]*\)|\s*입찰공고\s*$", "특별시|광역시|특별자치시|특별자치도"
 
-    ``catalogue`` has doc_id, owner, title. A question names a document by its owner, by six characters of it in a row, by
-    its title, or by words of the title; Latin words count three times. The questions are a stated set, broadcast;
-    the catalogue is read once and not shuffled before the scores.
+
+def owner_names(catalogue: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(owner, name): what an owner is called in lower case without blanks: its name, that without its rank, and its ``aliases`` (owner, alias)."""
+    core = F.regexp_replace(F.lower("owner"), OWNER_NOISE, "")
+    own = catalogue.select("owner", T.squeezed(core).alias("name")).distinct()
+    short = own.select("owner", F.regexp_replace("name", OWNER_RANK, "").alias("name")).where(F.length("name") >= 3)
+    out = own.where(F.length("name") >= 2).union(short)
+    if aliases is not None:
+        out = out.union(aliases.join(own.select("owner"), "owner", "left_semi").select("owner", T.squeezed(F.lower("alias")).alias("name")))
+    return out.distinct()
+
+
+def hint_scores(questions: DataFrame, catalogue: DataFrame, aliases: DataFrame | None = None, common: tuple[str, ...] = COMMON_OWNER_WORDS) -> DataFrame:
+    """(query_id, doc_id, score) of documents that a question names.
+
+    ``catalogue`` has doc_id, owner, title; ``aliases`` (owner, alias) says what else owners are called. A question names
+    a document by its owner (20), by six characters of the owner in a row without a ``common`` word (10), by its title of
+    more than 3 characters (30), or by words of the title (1, Latin ones 3); a score is 3 at least. Names and questions meet
+    by pieces of names, words by themselves, so each side is shuffled once and no pair is made that shares nothing.
     """
     q = questions.select("query_id", T.squeezed(F.lower("text")).alias("_q"), tokens(F.col("text")).alias("_qw"))
-    owner, title = T.squeezed(F.lower("owner")), T.squeezed(F.lower("title"))
-    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(owner) - 5, F.lit(1))), lambda i: F.substring(owner, i, F.lit(6)))
-    c = catalogue.select("doc_id", owner.alias("_o"), title.alias("_t"), F.array_distinct(tokens(F.col("title"))).alias("_w"), F.filter(parts, lambda p: F.length(p) == 6).alias("_p"))
-    both = c.join(F.broadcast(q), F.lit(True))
-    words = F.filter("_w", lambda w: F.array_contains(F.col("_qw"), w))
-    word_score = F.aggregate(words, F.lit(0), lambda s, w: s + F.when(w.rlike("[a-z]"), LATIN_WEIGHT).otherwise(1))
-    named = F.when((F.length("_o") > 1) & F.contains("_q", "_o"), 20).when(F.exists("_p", lambda p: F.contains(F.col("_q"), p)), 10).otherwise(0)
-    score = named + F.when((F.length("_t") > 3) & F.contains("_q", "_t"), 30).otherwise(0) + word_score
-    return both.select("query_id", "doc_id", score.alias("score")).where("score >= 3")
+    names = owner_names(catalogue, aliases)
+    owners = catalogue.select("doc_id", "owner")
+    full = names_in.contained(q, names, "query_id", "_q", "owner", "name").select("query_id", "owner", F.lit(20).alias("points"))
+    part = names_in.touched(q, names, "query_id", "_q", "owner", "name", common=common).select("query_id", "owner", F.lit(10).alias("points"))
+    by_owner = full.union(part).groupBy("query_id", "owner").agg(F.max("points").alias("points")).join(owners, "owner").select("query_id", "doc_id", "points")
+    titles = catalogue.select("doc_id", T.squeezed(F.lower("title")).alias("_t")).where(F.length("_t") > 3)
+    by_title = names_in.contained(q, titles, "query_id", "_q", "doc_id", "_t").select("query_id", "doc_id", F.lit(30).alias("points"))
+    words = catalogue.select("doc_id", F.explode(F.array_distinct(tokens(F.col("title")))).alias("word"))
+    asked = q.select("query_id", F.explode(F.array_distinct("_qw")).alias("word"))
+    by_word = asked.join(words, "word").groupBy("query_id", "doc_id").agg(F.sum(F.when(F.col("word").rlike("[a-z]"), LATIN_WEIGHT).otherwise(1)).cast("int").alias("points"))
+    return by_owner.union(by_title).union(by_word).groupBy("query_id", "doc_id").agg(F.sum("points").alias("score")).where("score >= 3")
 
 
 def best_hints(scores: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docforge.operators import segments
+from docforge.operators import names, segments
 from docforge.operators.retrieval import tokens
 from docforge.plans.common import table
 from docforge.plans.registry import query
@@ -37,3 +37,19 @@ def segmented_words(spark: SparkSession, d: str) -> DataFrame:
     counts = segments.word_counts(table(spark, d, "documents"), tokens(F.col("text")))
     model = segments.fit(counts, turns=1)
     return segments.cut_words(counts, model).select("word", "n", "price", F.array_join("pieces", "|").alias("pieces"))
+
+
+@query("""with n as (select doc_id, lower(substr(text, 30, 4 + doc_id % 20)) as name from documents)
+  select item_id, doc_id from benchmark join n on contains(lower(text), name) where name <> ''""")
+def contained_names(spark: SparkSession, d: str) -> DataFrame:
+    """Which names of 4 to 23 characters, one of each document, stand in which questions."""
+    own = table(spark, d, "documents").select("doc_id", F.lower(F.substring(F.col("text"), F.lit(30), (F.col("doc_id") % 20 + 4).cast("int"))).alias("name"))
+    return names.contained(table(spark, d, "benchmark").select("item_id", F.lower("text").alias("text")), own, "item_id", "text", "doc_id", "name")
+
+
+@query("""select a.client_id, b.client_id as shorter from clients a join clients b on starts_with(a.email, split_part(b.email, '@', 1)) where split_part(b.email, '@', 1) <> '' and a.client_id <> b.client_id group by all""")
+def beginning_names(spark: SparkSession, d: str) -> DataFrame:
+    """Clients whose address begins with the name of another's."""
+    c = table(spark, d, "clients")
+    short = c.select(F.col("client_id").alias("shorter"), F.split("email", "@")[0].alias("start"))
+    return names.beginning(c, short, "client_id", "email", "shorter", "start").where("client_id <> shorter")
