@@ -34,7 +34,7 @@ def oracles() -> dict[str, str]:
 
 
 def _load() -> None:
-    from docforge.plans import document_queries, evaluation_queries, language_queries, metadata_queries, retrieval_queries, text_queries  # noqa: F401
+    from docforge.plans import document_queries, evaluation_queries, language_queries, metadata_queries, retrieval_queries, summary_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
