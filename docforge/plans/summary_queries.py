@@ -59,3 +59,28 @@ def reason_histogram(spark: SparkSession, d: str) -> DataFrame:
     """How often each reason of a failure stands in a run."""
     details = _details(spark, d)
     return S.histogram(details.withColumn("reasons", S.reasons(details)), "reasons")
+
+
+@query("""with a as (select 'answer' as lane, 'a-' || item_id as id, text as question, ['' || (item_id * 3), 'no ' || item_id] as labels, case when item_id % 3 = 0 then 'abstain' end as decision, item_id % 2 = 0 as enabled from benchmark),
+  s as (select 'set', 's-' || conv_id || '-' || turn, text, ['' || conv_id, '' || (conv_id + turn)], null, null from conversations where role = 'user'),
+  v as (select 'visual', 'v-' || page_id, url, ['' || (page_id * 2)], case when page_id % 2 = 0 then 'answer' end, true from pages), u as (select * from a union all select * from s union all select * from v),
+  l as (select distinct id, unnest(labels) as label from u), m as (select id, count(doc_id) as n_expected, count(*) - count(doc_id) as n_unmatched, min(doc_id) as first_expected from l left join documents on cast(doc_id as varchar) = label group by 1)
+  select lane, id, md5(question) as question, decision, enabled, n_expected, n_unmatched, first_expected from u join m using (id)""")
+def golden_lanes(spark: SparkSession, d: str) -> DataFrame:
+    """Three lanes of different shape, written as JSON lines and CSV, read back as one table with their labels looked up."""
+    from docforge.sources import lanes
+
+    root = shared_folder(spark, "lanes")
+    i, n, p = F.col("item_id"), F.col("conv_id"), F.col("page_id")
+    text = lambda c: c.cast("string")
+    table(spark, d, "benchmark").select(F.concat(F.lit("a-"), text(i)).alias("case_id"), F.col("text").alias("question"), F.array(text(i * 3), F.concat(F.lit(" no  "), text(i))).alias("source_labels"), F.struct(F.when(i % 3 == 0, "abstain").alias("decision")).alias("gold"), (i % 2 == 0).alias("enabled")).write.json(f"{root}/answer")
+    table(spark, d, "conversations").where("role = 'user'").select(F.concat_ws("-", F.lit("s"), text(n), "turn").alias("ID"), F.col("text").alias("질문"), F.concat(text(n), F.lit(" | "), text(n + F.col("turn"))).alias("문서")).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{root}/set.csv")
+    table(spark, d, "pages").select(F.concat(F.lit("v-"), text(p)).alias("case_id"), F.col("url").alias("question"), F.struct(text(p * 2).alias("source_filename")).alias("document"), F.struct(F.when(p % 2 == 0, "answer").alias("decision")).alias("gold"), F.lit(True).alias("enabled")).write.json(f"{root}/visual")
+    kinds = {"labels": "array<string>", "enabled": "boolean"}
+    own = [
+        lanes.Lane("answer", f"{root}/answer", {"id": ("$.case_id", "$.id"), "question": ("$.question",), "labels": ("$.source_labels",), "decision": ("$.gold.decision",), "enabled": ("$.enabled",)}, kinds),
+        lanes.Lane("set", f"{root}/set.csv", {"id": ("$.id", "$.ID"), "question": ("$.question", "$['질문']"), "labels": ("$.labels", "$['문서']")}, kinds),
+        lanes.Lane("visual", f"{root}/visual", {"id": ("$.case_id",), "question": ("$.question",), "labels": ("$.document.source_filename",), "decision": ("$.gold.decision",), "enabled": ("$.enabled",)}, kinds),
+    ]
+    out = lanes.resolved(lanes.union(spark, own), table(spark, d, "documents"))
+    return out.select("lane", "id", F.md5("question").alias("question"), "decision", "enabled", F.size("expected").cast("long").alias("n_expected"), "n_unmatched", F.get("expected", F.lit(0)).alias("first_expected"))
