@@ -78,6 +78,54 @@ def routed_chunks(hints: DataFrame, chunks: DataFrame, keywords: DataFrame) -> D
     return out.select("query_id", "doc_id", "chunk_id", "nth", "text").dropDuplicates(["query_id", "chunk_id"])
 
 
+def assembled(questions: DataFrame, hints: DataFrame, chunks: DataFrame, catalogue: DataFrame, conditioned: DataFrame, searched: DataFrame) -> DataFrame:
+    """(query_id, route, doc_id, chunk_id, place): the chunks that a question is answered from, by the first route that fits.
+
+    ``questions``: (query_id, words, aggregates); ``hints``: (query_id, doc_id, nth), the named documents in order;
+    ``chunks``: (doc_id, chunk_id, nth); ``text`` of chunks is searched for ``words``; ``catalogue``: (doc_id, owner);
+    ``conditioned``: (query_id, doc_id) of documents that fit a question's conditions; ``searched``: (query_id, doc_id,
+    chunk_id, rank) of a search for all questions.
+
+    - all: a question that aggregates and names documents gets all chunks of the one whose id or owner has most of its
+      words, the first on ties;
+    - words: one named document and words: its first 20 chunks with a word and its first 10;
+    - several: of each named document the first 8 chunks with a word, or without any hit its first 8;
+    - document: one named document without words: its first 15;
+    - conditions: no named document: the first 3 of each that fits;
+    - search: else, and for "words" without a hit, what the search found.
+
+    ``place`` orders the chunks of a question from 1. Chunks are ranked within one document of one question.
+    """
+    words = F.coalesce("words", F.expr("cast(array() as array<string>)"))
+    q = questions.select("query_id", words.alias("words"), F.coalesce("aggregates", F.lit(False)).alias("aggregates"))
+    n = hints.groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_hints"))
+    fits = conditioned.select("query_id", F.lit(True).alias("fits")).distinct()
+    q = q.join(n, "query_id", "left").join(fits, "query_id", "left").withColumn("n_hints", F.coalesce("n_hints", F.lit(0)))
+    asked = F.size("words") > 0
+    route = F.when((F.col("n_hints") > 0) & F.col("aggregates"), "all").when((F.col("n_hints") == 1) & asked, "words").when(F.col("n_hints") > 1, "several").when(F.col("n_hints") == 1, "document").when(F.col("fits"), "conditions").otherwise("search")
+    q = q.withColumn("route", route)
+    named = hints.groupBy("query_id", "doc_id").agg(F.min("nth").alias("hint")).join(q, "query_id").join(catalogue.select("doc_id", "owner").dropDuplicates(["doc_id"]), "doc_id", "left")
+    has = lambda c: F.size(F.filter("words", lambda w: F.contains(F.col("doc_id").cast("string"), w) | F.contains(F.coalesce(c, F.lit("")), w)))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(has(F.col("owner"))), "hint", "doc_id"))
+    named = named.withColumn("best", best).where("route <> 'all' or best = 1")
+    fitting = conditioned.select("query_id", "doc_id").distinct().join(q.where("route = 'conditions'"), "query_id").select("query_id", "doc_id", F.lit(0).alias("hint"), "words", "route")
+    own = named.select("query_id", "doc_id", "hint", "words", "route").unionByName(fitting).join(chunks, "doc_id")
+    by = Window.partitionBy("query_id", "doc_id")
+    own = own.withColumn("hit", F.exists("words", lambda w: F.contains("text", w)).cast("int"))
+    own = own.withColumns({"hits": F.sum("hit").over(by), "hit_no": F.sum("hit").over(by.orderBy("nth", "chunk_id")), "no": F.row_number().over(by.orderBy("nth", "chunk_id"))})
+    with_word = lambda most: (F.col("hit") == 1) & (F.col("hit_no") <= most)
+    kept = (
+        F.when(F.col("route") == "all", True).when(F.col("route") == "words", (F.col("hits") > 0) & (with_word(KEYWORD_CHUNKS) | (F.col("no") <= LEADING_CHUNKS)))
+        .when(F.col("route") == "several", F.when(F.col("hits") > 0, with_word(PER_HINT)).otherwise(F.col("no") <= PER_HINT)).when(F.col("route") == "document", F.col("no") <= SINGLE_HINT).otherwise(F.col("no") <= PER_CONDITION)
+    )
+    # of "words" the chunks with a word stand first
+    ahead = F.when((F.col("route") == "words") & ~with_word(KEYWORD_CHUNKS), 1).otherwise(0)
+    picked = own.where(kept).select("query_id", "route", "doc_id", "chunk_id", F.struct(ahead.alias("a"), "hint", F.col("doc_id").cast("string").alias("d"), "no").alias("order"))
+    none = q.where("route = 'words'").select("query_id").join(picked.select("query_id").distinct(), "query_id", "left_anti").union(q.where("route = 'search'").select("query_id"))
+    fallback = searched.join(none, "query_id", "left_semi").select("query_id", F.lit("search").alias("route"), "doc_id", "chunk_id", F.struct(F.lit(0).alias("a"), F.col("rank").cast("int").alias("hint"), F.lit("").alias("d"), F.lit(0).alias("no")).alias("order"))
+    return picked.unionByName(fallback).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("order", "chunk_id"))).drop("order")
+
+
 def visual_evidence(questions: DataFrame, retrieved: DataFrame, evidence: DataFrame, n: int = 2) -> DataFrame:
     """The ``n`` pieces of evidence of retrieved documents that share most words with the question."""
     both = retrieved.join(questions, "query_id").join(evidence.where("error is null and doc_id is not null and evidence_text <> ''"), "doc_id")

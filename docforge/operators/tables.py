@@ -52,7 +52,7 @@ def gantt_lines(tables: DataFrame, key: str = "table_id", column: str = "cells")
     """
     t = tables.select(key, F.col(column).alias("cells"), period_header(F.col(column)).alias("header")).where("header is not null")
     body = t.select(key, F.col("header.periods").alias("periods"), F.posexplode("cells").alias("row", "row_cells"), "header").where("row > header.row and size(row_cells) > 1")
-    body = body.select(key, "row", "periods", F.coalesce(F.trim(F.get("row_cells", F.lit(0))["text"]), F.lit("")).alias("label"), placed(F.slice("row_cells", 2, 10_000)).alias("rest")).where("label <> ''")
+    body = body.select(key, "row", "periods", F.coalesce(F.trim(F.get("row_cells", F.lit(0))["text"]), F.lit("")).alias("label"), placed(F.slice("row_cells", F.lit(2), F.size("row_cells"))).alias("rest")).where("label <> ''")
     cells = body.select(key, "row", "label", "periods", F.posexplode_outer("rest").alias("nth", "cell"))
     color = Window.partitionBy(key)
     by = cells.groupBy(key, F.col("cell.bg").alias("bg")).count().withColumn("most", F.max("count").over(color)).where("count = most")

@@ -113,9 +113,9 @@ def date_span_gaps(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.col("n_spans").cast("long").alias("n_spans"), F.col("max_gap").cast("long").alias("max_gap"))
 
 
-@query(f"{_N} select doc_id, budget, agency from cleaned where budget > 200000 and lower(agency) like '%an%'")
+@query(f"{_N} select doc_id, budget, agency from cleaned where budget > 200000 and contains(lower(agency), 'on_1')")
 def constraint_filter(spark: SparkSession, d: str) -> DataFrame:
-    c = C.parse_constraints("예산 2억 넘는 사업", organization=" AN ", unit=100_000)
+    c = C.parse_constraints("예산 2억 넘는 사업", organization=" ON_1 ", unit=100_000)
     return _clean(spark, d).where(c.predicate(F.col("budget"), F.col("agency"))).select("doc_id", "budget", "agency")
 
 

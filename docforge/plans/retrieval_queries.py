@@ -95,8 +95,9 @@ def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
     return R.top_k(fused, 5).select("query_id", "doc_id", "matched_by", F.round("score", 4).alias("score"))
 
 
-_WINDOWS = r"""w as (select doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') as ws from documents),
-  c as (select doc_id, (place // 50) as nth, array_to_string(ws[place + 1:place + 50], ' ') as text from (select doc_id, ws, unnest(range(0, len(ws), 50)) as place from w)),
+CHUNKS_SQL = r"""w as (select doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') as ws from documents),
+  c as (select doc_id, (place // 50) as nth, array_to_string(ws[place + 1:place + 50], ' ') as text from (select doc_id, ws, unnest(range(0, len(ws), 50)) as place from w))"""
+_WINDOWS = rf"""{CHUNKS_SQL},
   h as (select *, ((doc_id * 7919 + nth * 104729) % 10007) * 10000000000 + doc_id * 1000 + nth as rank, (doc_id * 7 + nth) % 10 as query_id from c)"""
 
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docforge.operators import chunking, contexts, names
 from docforge.operators import summary as S
 from docforge.plans.common import shared_folder, table
 from docforge.plans.registry import query
+from docforge.plans.retrieval_queries import BM25_SQL, CHUNKS_SQL
+from docforge.plans.retrieval_queries import _bm25 as best_by_words
 
 _DETAILS = r"""
   golden as (select conv_id || '-' || turn as id, text as q from conversations where role = 'user'), said as (select conv_id || '-' || (turn - 1) as id, text as a from conversations where role = 'assistant'),
@@ -84,3 +87,25 @@ def golden_lanes(spark: SparkSession, d: str) -> DataFrame:
     ]
     out = lanes.resolved(lanes.union(spark, own), table(spark, d, "documents"))
     return out.select("lane", "id", F.md5("question").alias("question"), "decision", "enabled", F.size("expected").cast("long").alias("n_expected"), "n_unmatched", F.get("expected", F.lit(0)).alias("first_expected"))
+
+
+@query(rf"""with {BM25_SQL}, {CHUNKS_SQL}, q as (select item_id as query_id, text, list_sort(list_distinct(list_filter(string_split(text, ' '), lambda x: length(x) >= 9)))[1:2] as words, length(text) % 5 = 0 as aggregates from benchmark),
+  hints as (select query_id, doc_id from q join documents d on contains(d.text, substr(q.text, 1, 30))), conditioned as (select query_id, doc_id from q join documents on n_chars = length(q.text) and length(q.text) % 3 = 0),
+  k as (select q.*, coalesce(n, 0) as n, query_id in (select query_id from conditioned) as fits from q left join (select query_id, count(*) as n from hints group by 1) using (query_id)),
+  r as (select *, case when n > 0 and aggregates then 'all' when n = 1 and len(words) > 0 then 'words' when n > 1 then 'several' when n = 1 then 'document' when fits then 'conditions' else 'search' end as route from k),
+  named as (select r.query_id, doc_id, words, route from r join hints using (query_id) join documents using (doc_id) qualify route <> 'all' or row_number() over (partition by r.query_id order by len(list_filter(words, lambda w: contains(cast(doc_id as varchar), w) or contains(source, w))) desc, doc_id) = 1),
+  own as (select n.*, nth, list_bool_or(list_transform(words, lambda w: contains(c.text, w))) as found from (select * from named union all select r.query_id, doc_id, words, route from r join conditioned using (query_id) where route = 'conditions') n join c using (doc_id)),
+  h as (select *, coalesce(found, false)::int as hit, sum(coalesce(found, false)::int) over w as hits, sum(coalesce(found, false)::int) over (w order by nth) as hit_no, row_number() over (w order by nth) as no from own window w as (partition by query_id, doc_id)),
+  p as (select * from h where case route when 'all' then true when 'words' then hits > 0 and (hit = 1 and hit_no <= 20 or no <= 10) when 'several' then case when hits > 0 then hit = 1 and hit_no <= 8 else no <= 8 end when 'document' then no <= 15 else no <= 3 end)
+  select query_id, route, doc_id, nth from p union all select query_id, 'search', doc_id, 0 from bm_ranked join r using (query_id) where rank <= 3 and (route = 'search' or route = 'words' and query_id not in (select query_id from p))""")
+def context_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Which chunks of 50 words each question is answered from, by all six routes."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    words = F.slice(F.sort_array(F.array_distinct(F.filter(F.split("text", " "), lambda x: F.length(x) >= 9))), 1, 2)
+    q = items.select("query_id", words.alias("words"), (F.length("text") % 5 == 0).alias("aggregates"))
+    hints = names.contained(docs, items.select("query_id", F.substring("text", 1, 30).alias("head")), "doc_id", "text", "query_id", "head", piece=24).withColumn("nth", F.col("doc_id"))
+    own = items.where(F.length("text") % 3 == 0).select("query_id", F.length("text").alias("n_chars"))
+    chunks = chunking.word_windows(docs, 50).select("doc_id", F.col("nth").alias("chunk_id"), "nth", "text")
+    searched = best_by_words(spark, d, 3).select("query_id", "doc_id", F.lit(0).cast("long").alias("chunk_id"), "rank")
+    out = contexts.assembled(q, hints, chunks, docs.select("doc_id", F.col("source").alias("owner")), docs.select("doc_id", "n_chars").join(own, "n_chars").select("query_id", "doc_id"), searched)
+    return out.select("query_id", "route", "doc_id", F.col("chunk_id").cast("long").alias("nth"))

@@ -118,3 +118,22 @@ def test_triage_and_progress(session):
     golden = session.createDataFrame([("easy",), ("easy",)], "level string")
     targets = session.createDataFrame([("easy", 3), ("hard", 2)], "level string, target int")
     assert sorted((r.level, r.n, r.missing) for r in evaluation.progress(golden, targets, "level").collect()) == [("easy", 2, 1), ("hard", 0, 2)]
+
+
+def test_all_routes(session):
+    chunks = session.createDataFrame([(d, f"{d}{i:02}", i, f"text {i} {'word' if i % 3 == 1 else ''}") for d in "abc" for i in range(40)], "doc_id string, chunk_id string, nth int, text string")
+    catalogue = session.createDataFrame([("a", "the word office"), ("b", None), ("c", "other")], "doc_id string, owner string")
+    asked = [(1, ["word"], True), (2, ["word"], False), (3, ["absent"], False), (4, ["word"], False), (5, None, False), (6, [], False), (7, None, None), (8, ["absent"], False)]
+    q = session.createDataFrame(asked, "query_id int, words array<string>, aggregates boolean")
+    hints = session.createDataFrame([(1, "b", 0), (1, "a", 1), (2, "b", 0), (3, "a", 0), (4, "a", 0), (4, "c", 1), (5, "c", 0), (8, "b", 0), (8, "c", 1)], "query_id int, doc_id string, nth int")
+    fits = session.createDataFrame([(6, "a"), (6, "c"), (1, "c")], "query_id int, doc_id string")
+    searched = session.createDataFrame([(k, "c", "c07", 1) for k in range(1, 9)] + [(7, "a", "a01", 2)], "query_id int, doc_id string, chunk_id string, rank int")
+    got = {}
+    for r in contexts.assembled(q, hints, chunks, catalogue, fits, searched).orderBy("query_id", "place").collect():
+        got.setdefault((r.query_id, r.route), []).append(r.chunk_id)
+    name = lambda d, xs: [f"{d}{i:02}" for i in xs]
+    hit = [i for i in range(40) if i % 3 == 1]
+    assert got == {
+        (1, "all"): name("a", range(40)), (2, "words"): name("b", hit) + name("b", [i for i in range(10) if i % 3 != 1]), (3, "search"): ["c07"], (4, "several"): name("a", hit[:8]) + name("c", hit[:8]),
+        (5, "document"): name("c", range(15)), (6, "conditions"): name("a", range(3)) + name("c", range(3)), (7, "search"): ["c07", "a01"], (8, "several"): name("b", range(8)) + name("c", range(8)),
+    }
