@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -43,7 +44,7 @@ def test_decontamination(spark, make, sample):
         got = {r.row_id: r for r in contamination.decontaminate(make(texts), bench, block_bytes=limit).collect()}
         assert [(got[i].n_words, got[i].n_hit, got[i].item_ids) for i in range(len(texts))] == want
         nameless = got[len(texts) - 2]
-        assert nameless.n_hit == 11 and nameless.item_ids == [] and nameless.spans[0].start == 4 and got[len(texts) - 1].item_ids == ["5"]
+        assert nameless.n_hit == 12 and nameless.item_ids == [] and nameless.spans[0].start == 4 and got[len(texts) - 1].item_ids == ["5"]
     kept = {r.doc_id for r in contamination.clean_documents(make(texts), bench).collect()}
     assert kept == {i for i, w in enumerate(want) if not w[1]}
     spans = got[len(sample)].spans
@@ -124,3 +125,54 @@ def test_quality_held_out(spark):
     assert out.count() == docs.count()
     assert quality.report(docs, labels.limit(0)).where("score != 0.5").count() == 0
     assert quality.accepted(docs, labels).columns == docs.columns
+
+
+WORDS = "account balance customer invoice shipping address network protocol buffer handler factory manager session context payment gateway region country language document paragraph sentence window margin border color picture frame camera engine vehicle traffic signal holiday weather forecast temperature pressure volume density".split()
+
+
+def formats_in(texts):
+    return [sum(k == "format" for *_, k in secrets.secret_spans(t.encode())) for t in texts]
+
+
+def test_plain_runs_are_no_secrets():
+    """Names, paths, versions and digests of addresses that the module did not make."""
+    r = random.Random(99)
+    pick = lambda n: r.sample(WORDS, n)
+    plain = {
+        "camel": ["".join(map(str.capitalize, pick(r.randint(4, 6)))) + str(r.randrange(10, 99)) for _ in range(300)],
+        "snake": ["_".join(pick(4)) + f"_{r.randrange(99)}" for _ in range(300)],
+        "path": ["/usr/" + "/".join(pick(5)) + f"/v{r.randrange(99)}/file" for _ in range(300)],
+        "url": [f"https://{'-'.join(pick(2))}.example.com/{'/'.join(pick(3))}?page={r.randrange(99)}" for _ in range(300)],
+        "constant": ["_".join(pick(4)).upper() + str(r.randrange(99)) for _ in range(300)],
+    }
+    for name, texts in plain.items():
+        found = formats_in([f"see {t} here" for t in texts])
+        assert sum(map(bool, found)) <= 0.05 * len(texts), name
+
+
+def test_unseen_credentials_are_found():
+    for name, texts in secrets.labelled_credentials(200, seed=4242).items():
+        for frame in ("key {} end", "https://h.example/a?k={}", "NAME={}"):
+            found = [bool(secrets.secret_spans(frame.format(t).encode())) for t in texts]
+            assert sum(found) >= 0.9 * len(texts), (name, frame)
+
+
+def test_offsets_of_a_long_text_take_linear_time():
+    import time
+
+    text = "é ghp_" + "".join(random.Random(1).choices("abcdefXYZ0123456789", k=36)) + " "
+    took = []
+    for n in (500, 4000):
+        began = time.perf_counter()
+        spans = secrets.secret_spans((text * n).encode())
+        took.append(time.perf_counter() - began)
+        assert len(spans) >= n and spans[-1][1] <= len(text) * n
+    assert took[1] < 24 * took[0]
+
+
+def test_background_learns_from_the_corpus(spark, make):
+    docs = make(["zwort xqua zwort xqua zwort xqua zwort xqua zwort xqua once 1 AB", None, ""])
+    assert secrets.corpus_words(docs) == ["xqua", "zwort"]
+    assert secrets.corpus_words(docs.limit(0)) == []
+    plain, taught = secrets.Background(secrets.plain_runs([])), secrets.Background(secrets.plain_runs(["zwort", "xqua"] * 200))
+    assert taught.log_probability("ZwortXquaZwort17") > plain.log_probability("ZwortXquaZwort17")
