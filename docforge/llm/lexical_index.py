@@ -24,7 +24,7 @@ from docforge.llm.contamination import SEPARATORS
 from docforge.llm.workspace import Workspace
 
 #: Bytes of text in a shard; one longer text is a shard of its own.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
 #: Questions searched at once, and bytes of their text; more go in blocks, each with its own pass over the index.
 BLOCK_QUESTIONS, BLOCK_BYTES = 4_000, 4_000_000
 _RAW = pa.schema([("ids", pa.binary()), ("with_id", pa.binary()), ("lengths", pa.binary()), ("terms", pa.large_binary()), ("ends", pa.binary()), ("starts", pa.binary()), ("docs", pa.large_binary()), ("counts", pa.large_binary()), ("n_docs", pa.int64()), ("n_terms", pa.int64())])
@@ -50,7 +50,8 @@ def _shard(ids: list[int | None], parts: list[tuple[np.ndarray, np.ndarray]]) ->
         texts.append(data)
         base, row = base + len(data), row + len(offsets) - 1
     a, b, d, p, n = (np.concatenate(x) for x in (h1, h2, doc, at, size))
-    order = np.lexsort((d, a))
+    del h1, h2, doc, at, size
+    order = np.argsort(a, kind="stable")  # documents stand in order already
     a, b, d, p, n = a[order], b[order], d[order], p[order], n[order]
     fresh = np.ones(len(a), bool)
     fresh[1:] = a[1:] != a[:-1]
