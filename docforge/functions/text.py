@@ -25,6 +25,11 @@ PAREN, BRACKET = r"\([^)]*\)", r"\[[^\]]*\]"
 EMPTY = "cast(array() as array<string>)"
 
 
+def once(body, **values: Column) -> Column:
+    """``body`` of a struct that has the values by name: each is worked out once for a row, however often the body uses it."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(name) for name, c in values.items()])), body), F.lit(0))
+
+
 def without_lines(text: Column, pattern: str) -> Column:
     """Drop whole lines that match."""
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(pattern)), "\n")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docforge.functions.text import once
 from docforge.operators import evaluation as E
 
 # Phrases of answers that decline, how they begin, what makes an answer firm, and what is no content.
@@ -27,7 +28,7 @@ TRAILING_SOURCE = r"(?is)(?:\n|\s)+(?:\[?\s*(?:근거(?:\s*문서)?|출처)\s*[:
 FILE_IN_BRACKETS = r"(?i)\([^)]*\.(?:hwp|hwpx|pdf|docx?)[^)]*\)"
 SENTENCE_END = "[.!?。！？\n]+"
 QUANTITY = r"\d[\d,.]*\s*(?:원|억|만|%|개월|일)"
-NO_CONTENT = "[^0-9a-z가-힣%]+"
+NO_CONTENT, CONTENT = "[^0-9a-z가-힣%]+", "[0-9a-z가-힣%]+"
 FULL_DATE = r"(20\d{2})\s*(?:년|[./-])\s*(\d{1,2})\s*(?:월|[./-])\s*(\d{1,2})\s*일?"
 ENDINGS = r"(?<=.)(?:입니다|이다|한다|된다|있다|없다|이며|해야|까지|부터)$"
 PARTICLE = r"(?:은|는|이|가|을|를|에|의|와|과|로|으로)$"
@@ -47,7 +48,7 @@ def _stripped(c: Column) -> Column:
 
 def content(folded: Column) -> Column:
     """Digits, Latin and Hangul letters and percent signs of a folded text."""
-    return F.regexp_replace(_text(folded), NO_CONTENT, "")
+    return F.array_join(_all(_text(folded), CONTENT), "")  # a fourth of the time of replacing all that lies between
 
 
 # --- whether an answer declines ---------------------------------------------------------------------------------
@@ -138,13 +139,24 @@ def words_of(folded: Column) -> Column:
 
 
 def states_option(answer: Column, option: Column, share: float = 0.4) -> Column:
-    """Of folded texts: the option is inside, or its dates and long numbers are there and enough of its words occur."""
-    have, want = content(answer), content(option)
-    dates, numbers, words = date_keys(option), F.filter(number_keys(option), lambda n: F.char_length(n) >= 2), words_of(option)
-    kept = within_set(dates, date_keys(answer)) & within_set(numbers, number_keys(answer))
-    met = F.size(F.filter(words, lambda w: F.contains(have, w)))
-    enough = F.when(F.size(words) > 0, met / F.size(words) >= share).otherwise((F.size(dates) > 0) | (F.size(numbers) > 0))
-    return ((want != "") & F.contains(have, want)) | (kept & enough)
+    """Of folded texts: the option is inside, or its dates and long numbers are there and enough of its words occur.
+
+    Both texts are folded to content once, not for each word; dates and numbers of an answer are read only for an option that has some.
+    """
+
+    def sides(x: Column) -> Column:
+        numbers = F.filter(number_keys(x["option"]), lambda n: F.char_length(n) >= 2)
+        values = {"answer": x["answer"], "have": content(x["answer"]), "want": content(x["option"]), "dates": date_keys(x["option"]), "numbers": numbers, "words": words_of(x["option"])}
+        return once(judged, **values)
+
+    def judged(x: Column) -> Column:
+        dates, numbers, words = x["dates"], x["numbers"], x["words"]
+        kept = ((F.size(dates) == 0) | within_set(dates, date_keys(x["answer"]))) & ((F.size(numbers) == 0) | within_set(numbers, number_keys(x["answer"])))
+        met = F.size(F.filter(words, lambda w: F.contains(x["have"], w)))
+        enough = F.when(F.size(words) > 0, met / F.size(words) >= share).otherwise((F.size(dates) > 0) | (F.size(numbers) > 0))
+        return ((x["want"] != "") & F.contains(x["have"], x["want"])) | (kept & enough)
+
+    return once(sides, answer=answer, option=option)
 
 
 def same_terms(folded: Column) -> Column:

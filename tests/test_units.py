@@ -233,3 +233,10 @@ def test_containing(session):
 def test_citation_alone(session):
     df = session.createDataFrame([("[근거: a, b]",), ("x [근거: a]\n\n\n\ny\n[근거: b]",), ("none",)], "a string")
     assert [r.v for r in df.select(evaluation.citation_to_end(F.col("a")).alias("v")).collect()] == ["[근거: a, b]", "x\n\ny\n\n[근거: a, b]", "none"]
+
+
+def test_options_fold_an_answer_once(session):
+    df = session.createDataFrame([("alpha beta", "beta delta gamma")], "a string, o string").select(scoring.states_option(F.col("a"), F.col("o")).alias("m"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count(f" {scoring.CONTENT}, 0") + plan.count(scoring.NO_CONTENT) == 3, "the answer, the option and its words, whatever the number of words"
+    assert df.first().m is False
