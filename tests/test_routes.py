@@ -137,3 +137,29 @@ def test_all_routes(session):
         (1, "all"): name("a", range(40)), (2, "words"): name("b", hit) + name("b", [i for i in range(10) if i % 3 != 1]), (3, "search"): ["c07"], (4, "several"): name("a", hit[:8]) + name("c", hit[:8]),
         (5, "document"): name("c", range(15)), (6, "conditions"): name("a", range(3)) + name("c", range(3)), (7, "search"): ["c07", "a01"], (8, "several"): name("b", range(8)) + name("c", range(8)),
     }
+
+
+def test_candidates_are_worked_out_once(session):
+    """A pattern stands in the plan as often as a text is read for it: to see whether it has a match, and for gaps and matches."""
+    docs = session.createDataFrame([("a", "담당 부서: TEL: 02-123-4567"), ("b", "none"), ("c", None)], "doc_id string, text string")
+    found = candidates.extract(docs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    for pattern in (candidates.PHONE, candidates.FORM_HEADER, candidates.CONTACT_HEADING, candidates.QUESTIONS["purpose"][0]):
+        assert plan.count(pattern) == 3, pattern
+    assert [(r.doc_id, r.question, r.method) for r in found.collect()] == [("a", "contact", "phone")]
+
+
+def test_no_text_no_candidates(session):
+    spans = session.createDataFrame([(None,), ("",), ("x",)], "t string").select(candidates.places(F.col("t"), "x").alias("v")).collect()
+    assert [r.v if r.v is None else [tuple(x) for x in r.v] for r in spans] == [None, [], [(0, 1)]]
+
+
+def test_literals_of_patterns(session):
+    """Every branch of a pattern has one of its literals; a match is found with them as without."""
+    said = ["계약 체결 방법", "계약방법", "계약 방식", "낙찰자 결정 방법", "낙찰 방법", "하도급", "공동수급", "공동이행", "분담이행", "컨소시엄", "입찰 참가 자격", "참가자격", "지역 제한", "참가 제한", "평가 배점", "배점표", "평가 항목 및 배점", "기술 평가와 그 배점",
+            "정성적 평가", "사업 목적", "사업개요", "과업 개요", "추진 배경", "[별지 서식 제1호]", "[별지 제1호]", "【별첨 2】", "[붙임 3]", "TEL: 02-123-4567", "Tel 02-123-4567", "전화 02-123-4567", "FAX:02-123-4567", "Fax 02-123-4567", "팩스 02-123-4567", "담당 부서", "문의처",
+            "문의 사항", "연락처", "제안서 작성 규격", "제안서 작성요령", "제안서의 규격", "제출 규격", "제안서 규격", "제안서 제출 형식", "A4 30매", "계약보증금 10%", "10분의 1 100분의 5 입찰보증금", "3/100 하자보수보증금", "5％ 하자보증금", "보증금율 7 프로", "보증금률 1 퍼센트"]
+    df = session.createDataFrame([(t,) for t in said], "t string")
+    patterns = list(candidates.NEEDS)
+    for r in df.select("t", *[F.col("t").rlike(p).alias(f"m{i}") for i, p in enumerate(patterns)], *[F.size(candidates.places(F.col("t"), p)).alias(f"n{i}") for i, p in enumerate(patterns)]).collect():
+        assert [r[f"m{i}"] for i in range(len(patterns))] == [r[f"n{i}"] > 0 for i in range(len(patterns))], r.t
