@@ -190,8 +190,8 @@ def models() -> dict[str, Automaton]:
 
 #: Nats by which a format must be likelier than plain text: the odds against a credential, about one run in a hundred thousand.
 NEED = 12.0
-#: Distinct words of the corpus that the background learns from at most, those of smallest hash; a word stands in it so often at least.
-BACKGROUND_WORDS, WORD_LEAST = 20_000, 5
+#: The background learns from every distinct word that stands in the corpus so often at least; names are joined within groups of words by hash.
+WORD_LEAST, WORD_GROUPS = 5, 256
 #: Formats without a prefix of their own.
 _OPEN = ("cloud_secret_key", "hex_digest")
 _PLAIN = re.compile(r"[A-Za-z0-9_]{3,}")
@@ -230,6 +230,15 @@ class Background:
                 for x in contexts:
                     self.letters.setdefault(x, Counter())[c] += 1
 
+    def rows(self) -> list[tuple[bool, str, str, int]]:
+        """(of kinds, context, next, count): backgrounds of parts of the runs add up."""
+        return [(of_kinds, x, c, n) for of_kinds, table in ((True, self.kinds), (False, self.letters)) for x, counts in table.items() for c, n in counts.items()]
+
+    def add(self, rows) -> Background:
+        for of_kinds, x, c, n in rows:
+            (self.kinds if of_kinds else self.letters).setdefault(x, Counter())[c] += n
+        return self
+
     @staticmethod
     def _steps(run: str) -> Iterator[tuple[str, str, tuple[str, ...], str]]:
         kind, word = "^", ""
@@ -256,16 +265,20 @@ class Background:
         return total
 
 
-def plain_runs(words: list[str]) -> list[str]:
-    """What the background learns from: identifiers, words, and words joined as in names and paths, with a number now and then."""
-    rng, own = random.Random(11), [*identifiers(), *words]
-    joined = []
+def joined_runs(own: list[str], seed: int = 11) -> list[str]:
+    """Words, and words joined as in names and paths, with a number now and then."""
+    rng, joined = random.Random(seed), []
     for _ in range(len(own) // 2):
         parts = [rng.choice(own) for _ in range(rng.randint(2, 5))]
         joined.append(rng.choice(("", "_", "-", "/", ".")).join(p[:1].upper() + p[1:] for p in parts) + rng.choice(("", "", str(rng.randrange(10_000)))))
     return [*own, *joined]
 
 
+def plain_runs(words: list[str]) -> list[str]:
+    """What the background learns from without a corpus: identifiers, words, and what is joined of them."""
+    return joined_runs([*identifiers(), *words])
+
+
 _background: list[Background] = []
 
 
@@ -276,12 +289,32 @@ def background() -> Background:
     return _background[0]
 
 
-def corpus_words(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """Frequent words of a corpus, a bounded sample of them; all texts are counted, with partial counts in each task."""
+def frequent_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word): all frequent words of a corpus; all texts are counted, with partial counts in each task."""
     words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\b([A-Za-z]{3,20})\b"), F.lit(1))
-    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= WORD_LEAST)
-    kept = counted.orderBy(F.xxhash64("word"), "word").limit(BACKGROUND_WORDS)
-    return kept.agg(F.sort_array(F.collect_list("word")).alias("words")).first().words  # the limit is taken by a task, so one row goes to the driver
+    return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= WORD_LEAST).select("word")
+
+
+def corpus_words(docs: DataFrame, text_col: str = "text") -> list[str]:
+    """The frequent words of a small corpus as a list, to look at; scans do not use it."""
+    return [r.word for r in frequent_words(docs, text_col).orderBy("word").toLocalIterator()]
+
+
+def _group_counts(group: pa.Table) -> pa.Table:
+    words = sorted(group.column("word").to_pylist())
+    rows = Background(joined_runs(words, group.column("part")[0].as_py())).rows()
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.bool_(), pa.string(), pa.string(), pa.int64()))], ["of_kinds", "context", "next", "n"])
+
+
+def corpus_background(docs: DataFrame, text_col: str = "text") -> Background:
+    """The background of identifiers and all frequent words of a corpus.
+
+    Words are counted and joined in Spark, in groups by hash, so the result does not hang on partitions; what goes to the
+    driver are sums by context and next character, some 20,000 at most, since words have letters from A to Z only.
+    """
+    words = frequent_words(docs, text_col).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(WORD_GROUPS)))
+    counts = words.groupBy("part").applyInArrow(_group_counts, "of_kinds boolean, context string, next string, n long")
+    return Background(plain_runs([])).add(map(tuple, counts.groupBy("of_kinds", "context", "next").agg(F.sum("n").alias("n")).collect()))
 
 
 def ratio(name: str, text: str) -> float:
@@ -390,10 +423,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Spans are code points, end exclusive. Null and empty texts have none (an empty string, and its digest).
     Kinds may overlap each other; of one kind spans do not. Repeated rows each get their row. The texts are read twice:
-    once for the words of the background (at most ``BACKGROUND_WORDS``), once for the scan.
+    once for the words of the background, once for the scan.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
-    plain = Background(plain_runs(corpus_words(docs, text_col)))
+    plain = corpus_background(docs, text_col)
     return rows.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast((models(), plain))), "row_id long, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")
 
 

@@ -176,3 +176,18 @@ def test_background_learns_from_the_corpus(spark, make):
     assert secrets.corpus_words(docs.limit(0)) == []
     plain, taught = secrets.Background(secrets.plain_runs([])), secrets.Background(secrets.plain_runs(["zwort", "xqua"] * 200))
     assert taught.log_probability("ZwortXquaZwort17") > plain.log_probability("ZwortXquaZwort17")
+
+
+def test_background_learns_from_all_words(session):
+    """Every frequent word counts, however many there are, in whatever partitions; rare ones do not."""
+    import itertools
+    import string
+
+    words = ["".join(x) for x in itertools.islice(itertools.product(string.ascii_lowercase, repeat=4), 21_000)]
+    texts = [(k, " ".join(words[k::7] * secrets.WORD_LEAST) + " once" * (k == 0)) for k in range(7)]
+    docs = session.createDataFrame(texts, "doc_id long, text string")
+    alone, found = secrets.Background(secrets.plain_runs([])), secrets.corpus_background(docs)
+    started = lambda b: b.kinds["^"].total()
+    joined = sum(r["count"] // 2 for r in secrets.frequent_words(docs).groupBy(secrets.F.pmod(secrets.F.xxhash64("word"), secrets.F.lit(secrets.WORD_GROUPS))).count().collect())
+    assert started(found) - started(alone) == len(words) + joined
+    assert found.letters == secrets.corpus_background(docs.coalesce(1)).letters
