@@ -56,3 +56,12 @@ def test_state_holds_open_cases_only(session, tmp_path):
     assert got == final([x for b in batches for x in b])
     everything, all_state, _ = run(session, tmp_path, "all", batches)
     assert everything == got and state[-1] < all_state[-1] / 2, (state, all_state)
+
+
+def test_one_state_for_each_case_and_batches_written_anew(session, tmp_path):
+    r = random.Random(5)
+    rows = [(f"c{r.randrange(30)}", i, r.random() < 0.3, None if i % 3 else DAY) for i in range(400)]
+    got, state, _ = run(session, tmp_path, "one", [rows[:200], rows[200:]])
+    assert got == final(rows) and state[-1] == len({x[0] for x in rows})
+    folders = sorted(p.name for p in (tmp_path / "one-table").iterdir() if p.is_dir())
+    assert len(folders) == 2, "a batch that is run again takes the place of its folder"
