@@ -3,7 +3,8 @@
 A node is a distinct set of word shingles (hashed to 64 bits); exact copies share a node. Two sets with
 similarity t share one of their rarest (1 - t) n + 1 elements in any fixed order, so nodes meet in tiles,
 one for each such element. Within a tile nodes stand by size and only meet nodes of their size band.
-Bitmaps bound the overlap from above; pairs that may still be similar are intersected exactly.
+Bitmaps of parities (whether a place is met an odd number of times) bound the overlap from above; pairs that may still be
+similar are intersected exactly.
 
 Rounds keep large groups of near copies linear. First, in the tiles of each node's first few shared elements, nodes are
 compared with their neighbours by size and with the node that most documents share. Then, twice, each node of a
@@ -30,8 +31,10 @@ U = K.U
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U)
 #: Shared elements (a node's first ones) whose tiles the first round uses, and those that compare the closest.
 FIRST, NEXT = 2, 8
-#: Bytes of the narrow bitmaps that stand in tiles; pairs that pass are held against the full ones.
+#: Least bytes of the narrow bitmaps that stand in tiles; pairs that pass are held against the full ones.
 NARROW = 64
+#: Rows of a tile up to which it is compared together with other tiles, and pairs and bytes of bitmaps held at once for that.
+SMALL, PAIRS, HELD = 64, 500_000, 1 << 24
 #: Shingles moved to the end of the order at most (the most frequent ones); it bounds what is broadcast.
 HEAVY = 100_000
 
@@ -75,19 +78,29 @@ def bits_for(n: int) -> int:
 
 
 def bitmap(elements: np.ndarray) -> bytes:
-    out = np.zeros(bits_for(len(elements)), bool)
-    out[(elements >> U(7)) & U(len(out) - 1)] = True
-    return np.packbits(out).tobytes()
+    """Parities: an element that two sets do not share turns one bit over, so maps differ in no more bits than sets do in elements."""
+    width = bits_for(len(elements))
+    met = np.bincount(((elements >> U(7)) & U(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((met & 1).astype(bool)).tobytes()
 
 
 def folded(maps: np.ndarray, width: int) -> np.ndarray:
-    """Bitmaps (rows of bytes) at a smaller width: halves are united."""
+    """Bitmaps (rows of bytes) at a smaller width: the parities of that width."""
     while maps.shape[1] > width:
         half = maps.shape[1] // 2
-        maps = maps[:, :half] | maps[:, half:]
+        maps = maps[:, :half] ^ maps[:, half:]
     return maps
 
 
+def narrow_bytes(n: int) -> int:
+    """Bytes of a narrow bitmap: a power of two, at least four bits for five elements.
+
+    Maps of unrelated sets differ in half their bits. Similar sets may differ in (1 - t) / (1 + t) of all their
+    elements: for t = 0.75 in a third of the smaller one's n, so a map of fewer than 2 / 3 n bits parts nothing.
+    """
+    return max(NARROW, 1 << (-(-n // 10) - 1).bit_length())
+
+
 def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int | None, np.ndarray]]:
     for batch in batches:
         data, offsets = K.flat(batch.column(1))
@@ -250,7 +263,7 @@ def _distance(a: bytes, b: bytes) -> int:
 
 def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        maps = [folded(np.frombuffer(m, np.uint8)[None], NARROW).tobytes() for m in batch.column(1).to_pylist()]
+        maps = [folded(np.frombuffer(m, np.uint8)[None], narrow_bytes(n)).tobytes() for n, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], ["node", "bitmap"])
 
 
@@ -268,6 +281,24 @@ def _bounded(percent: int):
     return run
 
 
+def distances(data: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the bitmaps of rows x and y differ, each pair at the smaller width; ``at``: where each row's map begins in ``data`` (one more than rows)."""
+    length, out = np.diff(at), np.zeros(len(x), np.int64)
+    width = np.minimum(length[x], length[y])
+    for w in np.unique(width).tolist():
+        pairs = np.flatnonzero(width == w)
+        for k in range(0, len(pairs), max(1, HELD // w)):
+            some = pairs[k : k + max(1, HELD // w)]
+            rows, own = np.unique(np.concatenate([x[some], y[some]]), return_inverse=True)
+            maps = np.empty((len(rows), w), np.uint8)
+            for m in np.unique(length[rows]).tolist():
+                wide = np.flatnonzero(length[rows] == m)
+                maps[wide] = folded(data[at[rows[wide]][:, None] + np.arange(m)], w)
+            maps = maps.view(U)
+            out[some] = np.bitwise_count(maps[own[: len(some)]] ^ maps[own[len(some) :]]).sum(1)
+    return out
+
+
 def tile_pairs(n: np.ndarray, node: np.ndarray, group: np.ndarray, rank: np.ndarray, maps: list[bytes], percent: int, closest: bool = False, block: int = 128) -> np.ndarray:
     """Pairs of one tile, sorted by n, that are of different groups, within a size band and may be similar.
 
@@ -278,6 +309,7 @@ def tile_pairs(n: np.ndarray, node: np.ndarray, group: np.ndarray, rank: np.ndar
     found = [np.zeros((0, 2), np.int64)]
     least, nearest = np.full(len(n), 1 << 40), np.full(len(n), -1)
     n, left_over = n.astype(np.int64), n.astype(np.int64) - rank
+    data, at = np.frombuffer(b"".join(maps), np.uint8), np.append(0, np.cumsum([len(m) for m in maps]))
     low = np.searchsorted(n, -(-percent * n // 100))  # first row that is large enough for each
     for i in range(0, len(n), block):
         mine = slice(i, min(i + block, len(n)))
@@ -288,11 +320,8 @@ def tile_pairs(n: np.ndarray, node: np.ndarray, group: np.ndarray, rank: np.ndar
             x, y = np.nonzero(ask)
             if not len(x):
                 continue
-            width = min(len(maps[k]) for k in (other.start, mine.start))
-            fold = lambda rows: np.stack([folded(np.frombuffer(m, np.uint8)[None], width)[0] for m in maps[rows]]).view(U)
-            left, right = fold(mine), fold(other)
-            apart = np.bitwise_count(left[x] ^ right[y]).sum(1).astype(np.int64)
             x, y = x + mine.start, y + other.start
+            apart = distances(data, at, x, y)
             ok = may_link(n[x], n[y], apart, percent)
             x, y, apart = x[ok], y[ok], apart[ok]
             if not closest:
@@ -311,6 +340,39 @@ def tile_pairs(n: np.ndarray, node: np.ndarray, group: np.ndarray, rank: np.ndar
     return np.concatenate(found)
 
 
+def small_tiles(tile: np.ndarray, n: np.ndarray, node: np.ndarray, group: np.ndarray, rank: np.ndarray, data: np.ndarray, at: np.ndarray, percent: int, closest: bool = False) -> np.ndarray:
+    """As ``tile_pairs``, of many tiles at once; rows are sorted by tile (from 0) and n."""
+    n = n.astype(np.int64)
+    left_over, wide = n - rank, int(n.max(initial=0)) + 1
+    low = np.searchsorted(tile * wide + n, tile * wide + -(-percent * n // 100))
+    many = np.cumsum(np.arange(len(n)) - low)
+    found, begin = [np.zeros((0, 2), np.int64)], 0
+    nearest: list[np.ndarray] = []  # row, distance, the other row
+    while begin < len(n):
+        end = max(begin + 1, int(np.searchsorted(many, (many[begin - 1] if begin else 0) + PAIRS, "right")))
+        x, place = K.runs_to_ranges(np.arange(begin, end) - low[begin:end])
+        x += begin
+        y, begin = low[x] + place, end
+        most = np.minimum(left_over[x], left_over[y])
+        ask = (group[x] != group[y]) & ((100 + percent) * most >= percent * (n[x] + n[y]))
+        x, y = x[ask], y[ask]
+        apart = distances(data, at, x, y)
+        ok = may_link(n[x], n[y], apart, percent)
+        x, y, apart = x[ok], y[ok], apart[ok]
+        if closest:
+            nearest += [np.column_stack([x, apart, y]), np.column_stack([y, apart, x])]
+        else:
+            found.append(np.column_stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
+    if nearest:
+        p, d, q = np.concatenate(nearest).T
+        order = np.lexsort((d, p))
+        p, q = p[order], q[order]
+        head = np.append(True, p[1:] != p[:-1]) if len(p) else np.zeros(0, bool)
+        p, q = p[head], q[head]
+        found.append(np.column_stack([np.minimum(node[p], node[q]), np.maximum(node[p], node[q])]))
+    return np.concatenate(found)
+
+
 def _across(percent: int, closest: bool):
     """Of rows (key, n, node, group, rank, bitmap) sorted by key and n: the tiles' pairs."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -318,8 +380,16 @@ def _across(percent: int, closest: bool):
     def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         key, n, node, group, rank = (t.column(k).to_numpy() for k in range(5))
-        maps, cuts = t.column(5).to_pylist(), np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] + 1))
-        out = [tile_pairs(n[a:b], node[a:b], group[a:b], rank[a:b], maps[a:b], percent, closest) for a, b in zip(cuts[:-1], cuts[1:])]
+        data, at = K.flat(t.column(5))
+        cuts = np.flatnonzero(np.append(True, np.append(key[1:] != key[:-1], True)))
+        rows = np.diff(cuts)
+        out = []
+        for a, b in zip(cuts[:-1][rows > SMALL].tolist(), cuts[1:][rows > SMALL].tolist()):
+            maps = [data[s:e].tobytes() for s, e in zip(at[a:b].tolist(), at[a + 1 : b + 1].tolist())]
+            out.append(tile_pairs(n[a:b], node[a:b], group[a:b], rank[a:b], maps, percent, closest))
+        own = np.flatnonzero(np.repeat(rows <= SMALL, rows))
+        tile, length = np.repeat(np.arange(len(rows)), rows)[own], np.diff(at)[own]
+        out.append(small_tiles(tile, n[own], node[own], group[own], rank[own], K.gather(data, at[own], length), np.append(0, np.cumsum(length)), percent, closest))
         got = np.unique(np.concatenate(out), axis=0)
         if len(got):
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], schema=schema)
@@ -402,7 +472,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     tested = work.save(near, "near-0")
     groups = work.save(components(_verified(rows, members, tested, size, percent, work, "round-0"), work, "groups-0"), "groups-0")
 
-    narrow = work.save(maps.select("node", "bitmap").mapInArrow(_narrowed, "node long, bitmap binary"), "narrow")
+    narrow = work.save(maps.select("node", "n", "bitmap").mapInArrow(_narrowed, "node long, bitmap binary"), "narrow")
     for turn, closest in enumerate((True, True, False), 1):
         rows_of = keys.where(F.col("place") < NEXT) if closest else keys
         placed = rows_of.join(groups, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("group"), "rank")

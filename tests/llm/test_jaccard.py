@@ -106,3 +106,46 @@ def test_shingles_do_not_cross_texts():
     assert [len(s) for s in got] == [1, 1, 0, 2]
     alone = [jaccard.sets(*K.flat(pa.array([t])), 5)[0] for t in texts]
     assert all((x == y).all() for x, y in zip(got, alone))
+
+
+def test_long_texts_that_share_one_shingle_make_no_pairs():
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    sets = [np.unique(np.append(draw(int(n)), np.uint64(0))) for n in rng.integers(1000, 9000, 60)]
+    twin = np.unique(np.append(sets[0][: len(sets[0]) * 19 // 20], draw(len(sets[0]) // 20)))  # links with the first
+    sets = sorted([*sets, twin], key=len)
+    n = pa.array([len(s) for s in sets], pa.int64())
+    own = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), n, pa.array([jaccard.bitmap(s) for s in sets], pa.binary())], ["node", "n", "bitmap"])
+    maps = next(jaccard._narrowed(iter([own]))).column(1)
+    zero = pa.array([0] * len(sets), pa.int64())
+    tile = pa.RecordBatch.from_arrays([zero, n, own.column(0), own.column(0), zero, maps], ["key", "n", "node", "group", "rank", "bitmap"])
+    twins = sorted(k for k, s in enumerate(sets) if np.array_equal(s, twin) or len(np.intersect1d(s, twin)) > len(s) // 2)
+    for closest in (False, True):
+        got = pa.Table.from_batches(jaccard._across(75, closest)(iter([tile])))
+        assert [list(r.values()) for r in got.to_pylist()] == [twins]
+
+
+def test_small_tiles_are_compared_as_large_ones():
+    rng = np.random.default_rng(6)
+    base = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (4, 90, 150, 800, 1100)]
+    sets = []
+    for k in rng.integers(0, len(base), 300).tolist():
+        s = base[k]
+        sets.append(np.unique(np.append(s[rng.random(len(s)) < 0.97], rng.integers(0, 1 << 62, max(1, len(s) // 30)).astype(np.uint64))))
+    tile = rng.integers(0, 60, len(sets))
+    order = np.lexsort(([len(s) for s in sets], tile))
+    sets, tile = [sets[k] for k in order], np.unique(tile[order], return_inverse=True)[1]
+    n, node, group, rank = np.array([len(s) for s in sets]), np.arange(len(sets)) + 1000, rng.integers(0, 200, len(sets)), rng.integers(0, 3, len(sets))
+    maps = [jaccard.folded(np.frombuffer(jaccard.bitmap(s), np.uint8)[None], jaccard.narrow_bytes(len(s))).tobytes() for s in sets]
+    data, at = np.frombuffer(b"".join(maps), np.uint8), np.append(0, np.cumsum([len(m) for m in maps]))
+    one = [jaccard.tile_pairs(n[t], node[t], group[t], rank[t], [maps[k] for k in t], 75) for t in (np.flatnonzero(tile == k) for k in range(tile[-1] + 1))]
+    want = np.unique(np.concatenate(one), axis=0)
+    assert len(want) > 100
+    before, jaccard.PAIRS = jaccard.PAIRS, 50
+    try:
+        assert np.array_equal(np.unique(jaccard.small_tiles(tile, n, node, group, rank, data, at, 75), axis=0), want)
+        near = jaccard.small_tiles(tile, n, node, group, rank, data, at, 75, closest=True)
+    finally:
+        jaccard.PAIRS = before
+    assert {tuple(p) for p in near.tolist()} <= {tuple(p) for p in want.tolist()}
+    assert set(near.ravel().tolist()) == set(want.ravel().tolist())
