@@ -23,6 +23,19 @@ def test_pieces_give_the_ids_of_whole_texts(sample, name, kind):
     assert got == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "bytes"), ("word_bpe_49k.json", "words")])
+def test_words_are_learnt_once_whatever_mark_follows(name, kind):
+    marks = ["", ",", ".", "?", "!", ":", ";", ")", "'", "\"", "...", "1", "_", "'s", "'ll,"]
+    texts = [f"say {w}{m} again" for w in ("word", "Other", "x") for m in marks]
+    texts += ["a=\u0338b c<\u0338d", "x'll,don't(s't)'s's", "a<|endoftext|>b", "a1b2 3c'd", "a'", "A.B.C.", "\u00e9.x", "x.\u00e9 x,\u0301y", "a", ",", "b", ".c\nd.\n e,\nf", "http://a.b/c?d=e&f", "ab\u0301,c", "\u03a3a,\u03a3.", "a, \tb"]
+    encoder = T.PieceEncoder(tokenizer_file(name), kind)
+    ids, first = encoder.encode(*K.flat(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    encoder.clear()
+    encoder.encode(*K.flat(pa.array(texts[: 3 * len(marks)])))
+    assert encoder.table.count < 30
+
+
 def test_records_round_trip(spark, make, sample):
     from tokenizers import Tokenizer
 
