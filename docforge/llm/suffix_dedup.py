@@ -2,8 +2,8 @@
 
 Windows meet by anchor (see ``anchors``); what equal contents leave open goes to shards, all spans of an anchor in one.
 A shard has at most twice ``SHARD`` bytes: anchors with more are parted by longer ones.
-A shard's spans are joined to one text, its suffixes are sorted with their common prefixes (see ``induced``),
-and suffixes with a window's length in common are one group: its members in later documents are repeats.
+Spans that share little more than their anchor are left out (see ``met``). The others are joined to one text,
+its suffixes are sorted with their common prefixes (see ``induced``), and suffixes with a window's length in common are one group: its members in later documents are repeats.
 """
 
 from __future__ import annotations
@@ -67,11 +67,36 @@ def repeats(contents: list[bytes], docs: np.ndarray, size: int = SIZE, memory: i
     return gone
 
 
+def met(data: np.ndarray, at: np.ndarray, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which spans may have a window of another document's span; ``at``: where each begins in ``data`` (one more than spans).
+
+    Equal windows have their anchor at the same place, so with it they share the half of the other bytes that stands
+    before it, or that after it. Spans whose key is not the hash of an anchor of ``GRAM`` bytes are all kept.
+    """
+    acc, n, half = K.prefix_hash(data), len(keys), (SIZE - GRAM) // 2
+    start = at[:-1, None] + np.arange(SIZE - GRAM + 1)
+    hit = K.span_hash(acc, start, start + GRAM) == keys.view(np.uint64)[:, None]
+    anchor, keep = at[:-1] + hit.argmax(1), ~hit.any(1)
+    for rows, begin in ((np.flatnonzero(anchor - at[:-1] >= half), anchor - half), (np.flatnonzero(anchor + GRAM + half <= at[1:]), anchor)):
+        if len(rows):
+            h = K.span_hash(acc, begin[rows], begin[rows] + GRAM + half)
+            order = np.lexsort((docs[rows], h))
+            h, own = h[order], rows[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            last = np.append(first[1:], len(h)) - 1
+            keep[own[np.repeat(docs[own[first]] != docs[own[last]], last - first + 1)]] = True
+    return keep
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
     def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held)
+        rows = pa.Table.from_batches(held).combine_chunks()
+        keep = met(*K.flat(rows.column(4)), rows.column(0).to_numpy(), rows.column(1).to_numpy())
+        rows = rows.filter(pa.array(keep))
+        if not len(rows):
+            return pa.RecordBatch.from_arrays([pa.array([], t) for t in schema.types], schema=schema)
         docs, starts = (rows.column(k).to_numpy().astype(np.int64) for k in (1, 2))
         contents = rows.column(4).to_pylist()
         gone = np.append(repeats(contents, docs), False)

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from docforge.llm import anchors, induced, relative_lz, suffix_dedup
 
@@ -178,3 +179,25 @@ def test_contents_of_one_anchor_are_told_by_the_whole_hash(make):
     assert len(same) > 250_000 and len(k)
     texts = [" ".join(names[i] for i in picked[row[order[k[0] + j]]]) for j in (0, 1)]
     assert [r.n_removed for r in relative_lz.report(make([*texts, texts[1]])).orderBy("doc_id").collect()] == [0, 0, 20]
+
+
+def test_spans_that_share_only_an_anchor_are_not_sorted(monkeypatch):
+    rng, sorted_spans, repeats = random.Random(8), [], suffix_dedup.repeats
+    letters = lambda n: bytes(rng.choices(b"abcdefghij ", k=n))
+    texts = [letters(200) for _ in range(40)]
+    anchor = min(((int(anchors.spans(np.frombuffer(t, np.uint8).astype(np.int64), np.array([0, 200]), 50, 20)[3][0]), t) for t in texts))[1]
+    texts = [t[:60] + anchor + t[60:] for t in texts[:30]] + [texts[0][:40] + anchor[20:120]]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    row, start, n, key, _ = anchors.spans(data.astype(np.int64), at, 50, 20)
+    alone = [letters(30) + anchor[60:80] + letters(30) for _ in range(40)]  # of an anchor, but with no window of another
+    key_of = anchors.K.span_hash(anchors.K.prefix_hash(np.frombuffer(anchor[60:80], np.uint8)), np.array([0]), np.array([20]))[0].astype(np.int64)
+    rows = [(int(k), int(r), int(s - at[r]), int(m), texts[r][s - at[r] : s - at[r] + m + 49]) for k, r, s, m in zip(key.astype(np.int64), row, start, n)]
+    rows += [(int(key_of), 100 + i, 0, 11, t[10:70]) for i, t in enumerate(alone)]
+    rows.sort(key=lambda r: r[:3])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["key", "doc_id", "start", "n", "elements"])
+    monkeypatch.setattr(suffix_dedup, "repeats", lambda contents, *a: sorted_spans.extend(contents) or repeats(contents, *a))
+    some = pa.Table.from_batches(suffix_dedup._shards(iter([batch]))).to_pylist()
+    assert some and not {t[10:70] for t in alone} & set(sorted_spans)
+    monkeypatch.setattr(suffix_dedup, "met", lambda data, at, keys, docs: np.ones(len(keys), bool))
+    places = lambda found: {(r["doc_id"], r["start"] + k) for r in found for k in range(r["n"])}
+    assert places(some) == places(pa.Table.from_batches(suffix_dedup._shards(iter([batch]))).to_pylist())
