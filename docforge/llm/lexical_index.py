@@ -21,10 +21,14 @@ from pyspark.sql import functions as F
 
 from docforge.llm import textkernel as K
 from docforge.llm.contamination import SEPARATORS
-from docforge.llm.workspace import Workspace
+from docforge.llm.workspace import ROW_A_GROUP, Workspace, settings
 
 #: Bytes of text in a shard; one longer text is a shard of its own.
 SHARD_BYTES = 4_000_000
+#: Bytes of text split into terms at once; a longer text is cut at separators.
+PIECE_BYTES = 500_000
+#: A worker is handed texts of about so many bytes at once, or the next shard, however many there are in its partition.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "1m"}
 #: Questions searched at once, and bytes of their text; more go in blocks, each with its own pass over the index.
 BLOCK_QUESTIONS, BLOCK_BYTES = 4_000, 4_000_000
 _RAW = pa.schema([("ids", pa.binary()), ("with_id", pa.binary()), ("lengths", pa.binary()), ("terms", pa.large_binary()), ("ends", pa.binary()), ("starts", pa.binary()), ("docs", pa.large_binary()), ("counts", pa.large_binary()), ("n_docs", pa.int64()), ("n_terms", pa.int64())])
@@ -38,34 +42,67 @@ def _term_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return first, K.span_hash(K.prefix_hash(data.astype(np.uint64) * np.uint64(0x1000193) + np.uint64(77)), starts, ends)
 
 
-def _shard(ids: list[int | None], parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """CSR arrays of some documents; ``parts`` are bytes and offsets of their texts, A-Z in lower case."""
-    h1, h2, doc, at, size, texts, base, row = [], [], [], [], [], [], 0, 0
-    for data, offsets in parts:
-        starts, ends, first = K.words(data, offsets, SEPARATORS)
-        a, b = _term_keys(data, starts, ends)
-        h1.append(a), h2.append(b)
-        doc.append(np.repeat(np.arange(row, row + len(offsets) - 1), np.diff(first)))
-        at.append(starts + base), size.append(ends - starts)
-        texts.append(data)
-        base, row = base + len(data), row + len(offsets) - 1
-    a, b, d, p, n = (np.concatenate(x) for x in (h1, h2, doc, at, size))
-    del h1, h2, doc, at, size
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of rows of about ``PIECE_BYTES``; longer rows come in parts that end with a separator."""
+    for first, _, part, offs in K.chunks(data, offsets, PIECE_BYTES):
+        at = 0
+        while len(part) - at > PIECE_BYTES:
+            end = at + PIECE_BYTES
+            cuts = np.flatnonzero(SEPARATORS[part[at:end]])
+            while not len(cuts) and end < len(part):  # a word longer than a piece
+                at_next, end = end, end + PIECE_BYTES
+                cuts = np.flatnonzero(SEPARATORS[part[at_next:end]])[:1] + (at_next - at)
+            if not len(cuts):
+                break
+            end = at + int(cuts[-1]) + 1
+            yield first, part[at:end], np.array([0, end - at])
+            at = end
+        yield first, part[at:], offs if not at else np.array([0, len(part) - at])
+
+
+def _grouped(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by word and document, and which places in it begin a word and a document of a word."""
     order = np.argsort(a, kind="stable")  # documents stand in order already
-    a, b, d, p, n = a[order], b[order], d[order], p[order], n[order]
+    x, y = a[order], b[order]
     fresh = np.ones(len(a), bool)
-    fresh[1:] = a[1:] != a[:-1]
-    if not np.all(fresh[1:] | (b[1:] == b[:-1])):  # two words of one hash: sort by both
+    fresh[1:] = x[1:] != x[:-1]
+    if not np.all(fresh[1:] | (y[1:] == y[:-1])):  # two words of one hash: sort by both
         order = np.lexsort((d, b, a))
-        a, b, d, p, n = a[order], b[order], d[order], p[order], n[order]
-        fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        x, y = a[order], b[order]
+        fresh[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    d = d[order]
     posting = fresh.copy()
     posting[1:] |= d[1:] != d[:-1]
+    return order, fresh, posting
+
+
+def _counted(row: int, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words of a piece, each once for a document: both hashes, document, count, size, and the words themselves."""
+    starts, ends, first = K.words(data, offsets, SEPARATORS)
+    a, b = _term_keys(data, starts, ends)
+    d = np.repeat(np.arange(row, row + len(offsets) - 1, dtype=np.int32), np.diff(first))
+    order, _, posting = _grouped(a, b, d)
     places = np.flatnonzero(posting)
     counts = np.diff(np.append(places, len(a)))
-    heads = np.flatnonzero(fresh)
+    kept = order[places]
+    sizes = (ends - starts)[kept]
+    return a[kept], b[kept], d[kept], counts, sizes, K.gather(data, starts[kept], sizes)
+
+
+def _shard(ids: list[int | None], parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """CSR arrays of some documents; ``parts`` are bytes and offsets of their texts, A-Z in lower case."""
+    found, row = [], 0
+    for data, offsets in parts:
+        found += [_counted(row + first, piece, offs) for first, piece, offs in _pieces(data, offsets)]
+        row += len(offsets) - 1
+    a, b, d, c, n, data = (np.concatenate(x) for x in zip(*found))
+    del found
+    p = np.cumsum(n) - n
+    order, fresh, posting = _grouped(a, b, d)
+    d, c, p, n = d[order], c[order], p[order], n[order]
+    places, heads = np.flatnonzero(posting), np.flatnonzero(fresh)
+    counts = np.add.reduceat(c, places) if len(places) else c  # a long text has a count in each of its pieces
     starts = np.append(np.searchsorted(places, heads), len(places))
-    data = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
     words = K.gather(data, p[heads], n[heads])
     # terms in the order of their bytes, so that a question finds them by bisection
     ends = np.cumsum(n[heads])
@@ -73,7 +110,7 @@ def _shard(ids: list[int | None], parts: list[tuple[np.ndarray, np.ndarray]]) ->
     names = [raw[e - k : e] for e, k in zip(ends.tolist(), n[heads].tolist())]
     by_name = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
     sizes = np.diff(starts)[by_name]
-    lengths = np.bincount(d, minlength=row) if len(d) else np.zeros(row, np.int64)
+    lengths = np.bincount(d, weights=c, minlength=row) if len(d) else np.zeros(row)
     columns = {
         "ids": np.array([0 if i is None else i for i in ids], np.int64), "with_id": np.array([i is not None for i in ids], np.uint8), "lengths": lengths.astype(np.int64),
         "ends": np.cumsum(n[heads][by_name]).astype(np.int64), "starts": np.append(0, np.cumsum(sizes)).astype(np.int64),
@@ -136,9 +173,11 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     """
     work = work or Workspace(docs.sparkSession, "lexical")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    raw = work.save(rows.mapInArrow(_building(shard_bytes), _RAW_DDL), "counts")
+    with settings(docs.sparkSession, BATCHES):
+        raw = work.save(rows.mapInArrow(_building(shard_bytes), _RAW_DDL), "counts", ROW_A_GROUP)
     n_docs, n_terms = raw.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
-    shards = work.save(raw.select(*_KEPT, "lengths", "counts").mapInArrow(_weighing(n_docs, n_terms), "ids binary, with_id binary, terms binary, ends binary, starts binary, docs binary, impacts binary"), "impacts")
+    with settings(docs.sparkSession, BATCHES):
+        shards = work.save(raw.select(*_KEPT, "lengths", "counts").mapInArrow(_weighing(n_docs, n_terms), "ids binary, with_id binary, terms binary, ends binary, starts binary, docs binary, impacts binary"), "impacts", ROW_A_GROUP)
     work.drop("counts")
     return LexicalIndex(shards, n_docs, n_terms)
 
@@ -240,18 +279,23 @@ def search(index: LexicalIndex, questions: DataFrame, k: int = 10, item_col: str
     Scores are exact integers; equal ones go by ascending doc_id, rows without an id last. Questions without terms,
     or whose terms no document has, give no rows. Each row of ``questions`` is a question, repeated or not. They are
     taken to the driver in blocks (``BLOCK_QUESTIONS``, ``BLOCK_BYTES``); the index is read once for the document
-    frequencies and once for the scores of a block. Each task sends its k best of a question on.
+    frequencies and once for the scores of a block. Each task sends its k best of a question on; the k best of all
+    are written before the next block, shard by shard.
     """
     spark, shards = questions.sparkSession, index.shards
-    outs = []
+    work, outs = None, []
     for block in _blocks(questions.select(item_col, text_col)):
         asked = sorted({t for _, terms in block for t in terms})
         counted = shards.select("terms", "ends", "starts").mapInArrow(_counting(spark.sparkContext.broadcast(asked)), "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
-        df = {bytes(r.term): r.df for r in counted.collect()}
+        with settings(spark, BATCHES):
+            df = {bytes(r.term): r.df for r in counted.collect()}
         weight = {t: math.floor(1000 * math.log((2 * index.n_docs + 2) / (2 * n + 1))) for t, n in df.items()}
         weighted = [(number, [(t, times * weight[t]) for t, times in Counter(terms).items() if t in weight]) for number, (_, terms) in enumerate(block)]
         found = shards.select("ids", "with_id", "terms", "ends", "starts", "docs", "impacts").mapInArrow(_searching(spark.sparkContext.broadcast([w for w in weighted if w[1]]), k), "number long, doc_id long, score long")
         ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))).where(F.col("rank") <= k)
+        work = work or Workspace(spark, "lexical")
+        with settings(spark, BATCHES):
+            ranked = work.save(ranked, f"best{len(outs)}")
         names = spark.createDataFrame([(number, item) for number, (item, _) in enumerate(block)], f"number long, item_id {questions.schema[item_col].dataType.simpleString()}")
         outs.append(ranked.join(F.broadcast(names), "number").select("item_id", "rank", "doc_id", "score"))
     if not outs:

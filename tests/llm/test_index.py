@@ -89,3 +89,53 @@ def test_two_words_of_one_hash(monkeypatch):
     row = L._shard([1, 2, 3], [(data, offsets)]).to_pylist()[0]
     assert row["terms"] == b"abc" and np.frombuffer(row["starts"], np.int64).tolist() == [0, 2, 3, 4]
     assert np.frombuffer(row["docs"], np.int32).tolist() == [0, 1, 0, 1] and np.frombuffer(row["counts"], np.int32).tolist() == [1, 1, 2, 1]
+
+
+def test_shards_are_held_one_at_a_time(spark, monkeypatch):
+    """Row groups and what workers are handed hold one shard, however many a partition has."""
+
+    def watched(make):
+        def made(*args):
+            inner = make(*args)
+
+            def run(batches):
+                def alone():
+                    for batch in batches:
+                        assert batch.num_rows == 1, f"{batch.num_rows} shards at once"
+                        yield batch
+
+                yield from inner(alone())
+
+            return run
+
+        return made
+
+    import pyarrow.parquet as pq
+
+    docs = [(i, " ".join(f"w{j:06d}" for j in range(i * 70_000, (i + 2) * 70_000))) for i in range(4)]
+    for step in ("_weighing", "_counting", "_searching"):
+        monkeypatch.setattr(L, step, watched(getattr(L, step)))
+    index = L.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), shard_bytes=1_000_000)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.shards.inputFiles()]
+    assert [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)] == [1] * len(docs)
+    asked = ["w000003", "w100000 w150000", "w349999 W349998"]
+    bench = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = sorted(((r.item_id, r["rank"], r.doc_id, r.score) for r in L.search(index, bench, 10).collect()), key=lambda x: x[:2])
+    assert got == brute(docs, asked, 10) and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+@pytest.mark.parametrize("size", [1, 7, 50])
+def test_long_texts_are_split_in_pieces(size, monkeypatch):
+    """The same shard, whatever the size of a piece; words longer than a piece stay whole."""
+    import pyarrow as pa
+
+    from docforge.llm import textkernel as K
+
+    texts = ["", "a b a", "é☃ x-" * 40 + "tail", "word" * 60 + " " + "word " * 30, None, " - " * 50, "b" * 120, "a"]
+    parts = [K.flat(pa.array(x)) for x in (texts, texts[:3], texts[2:4])]
+    whole = L._shard(list(range(13)), parts).to_pylist()
+    monkeypatch.setattr(L, "PIECE_BYTES", size)
+    assert L._shard(list(range(13)), parts).to_pylist() == whole
+    pieces = list(L._pieces(*parts[0]))
+    assert b"".join(p.tobytes() for _, p, _ in pieces) == parts[0][0].tobytes() and len(pieces) > len(texts)
