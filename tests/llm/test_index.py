@@ -118,6 +118,7 @@ def test_shards_are_held_one_at_a_time(spark, monkeypatch):
     index = L.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), shard_bytes=1_000_000)
     files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.shards.inputFiles()]
     assert [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)] == [1] * len(docs)
+    assert not any(m.row_group(i).column(j).is_stats_set for m in files for i in range(m.num_row_groups) for j in range(m.num_columns))  # the writer keeps them for all of a file
     asked = ["w000003", "w100000 w150000", "w349999 W349998"]
     bench = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
     before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
